@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import mixing
+from siltstone.llm import bpe, mixing, token_counts
 from siltstone.llm.common import read
 
 
+def tokenizer(name: str) -> tuple[str, str]:
+    """Path of an installed public tokenizer file, and the pre-token pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE round trip of every document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer("byte_bpe_multi_50k.tiktoken"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document: doc_id, n_bytes, n_tokens, over_limit."""
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), *tokenizer("byte_bpe_50k.json"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents by source weight: doc_id, size, source_size, target, taken."""
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -42,5 +59,9 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe": op3_bpe,
+    "op7_token_counts": op7_token_counts,
+    "op10_mixing": op10_mixing,
+}
 SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
