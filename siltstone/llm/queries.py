@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, mixing, token_counts
+from siltstone.llm import bpe, licenses, mixing, spotsigs, token_counts
 from siltstone.llm.common import read
 
 
@@ -18,6 +18,11 @@ def tokenizer(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE round trip of every document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer("byte_bpe_multi_50k.tiktoken"))
@@ -28,6 +33,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), *tokenizer("byte_bpe_50k.json"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SpotSigs fingerprints of every document and of its edited text."""
+    return spotsigs.fingerprint_report(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents by source weight: doc_id, size, source_size, target, taken."""
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -60,8 +70,10 @@ FROM p
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op3_bpe": op3_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_fingerprints": op8_fingerprints,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
+SQL: dict[str, str] = {"op1_licenses": licenses.license_sql(), "op8_fingerprints": spotsigs.fingerprint_sql(), "op10_mixing": OP10_SQL}
