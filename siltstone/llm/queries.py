@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, licenses, mixing, spotsigs, token_counts
+from siltstone.llm import bpe, licenses, minhash, mixing, quality, spotsigs, token_counts
 from siltstone.llm.common import read
 
 
@@ -28,6 +28,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents: doc_id, n_shingles, component_id, kept."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document: doc_id, n_bytes, n_tokens, over_limit."""
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), *tokenizer("byte_bpe_50k.json"))
@@ -38,6 +43,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_report(read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document: doc_id, held_out, score, predicted."""
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents by source weight: doc_id, size, source_size, target, taken."""
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -72,8 +82,10 @@ FROM p
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op3_bpe": op3_bpe,
+    "op5_minhash": op5_minhash,
     "op7_token_counts": op7_token_counts,
     "op8_fingerprints": op8_fingerprints,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {"op1_licenses": licenses.license_sql(), "op8_fingerprints": spotsigs.fingerprint_sql(), "op10_mixing": OP10_SQL}
+SQL: dict[str, str] = {"op1_licenses": licenses.license_sql(), "op5_minhash": minhash.near_duplicates_sql(), "op8_fingerprints": spotsigs.fingerprint_sql(), "op10_mixing": OP10_SQL}
