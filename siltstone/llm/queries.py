@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, licenses, minhash, mixing, quality, spotsigs, token_counts
+from siltstone.llm import bpe, embeddings, licenses, minhash, mixing, quality, spotsigs, token_counts
 from siltstone.llm.common import read
 
 
@@ -23,6 +23,11 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors: vec_id, n_links, component_id, kept."""
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE round trip of every document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer("byte_bpe_multi_50k.tiktoken"))
@@ -81,6 +86,7 @@ FROM p
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op2_embeddings": op2_embeddings,
     "op3_bpe": op3_bpe,
     "op5_minhash": op5_minhash,
     "op7_token_counts": op7_token_counts,
@@ -88,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {"op1_licenses": licenses.license_sql(), "op5_minhash": minhash.near_duplicates_sql(), "op8_fingerprints": spotsigs.fingerprint_sql(), "op10_mixing": OP10_SQL}
+SQL: dict[str, str] = {"op1_licenses": licenses.license_sql(), "op2_embeddings": embeddings.near_vectors_sql(), "op5_minhash": minhash.near_duplicates_sql(), "op8_fingerprints": spotsigs.fingerprint_sql(), "op10_mixing": OP10_SQL}
