@@ -8,6 +8,7 @@ a pre-token of a million bytes as for one of ten.  Entries whose symbols have ch
 from __future__ import annotations
 
 import base64
+from array import array
 from heapq import heappop, heappush
 
 import numpy as np
@@ -18,70 +19,39 @@ from pyspark.sql import types as T
 
 from siltstone.llm.pretokens import TwoGenerations, chunk_lines, pre_tokens
 
-#: Entries of one generation of a worker's caches (chunks; pre-tokens), about 200 bytes each.
-CACHE = 500_000
+#: Entries of one generation of a worker's two caches, about 250 bytes each.
+CACHE = 400_000
+#: Rows encoded or decoded at a time.
+ROWS = 1000
+
+
+def vocabulary(path: str) -> list[bytes]:
+    """Tokens of a rank file (lines of base64 token and rank) by rank."""
+    with open(path, "rb") as lines:
+        ranks = [(int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, lines)]
+    tokens = [b""] * (max(ranks)[0] + 1)
+    for rank, token in ranks:
+        tokens[rank] = token
+    return tokens
 
 
 class RankQueue:
-    """Positions by merge rank; the lowest rank first, in it the leftmost position."""
+    """Buckets of list positions by merge rank, under a bitmap tree of three levels of 64-bit words (up to 2**18 ranks).
+
+    ``Codec.merge`` works on the three levels directly; a queue is empty again after each pre-token.
+    """
 
-    def __init__(self, ranks: int):
+    def __init__(self):
         self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        while True:
-            ranks = (ranks + 63) >> 6
-            self.levels.append([0] * ranks)
-            if ranks == 1:
-                break
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        for words in self.levels:
-            word, bit = rank >> 6, 1 << (rank & 63)
-            before = words[word]
-            words[word] = before | bit
-            if before:
-                return
-            rank = word
-
-    def lowest(self) -> int:
-        """The lowest rank that waits, -1 if none does."""
-        if not self.levels[-1][0]:
-            return -1
-        at = 0
-        for words in reversed(self.levels):
-            word = words[at]
-            at = at << 6 | (word & -word).bit_length() - 1
-        return at
-
-    def pop(self, rank: int) -> int:
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            for words in self.levels:
-                word = rank >> 6
-                words[word] &= ~(1 << (rank & 63))
-                if words[word]:
-                    break
-                rank = word
-        return at
+        self.low, self.middle = [0] * 4096, [0] * 64
 
 
 class Codec:
-    """Encoder and decoder of one rank file (lines of base64 token and rank)."""
+    """Encoder of one rank file."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        size = max(self.ranks.values()) + 1
-        self.tokens: list[bytes] = [b""] * size
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+        self.tokens = vocabulary(path)
+        self.ranks = {token: rank for rank, token in enumerate(self.tokens) if token}
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[int, int] = {}
         for token, rank in self.ranks.items():
@@ -89,48 +59,79 @@ class Codec:
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 20 | right] = rank
-        self.queue = RankQueue(size)
+        self.queue = RankQueue()
         self.find = pre_tokens(pattern)
-        self.pieces = TwoGenerations(self.encode_piece, CACHE)
         self.first = TwoGenerations(self.encode_chunk, CACHE)
         self.spaced = TwoGenerations(lambda chunk: self.encode_chunk(" " + chunk), CACHE)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token by merging."""
-        symbols = [self.single[b] for b in piece]
-        n, pairs, queue = len(symbols), self.pairs, self.queue
+        single = self.single
+        symbols = [single[b] for b in piece]
+        n, pair = len(symbols), self.pairs.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for at in range(n - 1):
-            rank = pairs.get(symbols[at] << 20 | symbols[at + 1])
-            if rank is not None:
-                queue.push(rank, at)
-        while (rank := queue.lowest()) >= 0:
-            at = queue.pop(rank)
+        buckets, low, middle, top = self.queue.buckets, self.queue.low, self.queue.middle, 0
+        fresh = [(pair(symbols[at] << 20 | symbols[at + 1]), at) for at in range(n - 1)]
+        while True:
+            for rank, at in fresh:
+                if rank is None:
+                    continue
+                bucket = buckets.get(rank)
+                if bucket is not None:
+                    heappush(bucket, at)
+                    continue
+                buckets[rank] = [at]
+                low[rank >> 6] |= 1 << (rank & 63)
+                middle[rank >> 12] |= 1 << (rank >> 6 & 63)
+                top |= 1 << (rank >> 12)
+            if not top:
+                return [s for s in symbols if s >= 0]
+            # Find-first-set, from the top: the lowest rank that waits, and its leftmost position.
+            high = (top & -top).bit_length() - 1
+            word = middle[high]
+            high = high << 6 | (word & -word).bit_length() - 1
+            word = low[high]
+            rank = high << 6 | (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                at = heappop(bucket)
+            else:
+                at = bucket[0]
+                del buckets[rank]
+                word = low[high] = word & (word - 1)
+                if not word:
+                    word = middle[rank >> 12] & ~(1 << (high & 63))
+                    middle[rank >> 12] = word
+                    if not word:
+                        top &= ~(1 << (rank >> 12))
+            fresh = ()
             right = after[at]
             # Stale: a symbol here has gone or changed, so that the pair no longer has this rank.
-            if symbols[at] < 0 or right >= n or pairs.get(symbols[at] << 20 | symbols[right]) != rank:
+            if symbols[at] < 0 or right >= n or pair(symbols[at] << 20 | symbols[right]) != rank:
                 continue
             symbols[at], symbols[right] = rank, -1
             then = after[at] = after[right]
+            left = before[at]
             if then < n:
                 before[then] = at
-                rank = pairs.get(symbols[at] << 20 | symbols[then])
-                if rank is not None:
-                    queue.push(rank, at)
-            left = before[at]
-            if left >= 0:
-                rank = pairs.get(symbols[left] << 20 | symbols[at])
-                if rank is not None:
-                    queue.push(rank, left)
-        return [s for s in symbols if s >= 0]
+                if left >= 0:
+                    fresh = ((pair(rank << 20 | symbols[then]), at), (pair(symbols[left] << 20 | rank), left))
+                else:
+                    fresh = ((pair(rank << 20 | symbols[then]), at),)
+            elif left >= 0:
+                fresh = ((pair(symbols[left] << 20 | rank), left),)
 
     def encode_piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "replace")
         whole = self.ranks.get(raw)
-        return np.asarray([whole] if whole is not None else self.merge(raw), dtype=np.int32).tobytes()
+        return array("i", (whole,) if whole is not None else self.merge(raw)).tobytes()
 
     def encode_chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(chunk)))
+        pieces = self.find(chunk)
+        if len(pieces) == 1:
+            return self.encode_piece(chunk)
+        first, spaced = self.first, self.spaced
+        return b"".join([spaced[p[1:]] if p[0] == " " and len(p) > 1 else first[p] for p in pieces])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as bytes of int32."""
@@ -139,7 +140,7 @@ class Codec:
         lines = chunk_lines(text)
         if lines is None:
             return self.encode_chunk(text)
-        newline, spaced, out = self.pieces["\n"], self.spaced.__getitem__, []
+        newline, spaced, out = self.first["\n"], self.spaced.__getitem__, []
         for k, line in enumerate(lines):
             if k:
                 out.append(newline)
@@ -147,9 +148,6 @@ class Codec:
             out.extend(map(spaced, line[1:]))
         return b"".join(out)
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -161,6 +159,13 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def pieces(batches):
+    """Arrow batches of at most ROWS rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with ``ids`` (array<int>) in place of ``text``; other columns stay, one named ``ids`` is replaced.
 
@@ -172,7 +177,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batches):
         one = codec(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             found = [one.encode(t) for t in batch.column(text).to_pylist()]
             offsets = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
             values = pa.array(np.frombuffer(b"".join(found), dtype=np.int32))
@@ -182,17 +187,17 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return docs.mapInArrow(run, schema)
 
 
-def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with ``out`` (binary) in place of ``ids``; null ids give empty bytes.  An id outside the vocabulary is an error."""
     keep = [c for c in docs.columns if c not in (ids, out)]
     schema = T.StructType([*(f for f in docs.schema.fields if f.name in keep), T.StructField(out, T.BinaryType())])
 
     def run(batches):
-        one = codec(path, pattern)
-        for batch in batches:
+        token = vocabulary(path).__getitem__
+        for batch in pieces(batches):
             column = batch.column(ids)
-            offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            found = [one.decode(values[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)  # offsets of a slice count from the values' start
+            found = [b"".join(map(token, values[a:b].tolist())) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.binary())], names=[*keep, out])
 
     return docs.mapInArrow(run, schema)
@@ -207,4 +212,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of ``docs`` (doc_id, text): encode, then decode the ids."""
     encoded = encode(docs.select("doc_id", "text"), path, pattern)
     encoded = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), "ids")
-    return decode(encoded, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
