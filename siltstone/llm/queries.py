@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, embeddings, licenses, minhash, mixing, quality, spotsigs, token_counts
+from siltstone.llm import bpe, embeddings, licenses, minhash, mixing, pii, quality, spotsigs, token_counts
 from siltstone.llm.common import read
 
 
@@ -38,6 +38,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of base spans, all spans."""
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document: doc_id, n_bytes, n_tokens, over_limit."""
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), *tokenizer("byte_bpe_50k.json"))
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embeddings": op2_embeddings,
     "op3_bpe": op3_bpe,
     "op5_minhash": op5_minhash,
+    "op6_pii": op6_pii,
     "op7_token_counts": op7_token_counts,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
