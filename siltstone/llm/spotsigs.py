@@ -13,37 +13,34 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import parts
 
 #: Common words of English, French, German and Spanish, at which chains start.
-ANCHORS = (
-    "a an and are as at be but by for from had has have he her his in is it of on or she that the they this to was were which with you "
-    "au avec dans de des du elle en est et il je la le les leur mais ne nous ou par pas pour que qui sur un une "
-    "aber als auch auf aus bei das dem den der die ein eine er es für ich im ist mit nach nicht sich sie sind und von war wie zu zum "
-    "al como con del el ella era los más me muy no para pero por se sin su sus una uno y yo"
+ANCHORS = "a an are in is of that the this was des du en est la le les que une das den der die ein eine ist und de el es los las por una con".split()
+#: Words that chains pass over, besides anchors.
+COMMON = (
+    "and as at be but by for from had has have he her his it on or she they to were which with you "
+    "au avec dans elle et il je leur mais ne nous ou par pas pour qui sur un "
+    "aber als auch auf aus bei dem er für ich im mit nach nicht sich sie sind von war wie zu zum "
+    "al como del ella era más me muy no para pero se sin su sus uno y yo"
 ).split()
 #: What stands between words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words(text):
-    """Words in lower case."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), GAP, " "), " "), lambda w: w != "")
-
-
-def signatures(text, anchors=ANCHORS, chain: int = 2, reach: int = 8):
+def signatures(text, anchors=ANCHORS, common=COMMON, chain: int = 2, reach: int = 8):
     """Sorted distinct hashes of the chains of ``chain`` content words among the ``reach`` words after each anchor.
 
     A text that has words but no chain has one signature, of all its words; a text without words has none.
     """
-    tokens = F.transform(words(text), lambda w: F.struct(w.alias("w"), w.isin(*anchors).alias("a")))
+    tokens = F.split(F.trim(F.regexp_replace(F.lower(text), GAP, " ")), " ")
 
     def of(t):
-        spots = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: F.get(t, i - 1)["a"])
-        content = lambda i: F.slice(F.filter(F.slice(t, i + 1, reach), lambda s: ~s["a"]), 1, chain)
-        chains = F.filter(F.transform(spots, lambda i: F.struct(F.get(t, i - 1)["w"].alias("anchor"), content(i).alias("c"))), lambda s: F.size(s["c"]) == chain)
-        named = F.transform(chains, lambda s: F.concat_ws(" ", s["anchor"], F.transform(s["c"], lambda x: x["w"])))
-        return F.when(F.size(t) == 0, F.array().cast("array<string>")).when(F.size(named) > 0, named).otherwise(F.array(F.array_join(F.transform(t, lambda s: s["w"]), " ")))
+        spots = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(t, i).isin(*anchors))
+        content = lambda i: F.slice(F.filter(F.slice(t, i + 2, reach), lambda w: ~w.isin(*anchors, *common)), 1, chain)
+        chains = F.filter(F.transform(spots, lambda i: F.concat(F.array(F.get(t, i)), content(i))), lambda c: F.size(c) == chain + 1)
+        whole = F.when(F.get(t, F.lit(0)) == "", F.array().cast("array<array<string>>")).otherwise(F.array(t))
+        named = F.transform(F.array(chains), lambda c: F.when(F.size(c) > 0, c).otherwise(whole))
+        return F.transform(F.element_at(named, 1), lambda c: F.substring(F.md5(F.array_join(c, " ")), 1, 8))
 
-    named = F.flatten(F.transform(F.array(tokens), of))
-    return F.array_sort(F.array_distinct(F.transform(named, lambda s: F.substring(F.md5(s), 1, 8))))
+    return F.array_sort(F.array_distinct(F.element_at(F.transform(F.array(tokens), of), 1)))
 
 
 def likeness(a, b, floor: float = 0.0):
@@ -56,7 +53,7 @@ def likeness(a, b, floor: float = 0.0):
 
 
 def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
-    """doc_id, text and the next row's text (next_text), in order of doc_id (null last; equal ids by a hash of the text); the last row's next is the first.
+    """doc_id, text, signatures (own), and the next row's text and signatures (next_text, next_own), in order of doc_id (null last; equal ids by a hash of the text); the last row's next is the first.
 
     Rows are dealt into ranges of doc_id, ``per_partition`` for each shuffle partition, at quantiles of the ids; a row's
     next stands in its own range or is the first of the range after it.
@@ -73,15 +70,17 @@ def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
         group = F.size(F.filter(heads, lambda c: c < F.col("doc_id"))) - 1
         rest = F.slice(lists, F.greatest(group, F.lit(0)) * width + 1, F.lit(width))
         place = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.greatest(group, F.lit(0)) * width + F.size(F.filter(rest, lambda c: c < F.col("doc_id"))))
-    dealt = docs.withColumn("range", place.cast("int"))
+    dealt = docs.withColumn("range", place.cast("int")).withColumn("own", signatures(F.col("text"))).withColumn("end", F.lit(0))
     order = [F.col("doc_id").asc_nulls_last(), F.col("h").asc()]
-    first = dealt.groupBy("range").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), "h", "text"))["text"].alias("first_text"))
-    # One row for each range.
+    # The first row of each range stands at the end of the range before it, too: as many rows as there are ranges.
+    heads = dealt.groupBy("range").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), "h")).alias("head"))
     turn = W.orderBy(F.col("range"))
-    ends = first.select(F.coalesce(F.lag("range").over(turn), F.max("range").over(W.partitionBy())).alias("range"), "first_text")
-    joined = dealt.join(ends, "range")
-    inside = W.partitionBy("range").orderBy(*order)
-    return joined.withColumn("next_text", F.coalesce(F.lead("text").over(inside), F.col("first_text"))).select("doc_id", "text", "next_text")
+    heads = heads.select(F.col("range").alias("r"), "head", F.coalesce(F.lag("range").over(turn), F.max("range").over(W.partitionBy())).alias("before"))
+    first = dealt.drop("own").join(F.broadcast(heads), (F.col("range") == F.col("r")) & (F.coalesce("doc_id", F.lit(0)) == F.col("head.i")) & (F.col("h") == F.col("head.h")))
+    first = first.dropDuplicates(["range"]).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "h", F.col("before").alias("range"), signatures(F.col("text")).alias("own"), F.lit(1).alias("end"))
+    inside = W.partitionBy("range").orderBy("end", *order)
+    rows = dealt.unionByName(first).withColumn("next_text", F.lead("text").over(inside)).withColumn("next_own", F.lead("own").over(inside))
+    return rows.where("end = 0").select("doc_id", "text", "own", "next_text", "next_own")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -94,10 +93,10 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     tail = F.expr("CAST(n_chars DIV 4 AS INT)")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - tail), F.substring(F.col("next_text"), F.lit(1), tail))
-    rows = rows.select("doc_id", "n_chars", "text", "next_text", edited.alias("edited"))
+    rows = rows.select("doc_id", "n_chars", "own", "next_own", edited.alias("edited"))
     rows = rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        signatures(F.col("text")).alias("own"), signatures(F.col("edited")).alias("changed"), signatures(F.col("next_text")).alias("following"),
+        "own", signatures(F.col("edited")).alias("changed"), F.col("next_own").alias("following"),
     )
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", F.array_join("own", "").alias("fingerprint"), F.array_join("changed", "").alias("edited_fingerprint"),
@@ -107,12 +106,13 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 
 def fingerprint_sql() -> str:
     anchors = ", ".join(f"'{a}'" for a in ANCHORS)
+    common = ", ".join(f"'{a}'" for a in ANCHORS + COMMON)
     sigs = lambda t: rf"""
       SELECT id, list_filter(regexp_extract_all(lower({t}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda v: v <> '') AS w FROM e"""
     one = lambda name, t: rf"""
 {name}_w AS ({sigs(t)}),
 {name}_i AS (SELECT id, w, unnest(list_filter(range(1, len(w) + 1), lambda k: list_contains([{anchors}], w[k]))) AS i FROM {name}_w),
-{name}_c AS (SELECT id, w[i] AS anchor, list_filter(w[i + 1 : i + 8], lambda x: NOT list_contains([{anchors}], x))[1:2] AS c FROM {name}_i),
+{name}_c AS (SELECT id, w[i] AS anchor, list_filter(w[i + 1 : i + 8], lambda x: NOT list_contains([{common}], x))[1:2] AS c FROM {name}_i),
 {name}_s AS (SELECT id, list_sort(list(DISTINCT substr(md5(anchor || ' ' || c[1] || ' ' || c[2]), 1, 8))) AS s FROM {name}_c WHERE len(c) = 2 GROUP BY id),
 {name} AS (SELECT x.id, CASE WHEN len(w) = 0 THEN [] WHEN s IS NOT NULL THEN s ELSE [substr(md5(array_to_string(w, ' ')), 1, 8)] END AS s
            FROM {name}_w x LEFT JOIN {name}_s y ON x.id = y.id)"""
