@@ -213,3 +213,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     encoded = encode(docs.select("doc_id", "text"), path, pattern)
     encoded = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), "ids")
     return decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def encoded_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and intact (the ids decode to the text again) of each row of ``docs``."""
+    rows = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")).withColumn("before", F.sha2("text", 256))
+    rows = encode(rows, path, pattern).withColumn("again", F.col("ids"))
+    rows = decode(rows, path, "again").withColumn("intact", F.sha2("decoded", 256) == F.col("before"))
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "intact")

@@ -201,6 +201,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     return out.union(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
+    """``docs`` (columns as they are) with one row of each near-duplicate group: that of the smallest doc_id.  Rows whose doc_id is null stay."""
+    found = table(near_duplicates(docs, percent, k), "near-duplicates")
+    out = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.limit(1).count():  # several rows of one doc_id are one group
+        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(out.where("doc_id IS NULL"))
+    return out
+
+
 def near_duplicates_sql() -> str:
     """Brute force in DuckDB: pairs of documents by shared shingles, and the transitive closure."""
     return r"""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import null_safe, table
+from siltstone.llm.common import table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns, written so that no match is tried twice from inside a run, and what a text needs for one.
@@ -166,23 +166,27 @@ def accepted_cells(rows: DataFrame, precision: float) -> list[str]:
     return good[:cut]
 
 
-def find(docs: DataFrame, precision: float = 0.9, keep_text: bool = False) -> DataFrame:
-    """Rows of ``docs`` with base (checked spans) and added (chosen candidates that overlap none of them).
+def chosen(rows: DataFrame, cells: list[str]):
+    """Of the proposed spans those of accepted cells that overlap no checked span."""
+    picked = F.filter("proposed", lambda s: s["cell"].isin(*cells)) if cells else F.expr("filter(proposed, s -> false)")
+    picked = F.filter(picked, lambda s: ~overlaps(F.col("base"), s))
+    return rows.withColumn("added", F.transform(picked, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).drop("proposed")
 
-    Null and empty texts have no spans.  Repeated rows each give a row; texts of any length are searched whole, and
-    columns named base, added or proposed are replaced.  ``precision``: share of weak positives that added cells hold.
-    """
+
+def propose(docs: DataFrame) -> DataFrame:
+    """``docs`` with base and proposed spans; null texts have none."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64("text").alias("text_hash"))
-    rows = table(rows.select("doc_id", "text_hash", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("proposed")), "pii-spans")
-    cells = accepted_cells(rows, precision)
-    chosen = F.filter("proposed", lambda s: s["cell"].isin(*cells)) if cells else F.expr("filter(proposed, s -> false)")
-    added = F.filter(chosen, lambda s: ~overlaps(F.col("base"), s))
-    spans = rows.select("doc_id", "text_hash", "base", F.transform(added, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("added"))
-    if not keep_text:
-        return spans
-    spans = spans.where("size(base) + size(added) > 0").dropDuplicates(["doc_id", "text_hash"])
-    return null_safe(docs.drop("base", "added", "proposed").withColumn("text_hash", F.xxhash64("text")), spans, ["doc_id", "text_hash"], "left").drop("text_hash")
+    return docs.withColumns({"base": base_spans(text), "proposed": candidates(text)})
+
+
+def find(docs: DataFrame, precision: float = 0.9) -> DataFrame:
+    """doc_id with base (checked spans) and added (chosen candidates) of each row of ``docs`` (doc_id, text).
+
+    Null and empty texts have no spans.  Repeated rows each give a row; texts of any length are searched whole; other
+    columns are ignored.  ``precision``: share of weak positives that added cells hold.
+    """
+    rows = table(propose(docs.select("doc_id", "text")).drop("text"), "pii-spans")
+    return chosen(rows, accepted_cells(rows, precision))
 
 
 def named(spans):
@@ -203,9 +207,13 @@ def report(docs: DataFrame, precision: float = 0.9) -> DataFrame:
 
 
 def redact(docs: DataFrame, precision: float = 0.9) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind in brackets, overlapping spans by the first's; n_chars, where present, follows."""
+    """``docs`` with every span in ``text`` replaced by its kind in brackets, overlapping spans by the first's; n_chars, where present, follows.
+
+    The texts are searched a second time where they are read, so that they are not moved.
+    """
     cols = docs.columns
-    rows = find(docs, precision, keep_text=True)
+    cells = accepted_cells(table(propose(docs.select("text")).select("base", "proposed").where("size(proposed) > 0"), "pii-spans"), precision)
+    rows = chosen(propose(docs), cells)
     spans = F.array_sort(F.concat(named(F.col("base")), F.col("added")))
 
     def rebuilt(s):
@@ -222,7 +230,7 @@ def redact(docs: DataFrame, precision: float = 0.9) -> DataFrame:
 
         return let(ends, pieces)
 
-    rows = rows.withColumn("text", F.when(F.coalesce(F.size("base") + F.size("added"), F.lit(0)) > 0, let(spans, rebuilt)).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(F.size("base") + F.size("added") > 0, let(spans, rebuilt)).otherwise(F.col("text")))
     if "n_chars" in cols:
-        rows = rows.withColumn("n_chars", F.when(F.size("base").isNotNull() & (F.size("base") >= 0), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.size("base") + F.size("added") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*cols)

@@ -153,11 +153,33 @@ def apply(rows: DataFrame, model: Model, name: str = "score") -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*keep, T.StructField(name, T.DoubleType())]))
 
 
+def filter_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Rows of ``docs`` (columns as they are) whose score is at least ``threshold``; the model learns as in ``classify``.
+
+    Texts are scored where they are read, so rows are not moved.
+    """
+    model = learn(docs, labels)[0]
+
+    def run(batches):
+        for batch in batches:
+            x = np.array([statistics(t) for t in batch.column("text").to_pylist()], dtype=np.float64).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     """crc32 of doc_id as text is a multiple of 5."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the statistics of every row."""
+    rows = table(features(docs), "quality-features")
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    return fit(table(rows.where(~held_out()).join(known, "doc_id").select("features", "label"), "quality-labelled")), rows
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of ``docs`` (doc_id, text).
 
@@ -165,8 +187,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     null labels are ignored, and without any labels every score is 0.5 or so.  Null and empty texts have the statistics
     of an empty text.  Rows whose doc_id is null are scored but never learnt from.
     """
-    rows = table(features(docs), "quality-features")
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    model = fit(rows.where(~held_out()).join(known, "doc_id").select("features", "label"))
+    model, rows = learn(docs, labels)
     scored = apply(rows, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

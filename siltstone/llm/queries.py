@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, embeddings, licenses, minhash, mixing, pii, quality, spotsigs, token_counts
+from siltstone.llm import bpe, chat, embeddings, licenses, minhash, mixing, pii, quality, spotsigs, token_counts
 from siltstone.llm.common import read
 
 
@@ -33,6 +33,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), *tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical turns recovered from plain transcripts of all conversations."""
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents: doc_id, n_shingles, component_id, kept."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_embeddings": op2_embeddings,
     "op3_bpe": op3_bpe,
+    "op4_chat": op4_chat,
     "op5_minhash": op5_minhash,
     "op6_pii": op6_pii,
     "op7_token_counts": op7_token_counts,
