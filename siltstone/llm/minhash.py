@@ -7,8 +7,10 @@ can be alike share a kind.  Bands of ``ROWS`` bins are the buckets.
 
 Documents with equal sets are one vertex.  In a bucket every vertex is a candidate of the smallest one only (a star),
 so candidates are as many as bucket entries, however large the bucket.  Candidates are confirmed on their full sets.
-Where a bucket then still holds vertices of several components, those outside its largest component are compared with
-the bucket's vertices of other components: no pair that a bucket holds and that could change a component goes uncompared.
+Where a bucket then still holds vertices of several components, an exact set-similarity join settles whether any two of
+these are linked: shingles in order of frequency, rarest first; alike sets share one of their first few (prefix filter)
+with enough left after it on both sides (positional filter).  Edited copies start with the shingles of their own edits,
+so few pairs pass.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from siltstone.llm.graph import components
 BINS, ROWS = 128, 4
 #: Above LARGE shingles a set has one-permutation bands; up to SMALL, bands of single permutations.
 LARGE, SMALL = 192, 256
+#: Bits of a shingle that choose its slot in the table of frequencies (a megabyte).
+SLOT_BITS = 20
 #: Words whose hashes a worker keeps.
 WORDS = 500_000
 
@@ -153,6 +157,50 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFr
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def frequency_levels(texts: DataFrame, k: int) -> np.ndarray:
+    """Logarithmic frequency of shingles by slot (their low ``SLOT_BITS`` bits), one byte each: the only thing that comes to the driver."""
+
+    def count(batches):
+        shingles, total = Shingles(k), np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                found = np.concatenate([shingles.of(text) for text in batch.slice(at, 1000).column("text").to_pylist()])
+                total += np.bincount((found & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64), minlength=1 << SLOT_BITS)
+        at = np.flatnonzero(total)
+        for c in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[c : c + 100_000]), pa.array(total[at[c : c + 100_000]])], names=["slot", "n"])
+
+    found = texts.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = found.select("slot", F.least(F.floor(F.log2("n") * 4), F.lit(255)).cast("int").alias("level")).toArrow()
+    levels = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
+    levels[found.column("slot").to_numpy()] = found.column("level").to_numpy()
+    return levels
+
+
+def prefixes(texts: DataFrame, levels: np.ndarray, percent: int, k: int) -> DataFrame:
+    """token, place, n, vertex, part: the rarest shingles of each set, one of which any set that is alike must share."""
+
+    def run(batches):
+        shingles = Shingles(k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                rows = batch.slice(at, 500)
+                tokens, places, sizes, take = [], [], [], []
+                for row, text in enumerate(rows.column("text").to_pylist()):
+                    s = shingles.of(text)
+                    first = len(s) + (percent * len(s)) // -100 + 1 if len(s) else 0  # n - ceil(t * n) + 1
+                    order = np.lexsort((s, levels[(s & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)]))[:first]
+                    tokens.append(s[order].view(np.int64))
+                    places.append(np.arange(first, dtype=np.int32))
+                    sizes.append(np.full(first, len(s), dtype=np.int32))
+                    take.append(np.full(first, row))
+                take = pa.array(np.concatenate(take).astype(np.int64))
+                columns = [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes)), rows.column("vertex").take(take), rows.column("part").take(take)]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "place", "n", "vertex", "part"])
+
+    return texts.select("vertex", "part", "text").mapInArrow(run, "token bigint, place int, n int, vertex bigint, part bigint")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
 
@@ -174,27 +222,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     buckets = table(entries.groupBy("band").agg(F.min(F.struct("vertex", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
     shared = table(entries.join(buckets, "band"), "shared")
 
-    def similar(a, b):
-        return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-
-    star = shared.where((F.col("vertex") != F.col("hub.vertex")) & similar(F.col("n"), F.col("hub.n")))
+    star = shared.where((F.col("vertex") != F.col("hub.vertex")) & (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent))
     star = table(star.select(F.col("vertex").alias("a"), F.col("hub.vertex").alias("b")).distinct(), "star")
-    links = table(confirmed(star, docs, percent, k), "star-links")
+    texts = table(docs.join(shared.select(F.col("vertex").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    links = table(confirmed(star, texts, percent, k), "star-links")
     parts = components(links.union(repeated.select("a", "b")))
 
-    members = shared.select("band", "vertex", "n").join(parts.withColumnRenamed("id", "vertex"), "vertex", "left")
-    members = table(members.withColumn("part", F.coalesce("component_id", "vertex")).drop("component_id"), "members")
-    sizes = members.groupBy("band", "part").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "part"))["part"].alias("main"), F.count("*").alias("parts"))
-    mixed = table(sizes.where("parts > 1").select("band", "main"), "mixed")
-    inside = members.join(mixed, "band")
-    inside = table(inside, "inside")
-    outside = inside.where("part <> main").select("band", F.col("vertex").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xpart"))
-    cross = inside.join(outside, "band").where((F.col("part") != F.col("xpart")) & similar(F.col("n"), F.col("xn")))
-    cross = cross.select(F.greatest("vertex", "x").alias("a"), F.least("vertex", "x").alias("b")).distinct()
-    cross = table(cross.join(star, ["a", "b"], "left_anti"), "cross")
-    more = table(confirmed(cross, docs, percent, k), "cross-links")
+    members = shared.select("band", "vertex").join(parts.withColumnRenamed("id", "vertex"), "vertex", "left")
+    members = table(members.select("band", "vertex", F.coalesce("component_id", "vertex").alias("part")), "members")
+    mixed = table(members.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band"), "mixed")
+    left = table(members.join(mixed, "band").select("vertex", "part").distinct(), "left")
+    rest = table(texts.withColumnRenamed("doc_id", "vertex").join(left, "vertex"), "rest")
+    first = table(prefixes(rest, frequency_levels(rest, k), percent, k), "prefixes")
+    met = table(first.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token"), "met")
+    first = table(first.join(met, "token"), "met-prefixes")
+    other = first.select(*[F.col(c).alias(f"{c}_b") for c in ("token", "place", "n", "vertex", "part")])
+    # Sets that are alike have at least t / (1 + t) of the sum of their sizes in common.
+    enough = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
+    pairs = first.join(other, (F.col("token") == F.col("token_b")) & (F.col("part") < F.col("part_b")) & enough)
+    pairs = pairs.select(F.greatest("vertex", "vertex_b").alias("a"), F.least("vertex", "vertex_b").alias("b")).distinct()
+    pairs = table(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+    more = table(confirmed(pairs, texts, percent, k), "more-links")
     whole = components(links.union(more).union(repeated.select("a", "b")))
-    for old in (sets, buckets, shared, star, members, mixed, inside, cross):
+    for old in (sets, buckets, shared, star, texts, members, mixed, left, rest, first, met, pairs):
         drop(old)
     out = placed.join(whole.withColumnRenamed("id", "vertex"), "vertex", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "vertex").alias("component_id"))
     lone = sketched.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
