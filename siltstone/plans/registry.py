@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from siltstone.plans import sweep_queries
+
+MODULES = (sweep_queries,)
+
 
 def entry(spark, sf_dir):
+    """Flagship: BM25 top 5 of every question, with soft recall and reciprocal rank."""
     return queries()["slice"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: q for m in MODULES for name, q in m.SQL.items()}
