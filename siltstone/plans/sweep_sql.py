@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from siltstone.functions.text import STOPWORDS
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -24,7 +26,7 @@ def share(a: str, b: str) -> str:
 
 
 def tokens(t: str) -> str:
-    return rf"list_filter(regexp_split_to_array(lower(coalesce({t}, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    return rf"regexp_extract_all(lower(coalesce({t}, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
 CHUNKS = r"""
@@ -41,9 +43,10 @@ grid AS (SELECT level, mode, enhance, alpha, 'L' || level || '_' || upper(mode)
          FROM (VALUES (1), (2)) l(level), (VALUES ('dense'), ('sparse'), ('hybrid')) m(mode), (VALUES (0), (1)) e(enhance), (VALUES (0), (1)) a(alpha))"""
 SPARSE = rf"""
 texts AS (SELECT finder_id, route, 0 AS enhance, query AS text FROM questions UNION ALL SELECT finder_id, route, 1, enhanced FROM questions),
-tok AS (SELECT chunk_id, level, section, len({tokens('text')}) AS dl, unnest({tokens('text')}) AS term FROM chunks),
+lists AS (SELECT chunk_id, level, section, {tokens('text')} AS w FROM chunks),
+tok AS (SELECT chunk_id, level, section, len(w) AS dl, unnest(w) AS term FROM lists),
 tf AS (SELECT chunk_id, level, section, dl, term, count(*) AS tf FROM tok GROUP BY ALL),
-lens AS (SELECT level, count(*)::DOUBLE AS n, avg(len({tokens('text')}))::DOUBLE AS avgdl FROM chunks GROUP BY level),
+lens AS (SELECT level, count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS avgdl FROM lists GROUP BY level),
 qterms AS (SELECT finder_id, enhance, route, unnest(list_distinct({tokens('text')})) AS term FROM texts),
 idf AS (SELECT level, term, ln((n - df + 0.5) / (df + 0.5) + 1.0) AS idf, avgdl FROM (SELECT level, term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM qterms) GROUP BY ALL) JOIN lens USING (level)),
 sparse AS (SELECT finder_id, enhance, route, tf.level, 'sparse' AS source, chunk_id, section, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
@@ -115,5 +118,5 @@ def upto(name: str) -> str:
     for key, sql in order:
         out.append(sql)
         if key == name:
-            return "WITH " + ",".join(out)
+            return "WITH " + re.sub(r"(?m)^(docs1|chunks|questions|grid|texts|lists|tf|sparse|near|dense|tracks|hb|ha|results|relevance|runs) AS \(", r"\1 AS MATERIALIZED (", ",".join(out))
     raise KeyError(name)
