@@ -18,11 +18,11 @@ verdicts AS MATERIALIZED (SELECT r.*, CASE WHEN config_key = '{judge.BASELINE}'
             FROM runs r LEFT JOIN base USING (finder_id))"""
 PREFIX = upto("runs") + "," + JUDGED
 
-VALUE = "CASE {c} WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.0 END"
+VALUE = "CASE {c} WHEN 'A' THEN 1e0 WHEN 'B' THEN 0e0 END"
 REL, COMP = VALUE.format(c="relevance"), VALUE.format(c="completeness")
 OUTCOME = "CASE WHEN {c} = 'A' THEN 'win' WHEN {c} = 'B' THEN 'loss' ELSE 'tie' END"
-JOINT = f"((CASE {OUTCOME.format(c='relevance')} WHEN 'win' THEN 1.0 WHEN 'tie' THEN 0.5 ELSE 0.0 END) + (CASE {OUTCOME.format(c='completeness')} WHEN 'win' THEN 1.0 WHEN 'tie' THEN 0.5 ELSE 0.0 END)) / 2"
-MEANS = "round(avg(word_recall), 6) AS word_recall, round(avg(soft_mrr), 6) AS soft_mrr, round(avg(soft_recall3), 6) AS soft_recall3, round(avg(CASE WHEN evidence_hit THEN 1.0 ELSE 0.0 END), 6) AS evidence_hit"
+JOINT = f"((CASE {OUTCOME.format(c='relevance')} WHEN 'win' THEN 1e0 WHEN 'tie' THEN 0.5e0 ELSE 0e0 END) + (CASE {OUTCOME.format(c='completeness')} WHEN 'win' THEN 1e0 WHEN 'tie' THEN 0.5e0 ELSE 0e0 END)) / 2"
+MEANS = "round(avg(word_recall) + 1e-10, 6) AS word_recall, round(avg(soft_mrr) + 1e-10, 6) AS soft_mrr, round(avg(soft_recall3) + 1e-10, 6) AS soft_recall3, round(avg(CASE WHEN evidence_hit THEN 1e0 ELSE 0e0 END) + 1e-10, 6) AS evidence_hit"
 SIZED = "SELECT *, count(*) OVER (PARTITION BY finder_id, retrieved_ids) AS gsize FROM {runs} WHERE retrieved_ids <> ''"
 AXES = "level, mode, enhance, alpha"
 AX = " UNION ALL ".join(f"SELECT '{a}' AS axis, CAST({a} AS STRING) AS value, * FROM src" for a in AXES.split(", "))
@@ -31,87 +31,87 @@ AX = " UNION ALL ".join(f"SELECT '{a}' AS axis, CAST({a} AS STRING) AS value, *
 PORTABLE = {
     # aggregate tables
     "a01_verdict_values": f"SELECT finder_id, config_key, CAST({REL} AS DOUBLE) AS relevance_int, CAST({COMP} AS DOUBLE) AS completeness_int FROM {{runs}}",
-    "a02_config_summary": f"SELECT config_key, level, mode, enhance, alpha, count(*) AS n, {MEANS}, CAST(round(avg({REL}), 6) AS DOUBLE) AS relevance_rate FROM {{runs}} GROUP BY config_key, level, mode, enhance, alpha",
+    "a02_config_summary": f"SELECT config_key, level, mode, enhance, alpha, count(*) AS n, {MEANS}, CAST(round(avg({REL}) + 1e-10, 6) AS DOUBLE) AS relevance_rate FROM {{runs}} GROUP BY config_key, level, mode, enhance, alpha",
     "a03_category_breakdown": f"SELECT category, config_key, count(*) AS n, {MEANS} FROM {{runs}} GROUP BY category, config_key",
     "a04_failure_analysis": "SELECT finder_id, config_key, category, relevance, completeness, word_recall FROM {runs} WHERE relevance = 'B' OR completeness = 'B'",
     "a06_dimension_summary": f"WITH src AS (SELECT * FROM {{runs}}), ax AS ({AX}) SELECT axis, value, count(*) AS n, {MEANS} FROM ax GROUP BY axis, value",
     "a06_grouping_sets": f"SELECT level, mode, enhance, alpha, count(*) AS n, {MEANS} FROM {{runs}} GROUP BY GROUPING SETS ((level), (mode), (enhance), (alpha), ())",
-    "a07_baseline_delta": f"""WITH m AS (SELECT config_key, count(*) AS n, round(avg(word_recall), 4) AS w, round(avg(soft_mrr), 4) AS s FROM {{runs}} GROUP BY config_key),
+    "a07_baseline_delta": f"""WITH m AS (SELECT config_key, count(*) AS n, round(avg(word_recall) + 1e-10, 4) AS w, round(avg(soft_mrr) + 1e-10, 4) AS s FROM {{runs}} GROUP BY config_key),
         b AS (SELECT w AS bw, s AS bs FROM m WHERE config_key = '{judge.BASELINE}')
         SELECT config_key, n, w, s, round(w - bw, 4) AS dw, round(s - bs, 4) AS ds, config_key = '{judge.BASELINE}' AS is_baseline FROM m CROSS JOIN b""",
-    "a08_one_axis_impact": f"""WITH m AS (SELECT config_key, level, mode, enhance, alpha, round(avg(word_recall), 4) AS w FROM {{runs}} GROUP BY config_key, level, mode, enhance, alpha),
+    "a08_one_axis_impact": f"""WITH m AS (SELECT config_key, level, mode, enhance, alpha, round(avg(word_recall) + 1e-10, 4) AS w FROM {{runs}} GROUP BY config_key, level, mode, enhance, alpha),
         d AS (SELECT m.config_key, m.w - b.w AS dw, CASE WHEN m.level <> b.level THEN 1 ELSE 0 END AS l, CASE WHEN m.mode <> b.mode THEN 1 ELSE 0 END AS o, CASE WHEN m.enhance <> b.enhance THEN 1 ELSE 0 END AS e, CASE WHEN m.alpha <> b.alpha THEN 1 ELSE 0 END AS a
               FROM m JOIN m b ON b.config_key = '{judge.BASELINE}')
         SELECT config_key, CASE WHEN l + o + e + a = 0 THEN 'baseline' WHEN l + o + e + a > 1 THEN 'multi' WHEN l = 1 THEN 'level' WHEN o = 1 THEN 'mode' WHEN e = 1 THEN 'enhance' ELSE 'alpha' END AS bucket, round(dw, 4) AS delta FROM d""",
-    "a09_delta_labels": f"""WITH m AS (SELECT config_key, round(avg(word_recall), 4) AS w FROM {{runs}} GROUP BY config_key)
+    "a09_delta_labels": f"""WITH m AS (SELECT config_key, round(avg(word_recall) + 1e-10, 4) AS w FROM {{runs}} GROUP BY config_key)
         SELECT m.config_key, round(m.w - b.w, 4) AS delta, CASE WHEN m.w - b.w >= 0.05 THEN 'up' WHEN m.w - b.w <= -0.05 THEN 'down' ELSE 'flat' END AS arrow FROM m JOIN m b ON b.config_key = '{judge.BASELINE}'""",
     "a10_axis_by_category": f"""WITH src AS (SELECT * FROM {{runs}}), ax AS ({AX}),
-        v AS (SELECT axis, coalesce(category, 'OVERALL') AS category, value, round(avg(word_recall), 4) AS w FROM ax GROUP BY GROUPING SETS ((axis, category, value), (axis, value)))
+        v AS (SELECT axis, coalesce(category, 'OVERALL') AS category, value, round(avg(word_recall) + 1e-10, 4) AS w FROM ax GROUP BY GROUPING SETS ((axis, category, value), (axis, value)))
         SELECT axis, category, count(*) AS n_values, round(max(w) - min(w), 4) AS range, CASE WHEN count(*) = 2 THEN round(max(CASE WHEN value = top THEN w END) - max(CASE WHEN value = low THEN w END), 4) END AS signed
         FROM (SELECT *, max(value) OVER (PARTITION BY axis, category) AS top, min(value) OVER (PARTITION BY axis, category) AS low FROM v) t GROUP BY axis, category""",
     "a11_sections": """WITH c AS (SELECT top_section, count(*) AS n FROM {runs} GROUP BY top_section),
         r AS (SELECT top_section, row_number() OVER (ORDER BY n DESC, top_section) AS k FROM c)
-        SELECT CASE WHEN k <= 8 THEN r.top_section ELSE 'OTHER' END AS section, count(*) AS n, round(100.0 * count(*) / max(total), 1) AS pct, round(avg(soft_recall3), 3) AS recall3
+        SELECT CASE WHEN k <= 8 THEN r.top_section ELSE 'OTHER' END AS section, count(*) AS n, round(100.0 * count(*) / max(total), 1) AS pct, round(avg(soft_recall3) + 1e-10, 3) AS recall3
         FROM (SELECT *, count(*) OVER () AS total FROM {runs}) x JOIN r ON x.top_section = r.top_section GROUP BY CASE WHEN k <= 8 THEN r.top_section ELSE 'OTHER' END""",
     "a12_section_shift": """WITH c AS (SELECT category, alpha, top_section, count(*) AS n FROM {runs} GROUP BY category, alpha, top_section),
         m AS (SELECT category, alpha, top_section, row_number() OVER (PARTITION BY category, alpha ORDER BY n DESC, top_section) AS k FROM c),
-        w AS (SELECT category, alpha, round(avg(word_recall), 3) AS w FROM {runs} GROUP BY category, alpha)
+        w AS (SELECT category, alpha, round(avg(word_recall) + 1e-10, 3) AS w FROM {runs} GROUP BY category, alpha)
         SELECT a.category, a.top_section AS section0, b.top_section AS section1, a.top_section <> b.top_section AS shifted, round(wb.w - wa.w, 3) AS delta
         FROM m a JOIN m b ON a.category = b.category AND a.alpha = 0 AND b.alpha = 1 AND a.k = 1 AND b.k = 1 JOIN w wa ON wa.category = a.category AND wa.alpha = 0 JOIN w wb ON wb.category = a.category AND wb.alpha = 1""",
     "a13_overlapping_context": """WITH g AS (SELECT finder_id, retrieved_ids, count(*) AS n, min(config_key) AS first_key FROM {runs} WHERE retrieved_ids <> '' GROUP BY finder_id, retrieved_ids HAVING count(*) >= 2)
         SELECT finder_id, concat(CAST(finder_id AS STRING), '_g', CAST(row_number() OVER (PARTITION BY finder_id ORDER BY first_key) AS STRING)) AS group_id, n, substr(sha1(retrieved_ids), 1, 12) AS ids_hash FROM g""",
-    "a14_console_summary": f"SELECT mode, count(*) AS n, sum(CASE WHEN evidence_hit THEN 1 ELSE 0 END) AS hits, sum(CASE WHEN wrong_year > 0 THEN 1 ELSE 0 END) AS cross_year, {MEANS} FROM {{runs}} GROUP BY mode",
+    "a14_console_summary": f"SELECT mode, count(*) AS n, CAST(sum(CASE WHEN evidence_hit THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN wrong_year > 0 THEN 1 ELSE 0 END) AS BIGINT) AS cross_year, {MEANS} FROM {{runs}} GROUP BY mode",
     "a14_win_matrix": """WITH p AS (SELECT finder_id, level, enhance, alpha, max(CASE WHEN mode = 'dense' AND evidence_hit THEN 1 ELSE 0 END) AS d, max(CASE WHEN mode = 'sparse' AND evidence_hit THEN 1 ELSE 0 END) AS s FROM {runs} GROUP BY finder_id, level, enhance, alpha)
-        SELECT sum(d * s) AS both_hit, sum(d * (1 - s)) AS dense_only, sum((1 - d) * s) AS sparse_only, sum((1 - d) * (1 - s)) AS neither FROM p""",
-    "a15_judge_summary": "SELECT mode, count(*) AS n, round(sum(CASE WHEN relevance = 'A' THEN 1 ELSE 0 END) / count(*), 6) AS relevance_win, round(sum(CASE WHEN completeness = 'A' THEN 1 ELSE 0 END) / count(*), 6) AS completeness_win, sum(CASE WHEN relevance = 'parse_error' THEN 1 ELSE 0 END) AS errors FROM {runs} GROUP BY mode",
-    "a16_ranked_configs": "SELECT *, rank() OVER (ORDER BY w DESC) AS place FROM (SELECT config_key, round(avg(word_recall), 6) AS w FROM {runs} GROUP BY config_key) m",
+        SELECT CAST(sum(d * s) AS BIGINT) AS both_hit, CAST(sum(d * (1 - s)) AS BIGINT) AS dense_only, CAST(sum((1 - d) * s) AS BIGINT) AS sparse_only, CAST(sum((1 - d) * (1 - s)) AS BIGINT) AS neither FROM p""",
+    "a15_judge_summary": "SELECT mode, count(*) AS n, round(CAST(sum(CASE WHEN relevance = 'A' THEN 1 ELSE 0 END) AS BIGINT) / count(*), 6) AS relevance_win, round(CAST(sum(CASE WHEN completeness = 'A' THEN 1 ELSE 0 END) AS BIGINT) / count(*), 6) AS completeness_win, CAST(sum(CASE WHEN relevance = 'parse_error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM {runs} GROUP BY mode",
+    "a16_ranked_configs": "SELECT *, CAST(rank() OVER (ORDER BY w DESC) AS BIGINT) AS place FROM (SELECT config_key, round(avg(word_recall) + 1e-10, 6) AS w FROM {runs} GROUP BY config_key) m",
     "a16_failure_categories": "SELECT category, n FROM (SELECT category, n, row_number() OVER (ORDER BY n DESC, category) AS k FROM (SELECT category, count(*) AS n FROM {runs} WHERE NOT evidence_hit GROUP BY category) c) t WHERE k <= 5",
-    "a17_pareto": """WITH m AS (SELECT config_key, round(avg(word_recall), 6) AS x, round(avg(soft_mrr), 6) AS y, round(avg(soft_recall3), 6) AS z FROM {runs} GROUP BY config_key)
+    "a17_pareto": """WITH m AS (SELECT config_key, round(avg(word_recall) + 1e-10, 6) AS x, round(avg(soft_mrr) + 1e-10, 6) AS y, round(avg(soft_recall3) + 1e-10, 6) AS z FROM {runs} GROUP BY config_key)
         SELECT config_key, x, y, z FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.x >= a.x AND b.y >= a.y AND b.z >= a.z AND (b.x > a.x OR b.y > a.y OR b.z > a.z))""",
-    "a18_pareto_norm": """WITH m AS (SELECT config_key, round(avg(word_recall), 6) AS x, round(avg(soft_mrr), 6) AS y FROM {runs} GROUP BY config_key),
+    "a18_pareto_norm": """WITH m AS (SELECT config_key, round(avg(word_recall) + 1e-10, 6) AS x, round(avg(soft_mrr) + 1e-10, 6) AS y FROM {runs} GROUP BY config_key),
         e AS (SELECT config_key, x, y FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.x >= a.x AND b.y >= a.y AND (b.x > a.x OR b.y > a.y))),
         s AS (SELECT *, min(x) OVER () AS x0, max(x) OVER () AS x1, min(y) OVER () AS y0, max(y) OVER () AS y1 FROM e)
-        SELECT config_key, round(CASE WHEN x1 > x0 THEN (x - x0) / (x1 - x0) ELSE 0.0 END, 6) AS nx, round(CASE WHEN y1 > y0 THEN (y - y0) / (y1 - y0) ELSE 0.0 END, 6) AS ny FROM s""",
+        SELECT config_key, round(CASE WHEN x1 > x0 THEN (x - x0) / (x1 - x0) ELSE 0e0 END, 6) AS nx, round(CASE WHEN y1 > y0 THEN (y - y0) / (y1 - y0) ELSE 0e0 END, 6) AS ny FROM s""",
     # overlap analysis
     "o01_group_sizes": f"SELECT finder_id, config_key, gsize FROM ({SIZED}) s",
-    "o02_headline": f"WITH s AS ({SIZED}), g AS (SELECT finder_id, retrieved_ids, count(*) AS n FROM {{runs}} GROUP BY finder_id, retrieved_ids) SELECT sum(CASE WHEN n >= 2 THEN 1 ELSE 0 END) AS groups, sum(CASE WHEN n >= 2 THEN n ELSE 0 END) AS runs_in_groups, sum(CASE WHEN n >= 2 THEN n - 1 ELSE 0 END) AS redundant, count(*) AS contexts FROM g",
+    "o02_headline": f"WITH s AS ({SIZED}), g AS (SELECT finder_id, retrieved_ids, count(*) AS n FROM {{runs}} GROUP BY finder_id, retrieved_ids) SELECT CAST(sum(CASE WHEN n >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS groups, CAST(sum(CASE WHEN n >= 2 THEN n ELSE 0 END) AS BIGINT) AS runs_in_groups, CAST(sum(CASE WHEN n >= 2 THEN n - 1 ELSE 0 END) AS BIGINT) AS redundant, count(*) AS contexts FROM g",
     "o02_size_histogram": "WITH g AS (SELECT finder_id, retrieved_ids, count(*) AS n FROM {runs} GROUP BY finder_id, retrieved_ids) SELECT n AS size, count(*) AS groups FROM g GROUP BY n",
-    "o03_axis_table": f"WITH src AS ({SIZED}), ax AS ({AX}) SELECT axis, value, count(*) AS n, sum(CASE WHEN gsize > 1 THEN 1 ELSE 0 END) AS collapsed FROM ax GROUP BY axis, value",
-    "o03_axis_varies": f"WITH src AS ({SIZED}), ax AS ({AX}), g AS (SELECT axis, finder_id, retrieved_ids, count(DISTINCT value) AS v FROM ax WHERE gsize > 1 GROUP BY axis, finder_id, retrieved_ids) SELECT axis, count(*) AS groups, sum(CASE WHEN v > 1 THEN 1 ELSE 0 END) AS varies FROM g GROUP BY axis",
-    "o04_level_composition": f"WITH s AS ({SIZED}), g AS (SELECT finder_id, retrieved_ids, count(*) AS n, min(level) AS lo, max(level) AS hi FROM s WHERE gsize > 1 GROUP BY finder_id, retrieved_ids) SELECT lo, hi, count(*) AS groups, sum(n) AS runs FROM g GROUP BY lo, hi",
-    "o05_level_attribution": f"WITH s AS ({SIZED}), l AS (SELECT *, count(*) OVER (PARTITION BY finder_id, retrieved_ids, level) AS same FROM s) SELECT level, sum(CASE WHEN gsize > same THEN 1 ELSE 0 END) AS cross_level, sum(CASE WHEN same > 1 THEN 1 ELSE 0 END) AS same_level, count(*) AS n FROM l GROUP BY level",
-    "o06_within_level": "WITH g AS (SELECT level, finder_id, retrieved_ids, count(*) AS n FROM {runs} GROUP BY level, finder_id, retrieved_ids) SELECT level, sum(n) AS runs, count(*) AS contexts, sum(n) - count(*) AS redundant FROM g GROUP BY level",
+    "o03_axis_table": f"WITH src AS ({SIZED}), ax AS ({AX}) SELECT axis, value, count(*) AS n, CAST(sum(CASE WHEN gsize > 1 THEN 1 ELSE 0 END) AS BIGINT) AS collapsed FROM ax GROUP BY axis, value",
+    "o03_axis_varies": f"WITH src AS ({SIZED}), ax AS ({AX}), g AS (SELECT axis, finder_id, retrieved_ids, count(DISTINCT value) AS v FROM ax WHERE gsize > 1 GROUP BY axis, finder_id, retrieved_ids) SELECT axis, count(*) AS groups, CAST(sum(CASE WHEN v > 1 THEN 1 ELSE 0 END) AS BIGINT) AS varies FROM g GROUP BY axis",
+    "o04_level_composition": f"WITH s AS ({SIZED}), g AS (SELECT finder_id, retrieved_ids, count(*) AS n, min(level) AS lo, max(level) AS hi FROM s WHERE gsize > 1 GROUP BY finder_id, retrieved_ids) SELECT lo, hi, count(*) AS groups, CAST(sum(n) AS BIGINT) AS runs FROM g GROUP BY lo, hi",
+    "o05_level_attribution": f"WITH s AS ({SIZED}), l AS (SELECT *, count(*) OVER (PARTITION BY finder_id, retrieved_ids, level) AS same FROM s) SELECT level, CAST(sum(CASE WHEN gsize > same THEN 1 ELSE 0 END) AS BIGINT) AS cross_level, CAST(sum(CASE WHEN same > 1 THEN 1 ELSE 0 END) AS BIGINT) AS same_level, count(*) AS n FROM l GROUP BY level",
+    "o06_within_level": "WITH g AS (SELECT level, finder_id, retrieved_ids, count(*) AS n FROM {runs} GROUP BY level, finder_id, retrieved_ids) SELECT level, CAST(sum(n) AS BIGINT) AS runs, count(*) AS contexts, CAST(sum(n) AS BIGINT) - count(*) AS redundant FROM g GROUP BY level",
     "o07_drop_level": """WITH k(name, lo, hi) AS (SELECT * FROM (VALUES ('all', 1, 2), ('only1', 1, 1), ('only2', 2, 2)) v(name, lo, hi)),
         g AS (SELECT name, finder_id, retrieved_ids, count(*) AS n FROM {runs} JOIN k ON level BETWEEN lo AND hi GROUP BY name, finder_id, retrieved_ids)
-        SELECT name, sum(n) AS runs, count(*) AS contexts, round(1.0 - count(*) / sum(n), 6) AS redundancy FROM g GROUP BY name""",
-    "o08_cross_level": "SELECT a.mode, count(*) AS cells, sum(CASE WHEN a.retrieved_ids = b.retrieved_ids THEN 1 ELSE 0 END) AS equal FROM {runs} a JOIN {runs} b ON a.finder_id = b.finder_id AND a.mode = b.mode AND a.enhance = b.enhance AND a.alpha = b.alpha AND a.level < b.level GROUP BY a.mode",
-    "o09_collapse_correlation": f"""WITH s AS ({SIZED}), p AS (SELECT CASE WHEN a.gsize > 1 THEN 1.0 ELSE 0.0 END AS x, CASE WHEN b.gsize > 1 THEN 1.0 ELSE 0.0 END AS y FROM s a JOIN s b ON a.finder_id = b.finder_id AND a.mode = b.mode AND a.enhance = b.enhance AND a.alpha = b.alpha AND a.level < b.level),
+        SELECT name, CAST(sum(n) AS BIGINT) AS runs, count(*) AS contexts, round(1e0 - count(*) / CAST(sum(n) AS BIGINT), 6) AS redundancy FROM g GROUP BY name""",
+    "o08_cross_level": "SELECT a.mode, count(*) AS cells, CAST(sum(CASE WHEN a.retrieved_ids = b.retrieved_ids THEN 1 ELSE 0 END) AS BIGINT) AS equal FROM {runs} a JOIN {runs} b ON a.finder_id = b.finder_id AND a.mode = b.mode AND a.enhance = b.enhance AND a.alpha = b.alpha AND a.level < b.level GROUP BY a.mode",
+    "o09_collapse_correlation": f"""WITH s AS ({SIZED}), p AS (SELECT CASE WHEN a.gsize > 1 THEN 1e0 ELSE 0e0 END AS x, CASE WHEN b.gsize > 1 THEN 1e0 ELSE 0e0 END AS y FROM s a JOIN s b ON a.finder_id = b.finder_id AND a.mode = b.mode AND a.enhance = b.enhance AND a.alpha = b.alpha AND a.level < b.level),
         m AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(y) AS DOUBLE) AS sy, CAST(sum(x * y) AS DOUBLE) AS sxy FROM p)
-        SELECT round((n * sxy - sx * sy) / nullif(sqrt((n * sx - sx * sx) * (n * sy - sy * sy)), 0.0), 6) AS phi FROM m""",
-    "o10_alpha_suppresses": "WITH c AS (SELECT finder_id, level, enhance, alpha, count(DISTINCT retrieved_ids) AS k FROM {runs} GROUP BY finder_id, level, enhance, alpha) SELECT alpha, count(*) AS cells, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS identical FROM c GROUP BY alpha",
-    "o11_enhancement_inert": "SELECT count(*) AS pairs, sum(CASE WHEN a.retrieved_ids = b.retrieved_ids THEN 1 ELSE 0 END) AS inert FROM {runs} a JOIN {runs} b ON a.finder_id = b.finder_id AND a.level = b.level AND a.mode = b.mode AND a.alpha = b.alpha AND a.enhance = 0 AND b.enhance = 1",
-    "o12_category_table": f"WITH s AS ({SIZED}) SELECT category, count(*) AS runs, sum(CASE WHEN gsize > 1 THEN 1 ELSE 0 END) AS collapsed, count(DISTINCT retrieved_ids) AS contexts FROM s WHERE category IS NOT NULL GROUP BY category",
+        SELECT round((n * sxy - sx * sy) / nullif(sqrt((n * sx - sx * sx) * (n * sy - sy * sy)), 0e0), 6) AS phi FROM m""",
+    "o10_alpha_suppresses": "WITH c AS (SELECT finder_id, level, enhance, alpha, count(DISTINCT retrieved_ids) AS k FROM {runs} GROUP BY finder_id, level, enhance, alpha) SELECT alpha, count(*) AS cells, CAST(sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS BIGINT) AS identical FROM c GROUP BY alpha",
+    "o11_enhancement_inert": "SELECT count(*) AS pairs, CAST(sum(CASE WHEN a.retrieved_ids = b.retrieved_ids THEN 1 ELSE 0 END) AS BIGINT) AS inert FROM {runs} a JOIN {runs} b ON a.finder_id = b.finder_id AND a.level = b.level AND a.mode = b.mode AND a.alpha = b.alpha AND a.enhance = 0 AND b.enhance = 1",
+    "o12_category_table": f"WITH s AS ({SIZED}) SELECT category, count(*) AS runs, CAST(sum(CASE WHEN gsize > 1 THEN 1 ELSE 0 END) AS BIGINT) AS collapsed, count(DISTINCT retrieved_ids) AS contexts FROM s WHERE category IS NOT NULL GROUP BY category",
     "o13_cross_query": "SELECT retrieved_ids, count(DISTINCT finder_id) AS questions FROM {runs} WHERE retrieved_ids <> '' GROUP BY retrieved_ids HAVING count(DISTINCT finder_id) > 1",
     # statistics
     "x01_base_config": "SELECT finder_id, regexp_replace(config_key, '_A[01](_[A-Z]+)?$', '') AS base_config, alpha, soft_recall3 FROM {runs}",
     "x02_paired_alpha": "SELECT finder_id, avg(CASE WHEN alpha = 0 THEN soft_recall3 END) AS a0, avg(CASE WHEN alpha = 1 THEN soft_recall3 END) AS a1 FROM {runs} GROUP BY finder_id HAVING count(CASE WHEN alpha = 0 THEN 1 END) > 0 AND count(CASE WHEN alpha = 1 THEN 1 END) > 0",
     "x05_up_down": """WITH p AS (SELECT finder_id, regexp_replace(config_key, '_A[01]$', '') AS c, max(CASE WHEN alpha = 1 THEN word_recall END) - max(CASE WHEN alpha = 0 THEN word_recall END) AS d FROM {runs} GROUP BY finder_id, regexp_replace(config_key, '_A[01]$', ''))
-        SELECT c AS base_config, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS up, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS down, sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) AS flat FROM p GROUP BY c""",
+        SELECT c AS base_config, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS up, CAST(sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS BIGINT) AS down, CAST(sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) AS BIGINT) AS flat FROM p GROUP BY c""",
     "x08_destinations": "SELECT alpha, top_section, n FROM (SELECT alpha, top_section, count(*) AS n, row_number() OVER (PARTITION BY alpha ORDER BY count(*) DESC, top_section) AS k FROM {runs} GROUP BY alpha, top_section) t WHERE k <= 3",
-    "x09_query_detail": "SELECT finder_id, round(avg(CASE WHEN alpha = 0 THEN word_recall END), 6) AS a0, round(avg(CASE WHEN alpha = 1 THEN word_recall END), 6) AS a1, round(avg(CASE WHEN alpha = 1 THEN word_recall END) - avg(CASE WHEN alpha = 0 THEN word_recall END), 6) AS delta FROM {runs} GROUP BY finder_id",
+    "x09_query_detail": "SELECT finder_id, round(avg(CASE WHEN alpha = 0 THEN word_recall END) + 1e-10, 6) AS a0, round(avg(CASE WHEN alpha = 1 THEN word_recall END) + 1e-10, 6) AS a1, round(avg(CASE WHEN alpha = 1 THEN word_recall END) - avg(CASE WHEN alpha = 0 THEN word_recall END), 6) AS delta FROM {runs} GROUP BY finder_id",
     "x10_joint_score": f"SELECT finder_id, config_key, CAST({JOINT} AS DOUBLE) AS joint FROM {{runs}}",
     "x11_complete_matrix": "SELECT count(DISTINCT finder_id) * count(DISTINCT config_key) = count(*) AS complete, count(*) AS n FROM {runs}",
-    "x12_config_scores": f"SELECT config_key, round(avg(CAST({JOINT} AS DOUBLE)), 6) AS score, round(avg(CASE WHEN relevance = 'A' THEN 1.0 ELSE 0.0 END), 6) AS win, round(avg(CASE WHEN relevance = 'B' THEN 1.0 ELSE 0.0 END), 6) AS loss FROM {{runs}} GROUP BY config_key",
-    "x13_summary_rank": f"SELECT config_key, score, rank() OVER (ORDER BY score DESC) AS place FROM (SELECT config_key, round(avg(CAST({JOINT} AS DOUBLE)), 6) AS score FROM {{runs}} GROUP BY config_key) s",
+    "x12_config_scores": f"SELECT config_key, round(avg(CAST({JOINT} AS DOUBLE)) + 1e-10, 6) AS score, round(avg(CASE WHEN relevance = 'A' THEN 1e0 ELSE 0e0 END) + 1e-10, 6) AS win, round(avg(CASE WHEN relevance = 'B' THEN 1e0 ELSE 0e0 END) + 1e-10, 6) AS loss FROM {{runs}} GROUP BY config_key",
+    "x13_summary_rank": f"SELECT config_key, score, CAST(rank() OVER (ORDER BY score DESC) AS BIGINT) AS place FROM (SELECT config_key, round(avg(CAST({JOINT} AS DOUBLE)) + 1e-10, 6) AS score FROM {{runs}} GROUP BY config_key) s",
     "x18_verdict_table": "SELECT relevance, completeness, count(*) AS n FROM {runs} GROUP BY relevance, completeness",
-    "x18_decided": "SELECT config_key, sum(CASE WHEN relevance IN ('A', 'B') THEN 1 ELSE 0 END) AS decided, sum(CASE WHEN relevance IN ('is_baseline', 'same_as_baseline', 'no_baseline') THEN 1 ELSE 0 END) AS structural, sum(CASE WHEN relevance = 'Tie' THEN 1 ELSE 0 END) AS ties FROM {runs} GROUP BY config_key",
-    "x19_mode_marginal": "WITH m AS (SELECT finder_id, mode, avg(word_recall) AS w, count(*) AS n FROM {runs} GROUP BY finder_id, mode) SELECT a.mode, count(*) AS questions, round(avg(a.w - b.w), 6) AS delta, min(a.n) = max(b.n) AS balanced FROM m a JOIN m b ON a.finder_id = b.finder_id AND b.mode = 'sparse' AND a.mode <> 'sparse' GROUP BY a.mode",
+    "x18_decided": "SELECT config_key, CAST(sum(CASE WHEN relevance IN ('A', 'B') THEN 1 ELSE 0 END) AS BIGINT) AS decided, CAST(sum(CASE WHEN relevance IN ('is_baseline', 'same_as_baseline', 'no_baseline') THEN 1 ELSE 0 END) AS BIGINT) AS structural, CAST(sum(CASE WHEN relevance = 'Tie' THEN 1 ELSE 0 END) AS BIGINT) AS ties FROM {runs} GROUP BY config_key",
+    "x19_mode_marginal": "WITH m AS (SELECT finder_id, mode, avg(word_recall) AS w, count(*) AS n FROM {runs} GROUP BY finder_id, mode) SELECT a.mode, count(*) AS questions, round(avg(a.w - b.w) + 1e-10, 6) AS delta, min(a.n) = max(b.n) AS balanced FROM m a JOIN m b ON a.finder_id = b.finder_id AND b.mode = 'sparse' AND a.mode <> 'sparse' GROUP BY a.mode",
     "x20_contrasts": """WITH src AS (SELECT finder_id, word_recall, level, mode, enhance, alpha FROM {runs}),
         c AS (SELECT 'level' AS contrast, finder_id, CASE WHEN level = 2 THEN 1 ELSE 0 END AS t, word_recall FROM src UNION ALL SELECT 'enhance', finder_id, enhance, word_recall FROM src UNION ALL SELECT 'alpha', finder_id, alpha, word_recall FROM src UNION ALL SELECT 'hybrid_vs_dense', finder_id, CASE WHEN mode = 'hybrid' THEN 1 ELSE 0 END, word_recall FROM src WHERE mode <> 'sparse'),
         q AS (SELECT contrast, finder_id, avg(CASE WHEN t = 1 THEN word_recall END) - avg(CASE WHEN t = 0 THEN word_recall END) AS d, count(CASE WHEN t = 1 THEN 1 END) = count(CASE WHEN t = 0 THEN 1 END) AS crossed FROM c GROUP BY contrast, finder_id)
-        SELECT contrast, count(*) AS questions, round(avg(d), 6) AS effect, min(CASE WHEN crossed THEN 1 ELSE 0 END) AS crossed FROM q GROUP BY contrast""",
+        SELECT contrast, count(*) AS questions, round(avg(d) + 1e-10, 6) AS effect, min(CASE WHEN crossed THEN 1 ELSE 0 END) AS crossed FROM q GROUP BY contrast""",
     "x22_regime_cube": "SELECT mode, category, count(*) AS n, count(DISTINCT finder_id) AS trials FROM {runs} GROUP BY CUBE (mode, category)",
-    "x23_figure_data": "SELECT config_key, category, round(avg(soft_mrr), 6) AS mean, round(min(soft_mrr), 6) AS low, round(max(soft_mrr), 6) AS high FROM {runs} GROUP BY config_key, category",
+    "x23_figure_data": "SELECT config_key, category, round(avg(soft_mrr) + 1e-10, 6) AS mean, round(min(soft_mrr), 6) AS low, round(max(soft_mrr), 6) AS high FROM {runs} GROUP BY config_key, category",
 }
 
 
