@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import sweep_queries, table_queries
+from siltstone.plans import sweep_queries, table_queries, text_queries
 
-MODULES = (sweep_queries, table_queries)
+MODULES = (sweep_queries, table_queries, text_queries)
 
 
 def entry(spark, sf_dir):
