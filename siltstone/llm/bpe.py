@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token is a linked list of symbols.  The queue has a bucket per merge rank that holds list positions, and a bitmap
-tree of 64-bit words over the ranks: find-first-set from the top gives the lowest rank that waits, in as many steps for
+tree of 512-bit words over the ranks: find-first-set from the top gives the lowest rank that waits, in as many steps for
 a pre-token of a million bytes as for one of ten.  Entries whose symbols have changed since are skipped when they come up.
 """
 
@@ -35,15 +35,19 @@ def vocabulary(path: str) -> list[bytes]:
     return tokens
 
 
+#: Bits of a word of the bitmap tree: two levels of 512-bit words serve 2**18 ranks.
+BITS = [1 << k for k in range(512)]
+
+
 class RankQueue:
-    """Buckets of list positions by merge rank, under a bitmap tree of three levels of 64-bit words (up to 2**18 ranks).
+    """Buckets of list positions by merge rank, under a bitmap tree of two levels of 512-bit words.
 
-    ``Codec.merge`` works on the three levels directly; a queue is empty again after each pre-token.
+    ``Codec.merge`` works on the levels directly; a queue is empty again after each pre-token.
     """
 
     def __init__(self):
         self.buckets: dict[int, list[int]] = {}
-        self.low, self.middle = [0] * 4096, [0] * 64
+        self.low = [0] * 512
 
 
 class Codec:
@@ -53,12 +57,16 @@ class Codec:
         self.tokens = vocabulary(path)
         self.ranks = {token: rank for rank, token in enumerate(self.tokens) if token}
         self.single = [self.ranks[bytes([b])] for b in range(256)]
+        if len(self.tokens) > 1 << 18:
+            raise ValueError(f"{path}: {len(self.tokens)} ranks, at most {1 << 18} are supported")
         self.pairs: dict[int, int] = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 20 | right] = rank
+        # Rank of each pair of bytes, and of none.
+        self.byte_pairs = [self.ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]
         self.queue = RankQueue()
         self.find = pre_tokens(pattern)
         self.first = TwoGenerations(self.encode_chunk, CACHE)
@@ -66,60 +74,67 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token by merging."""
-        single = self.single
-        symbols = [single[b] for b in piece]
-        n, pair = len(symbols), self.pairs.get
+        n, pair, byte_pairs, bits = len(piece), self.pairs.get, self.byte_pairs, BITS
+        symbols = list(map(self.single.__getitem__, piece))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        buckets, low, middle, top = self.queue.buckets, self.queue.low, self.queue.middle, 0
-        fresh = [(pair(symbols[at] << 20 | symbols[at + 1]), at) for at in range(n - 1)]
-        while True:
-            for rank, at in fresh:
-                if rank is None:
-                    continue
-                bucket = buckets.get(rank)
-                if bucket is not None:
-                    heappush(bucket, at)
-                    continue
-                buckets[rank] = [at]
-                low[rank >> 6] |= 1 << (rank & 63)
-                middle[rank >> 12] |= 1 << (rank >> 6 & 63)
-                top |= 1 << (rank >> 12)
-            if not top:
-                return [s for s in symbols if s >= 0]
+        buckets, low, top = self.queue.buckets, self.queue.low, 0
+        # The rank of the pair that starts at a position now: an entry of another rank is stale.
+        waits = [byte_pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        for at, rank in enumerate(waits):
+            if rank is None:
+                continue
+            if rank in buckets:
+                buckets[rank].append(at)  # ascending, so a heap
+                continue
+            buckets[rank] = [at]
+            high = rank >> 9
+            low[high] |= bits[rank & 511]
+            top |= bits[high]
+        waits.append(None)
+        while top:
             # Find-first-set, from the top: the lowest rank that waits, and its leftmost position.
             high = (top & -top).bit_length() - 1
-            word = middle[high]
-            high = high << 6 | (word & -word).bit_length() - 1
             word = low[high]
-            rank = high << 6 | (word & -word).bit_length() - 1
+            bit = word & -word
+            rank = high << 9 | bit.bit_length() - 1
             bucket = buckets[rank]
             if len(bucket) > 1:
                 at = heappop(bucket)
             else:
                 at = bucket[0]
                 del buckets[rank]
-                word = low[high] = word & (word - 1)
+                word = low[high] = word ^ bit
                 if not word:
-                    word = middle[rank >> 12] & ~(1 << (high & 63))
-                    middle[rank >> 12] = word
-                    if not word:
-                        top &= ~(1 << (rank >> 12))
-            fresh = ()
-            right = after[at]
-            # Stale: a symbol here has gone or changed, so that the pair no longer has this rank.
-            if symbols[at] < 0 or right >= n or pair(symbols[at] << 20 | symbols[right]) != rank:
+                    top &= top - 1
+            if waits[at] != rank:
                 continue
-            symbols[at], symbols[right] = rank, -1
+            right, left = after[at], before[at]
+            symbols[at], symbols[right], waits[right] = rank, -1, None
             then = after[at] = after[right]
-            left = before[at]
             if then < n:
                 before[then] = at
-                if left >= 0:
-                    fresh = ((pair(rank << 20 | symbols[then]), at), (pair(symbols[left] << 20 | rank), left))
-                else:
-                    fresh = ((pair(rank << 20 | symbols[then]), at),)
-            elif left >= 0:
-                fresh = ((pair(symbols[left] << 20 | rank), left),)
+                fresh = waits[at] = pair(rank << 20 | symbols[then])
+                if fresh is not None:
+                    if fresh in buckets:
+                        heappush(buckets[fresh], at)
+                    else:
+                        buckets[fresh] = [at]
+                        high = fresh >> 9
+                        low[high] |= bits[fresh & 511]
+                        top |= bits[high]
+            else:
+                waits[at] = None
+            if left >= 0:
+                fresh = waits[left] = pair(symbols[left] << 20 | rank)
+                if fresh is not None:
+                    if fresh in buckets:
+                        heappush(buckets[fresh], left)
+                    else:
+                        buckets[fresh] = [left]
+                        high = fresh >> 9
+                        low[high] |= bits[fresh & 511]
+                        top |= bits[high]
+        return [s for s in symbols if s >= 0]
 
     def encode_piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "replace")
