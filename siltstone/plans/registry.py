@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import sweep_queries, table_queries, text_queries
+from siltstone.plans import routing_queries, sweep_queries, table_queries, text_queries
 
-MODULES = (sweep_queries, table_queries, text_queries)
+MODULES = (sweep_queries, table_queries, text_queries, routing_queries)
 
 
 def entry(spark, sf_dir):
