@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import routing_queries, sweep_queries, table_queries, text_queries
+from siltstone.plans import filing_queries, routing_queries, sweep_queries, table_queries, text_queries
 
-MODULES = (sweep_queries, table_queries, text_queries, routing_queries)
+MODULES = (sweep_queries, table_queries, text_queries, routing_queries, filing_queries)
 
 
 def entry(spark, sf_dir):
