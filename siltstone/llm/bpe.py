@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from siltstone.llm.pretokens import TwoGenerations, chunk_lines, pre_tokens
 
 #: Entries of one generation of a worker's two caches, about 250 bytes each.
-CACHE = 550_000
+CACHE = 450_000
 #: Rows encoded or decoded at a time.
 ROWS = 1000
 
