@@ -87,3 +87,12 @@ def fingerprint(ids: Column) -> Column:
     """Aggregate: 12 hex digits that depend on the set of ids and not on their order (sums of hashes, combined before any shuffle)."""
     part = lambda at: F.sum(F.conv(F.substring(F.md5(ids.cast("string")), at, 8), 16, 10).cast("bigint")).cast("string")
     return F.substring(F.sha1(F.concat_ws("|", F.count(ids).cast("string"), part(1), part(9))), 1, 12)
+
+
+def accuracy(rows: DataFrame, truth: str, guess: str) -> DataFrame:
+    """One row: n, accuracy, macro_f1 (mean over all classes that occur as truth or guess; a class without a hit counts 0).  From the confusion table."""
+    cells = rows.groupBy(F.col(truth).alias("t"), F.col(guess).alias("g")).agg(F.count("*").alias("n"))
+    hit, sides = F.when(F.col("t") == F.col("g"), F.col("n")).otherwise(0), F.array(F.struct(F.col("t").alias("class"), F.lit(1).alias("side")), F.struct(F.col("g").alias("class"), F.lit(0).alias("side")))
+    classes = cells.select("n", hit.alias("hit"), F.inline(sides)).where("class IS NOT NULL").groupBy("class").agg(F.sum("n").alias("both"), F.sum(F.when(F.col("side") == 1, F.col("hit")).otherwise(0)).alias("tp"))
+    f1 = classes.agg(F.round(F.avg(2.0 * F.col("tp") / F.col("both")), 6).alias("macro_f1"))
+    return cells.agg(F.sum("n").alias("n"), F.round(F.try_divide(F.sum(hit), F.sum("n")), 6).alias("accuracy")).crossJoin(F.broadcast(f1))  # one row each

@@ -109,3 +109,11 @@ def bootstrap_best(runs: DataFrame, resamples: int, metric: str = "word_recall",
     means = draw.join(F.broadcast(q.select("k", "finder_id")), "k").join(runs.select("finder_id", "config_key", metric), "finder_id").groupBy("b", "config_key").agg(F.round(F.avg(metric), 9).alias("m"))
     placed = means.withColumn("place", F.row_number().over(W.partitionBy("b").orderBy(F.desc("m"), "config_key")))
     return placed.groupBy("config_key").agg(F.round(F.avg(F.when(F.col("place") == 1, 1.0).otherwise(0.0)), 6).alias("p_best"), F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
+
+
+def against_top(runs: DataFrame, metric: str = "word_recall") -> DataFrame:
+    """config_key, finder_id, d: the best config's metric (by mean, ties by name) minus each other config's.  The best config is one row."""
+    best = runs.groupBy("config_key").agg(F.round(F.avg(metric), 9).alias("m")).orderBy(F.desc("m"), "config_key").limit(1).select(F.col("config_key").alias("best"))
+    top = runs.join(F.broadcast(best), F.col("config_key") == F.col("best"), "left_semi").select("finder_id", F.col(metric).alias("b"))
+    others = runs.join(F.broadcast(best), F.col("config_key") == F.col("best"), "left_anti")
+    return others.join(top, "finder_id").select("config_key", "finder_id", F.round(F.col("b") - F.col(metric), 6).alias("d"))

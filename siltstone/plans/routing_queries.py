@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import routing as T
-from siltstone.operators import sweep, truth
+from siltstone.operators import stats, sweep, truth
 from siltstone.operators import understanding as U
 from siltstone.plans.sweep_sql import salient, upto
 
@@ -72,6 +72,10 @@ QUERIES = {
     "t10_fingerprints": lambda s, d: sweep.read(s, d, "documents").groupBy("source").agg(T.fingerprint(F.col("doc_id")).alias("fingerprint")),
     "t11_routes": decided,
     "t14_replies": lambda s, d: replies(s, d).select("conv_id", "turn", F.coalesce(F.array_join(T.chosen_categories(F.col("reply"), F.array(F.lit("c0"), F.lit("c1"), F.lit("c2"))), ","), F.lit("unusable")).alias("chosen")),
+    "x24_accuracy": lambda s, d: T.accuracy(two(s, d).join(sweep.questions(s, d).select("finder_id", "route"), "finder_id"), "route", "c1"),
+    "x14_separation": lambda s, d: stats.wilcoxon(stats.against_top(sweep.runs(s, d)), ["config_key"]),
+    "m17_features": lambda s, d: sweep.runs(s, d).select("finder_id", "config_key", F.size(F.split(F.trim("query"), r"\s+")).alias("query_length"), (F.size(U.explicit_years(F.col("query"))) > 1).alias("year_is_multi")),
+    "u01_keywords": lambda s, d: sweep.read(s, d, "documents").where(F.coalesce(F.col("text").rlike(r"(?i)(?:^|[^a-z0-9])(?:license|copyright|email)(?:[^a-z0-9]|$)"), F.lit(False))).select("doc_id"),
     "m12_truth_chunks": places,
     "m14_truth_alignment": aligned,
     "g05_contexts": prompts,
@@ -105,6 +109,15 @@ SQL = {
     "t10_fingerprints": "SELECT source, substr(sha1(count(doc_id) || '|' || sum(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT)::VARCHAR || '|' || sum(('0x' || substr(md5(doc_id::VARCHAR), 9, 8))::BIGINT)::VARCHAR), 1, 12) AS fingerprint FROM documents GROUP BY source",
     "t11_routes": upto("tracks") + _TWO + " SELECT finder_id, c1, p1, c2, p12, band, CASE band WHEN 'confident' THEN c1 WHEN 'ambiguous' THEN concat_ws(',', c1, c2) ELSE '' END AS categories, CASE band WHEN 'uncertain' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS alpha FROM routed",
     "t14_replies": "SELECT conv_id, turn, ['c1,c2', 'c0', 'unusable', 'unusable', '', 'c1'][(conv_id + turn) % 6 + 1] AS chosen FROM conversations",
+    "x24_accuracy": upto("tracks") + _TWO + """, e AS (SELECT route, c1, route = c1 AS ok FROM cov JOIN questions USING (finder_id)), k AS (SELECT route AS class FROM e UNION SELECT c1 FROM e)
+ SELECT (SELECT count(*) FROM e) AS n, (SELECT round(avg(ok::INT), 6) FROM e) AS accuracy, round(avg((SELECT 2.0::DOUBLE * count(*) FILTER (ok AND route = class) / (count(*) FILTER (route = class) + count(*) FILTER (c1 = class)) FROM e)), 6) AS macro_f1 FROM k""",
+    "x14_separation": upto("runs") + """, best AS (SELECT config_key FROM runs GROUP BY config_key ORDER BY round(avg(word_recall), 9) DESC, config_key LIMIT 1),
+ d AS (SELECT r.config_key, round(t.word_recall - r.word_recall, 6) AS d FROM runs r JOIN runs t USING (finder_id) WHERE t.config_key = (SELECT config_key FROM best) AND r.config_key <> (SELECT config_key FROM best)),
+ k AS (SELECT config_key, d, count(*) OVER (PARTITION BY config_key, abs(d)) AS t, rank() OVER (PARTITION BY config_key ORDER BY abs(d)) AS r0 FROM d WHERE d <> 0),
+ w AS (SELECT config_key, count(*) AS n, sum(CASE WHEN d > 0 THEN r0 + (t - 1) / 2.0::DOUBLE ELSE 0 END)::DOUBLE AS w_plus, sum(CASE WHEN d < 0 THEN r0 + (t - 1) / 2.0::DOUBLE ELSE 0 END)::DOUBLE AS w_minus, sum(t * t - 1) AS ties FROM k GROUP BY config_key)
+ SELECT config_key, n, w_plus, w_minus, round((w_plus - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0), 6) AS z FROM w""",
+    "m17_features": upto("runs") + r" SELECT finder_id, config_key, len(string_split_regex(trim(query), '\s+'))::INT AS query_length, len(list_distinct(regexp_extract_all(query, '\b20[12][0-9]\b'))) > 1 AS year_is_multi FROM runs",
+    "u01_keywords": "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(?:^|[^a-z0-9])(?:license|copyright|email)(?:[^a-z0-9]|$)')",
     "m12_truth_chunks": upto("chunks") + _places("(SELECT * FROM chunks WHERE level = 2)", "(SELECT doc_id AS finder_id, text AS truth FROM docs1)") + " SELECT * FROM places",
     "m14_truth_alignment": upto("runs") + _places("docs1", "questions") + """, pool AS (SELECT * FROM places UNION SELECT finder_id, chunk_id FROM relevance WHERE greatest(word, num) >= 0.9), c AS (SELECT q.finder_id, count(p.chunk_id) AS n_truth FROM questions q LEFT JOIN pool p USING (finder_id) GROUP BY ALL),
  r AS (SELECT finder_id, config_key, count(p.chunk_id) AS n_found, min(CASE WHEN p.chunk_id IS NOT NULL THEN rank + 1 END)::INT AS best_rank FROM results s LEFT JOIN pool p USING (finder_id, chunk_id) GROUP BY ALL)
