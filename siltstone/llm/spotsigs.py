@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import parts
 
 #: Common words of English, French, German and Spanish, at which chains start.
-ANCHORS = "a an are in is of that the this was des du en est la le les que une das den der die ein eine ist und de el es los las por una con".split()
-#: Words that chains pass over, besides anchors.
-COMMON = (
-    "and as at be but by for from had has have he her his it on or she they to were which with you "
-    "au avec dans elle et il je leur mais ne nous ou par pas pour qui sur un "
-    "aber als auch auf aus bei dem er für ich im mit nach nicht sich sie sind von war wie zu zum "
-    "al como del ella era más me muy no para pero se sin su sus uno y yo"
+ANCHORS = (
+    "a an and are as at be but by for from had has have he her his in is it of on or she that the they this to was were which with you "
+    "au avec dans de des du elle en est et il je la le les leur mais ne nous ou par pas pour que qui sur un une "
+    "aber als auch auf aus bei das dem den der die ein eine er es für ich im ist mit nach nicht sich sie sind und von war wie zu zum "
+    "al como con del el ella era los más me muy no para pero por se sin su sus una uno y yo las"
 ).split()
+#: Words that chains pass over besides anchors: none, every common word is an anchor.
+COMMON: list[str] = []
 #: What stands between words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 

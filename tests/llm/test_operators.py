@@ -143,6 +143,24 @@ def test_spotsigs(docs, empty):
     assert one["near_next"] == 1.0
 
 
+def chains_of(text):
+    """Fingerprint in plain Python: every common word that some text holds starts a chain."""
+    common = "and at for with he it on to by as from dans sur pour mit im auf zu para del como the of a is las".split()
+    w = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", text.lower())
+    found = {(a, *[x for x in w[i + 1 : i + 9] if x not in common][:2]) for i, a in enumerate(w) if a in common}
+    return "".join(sorted({hashlib.md5(" ".join(c).encode()).hexdigest()[:8] for c in found if len(c) == 3} or {hashlib.md5(" ".join(w).encode()).hexdigest()[:8]}))
+
+
+def test_spotsigs_every_common_word_is_an_anchor(spark):
+    texts = [
+        "send letters to Berlin today for Anna with love", "he sat on chairs near it quietly by lamps tonight", "wir gehen mit Hunden spazieren im Wald heute auf Bergen oben",
+        "marcher dans Paris toujours sur ponts vieux pour Marie demain", "comprar pan para Juan hoy del horno como siempre antes", "plain words alone",
+    ]
+    got = {r["doc_id"]: r for r in spotsigs.fingerprint_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i: r["fingerprint"] for i, r in got.items()} == {i: chains_of(t) for i, t in enumerate(texts)}
+    assert all(got[i]["near_edited"] > 0 for i in range(5))  # each keeps three quarters of its text
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     sizes, taken, target = {}, {}, {}
