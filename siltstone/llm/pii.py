@@ -4,8 +4,11 @@ Base kinds (email, ip, card, phone) are patterns with a check, and what passes i
 propose more spans that may overlap these: long runs of digits with separators, long mixed tokens, spelled-out addresses.
 Each candidate has a few discrete features; candidates with equal features form a cell, and cells with their counts are
 all that training sees, so trees are fitted to every candidate in the data though the table of cells has a fixed bound.
-Labels are weak: a number that overlaps a checked span, or a token that a word such as "token" or "key" introduces, is
-positive.  The threshold is the lowest score above which cells hold the wanted share of positives.
+Labels are weak, and what gives them is hidden from the features: a candidate that overlaps a checked span, or that a cue
+word ("phone", "account", "token") introduces, is positive.  Plain addresses are candidates too, their @ masked, as are a
+phone's + and country code, so that trees learn what base spans look like without their base format.  A spelled-out
+address without cue is unlabelled, any other candidate negative.  Scores are calibrated to shares of positives that don't
+rise as scores fall; the threshold is the lowest score with the wanted share.  What a cue introduces is always added.
 
 Everything runs inside the rows (no shuffle but that of cell counts); the trees are MLlib's.
 """
@@ -27,9 +30,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NUMBER = r"(?<![0-9A-Za-z])[(+]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
 TOKEN = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+"
 SPELLED = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z]{2,24}"
-CUES = r"(?i)(?:tel|phone|call|fax|mobile|mail|contact|card|visa|account|iban|ssn|passport|ip|host|addr\w*)\W{0,4}$"
+CUES = r"(?i)(?<![A-Za-z])(?:tel|phone|call|fax|mobile|e?-?mail|contact|card|visa|account|iban|ssn|passport|ip|host|addr\w*)(?:\x20?(?:no|nr|number))?\W{0,4}$"
 SECRET_CUES = r"(?i)(?:token|key|secret|passw\w*|auth|bearer)[\"']?\W{0,4}$"
-FEATURES = ("kind", "digits", "separators", "plus", "dots", "luhn", "cue", "secret", "left", "right", "mixed")
+#: A phone's base format.
+PLUS = r"^\+(?:[0-9]{1,3}[\x20.-]+)?"
+FEATURES = ("kind", "digits", "separators", "dots", "luhn", "left", "right", "mixed")
 
 
 def let(value, use):
@@ -107,11 +112,11 @@ def base_spans(text):
 
 
 def candidates(text):
-    """array<struct<start, kind, end, cell>>: proposed spans with their features, joined, in ``cell``."""
+    """array<struct<start, kind, end, cell, cue>>: proposed spans with their features, joined, in ``cell``, and whether a cue word introduces them."""
     lists = [
         ("number", matches(text, NUMBER, text.rlike("[0-9]"))),
         ("secret", F.filter(matches(text, TOKEN, text.rlike("[A-Za-z0-9_-]{24}")), lambda s: s["m"].rlike("[0-9]") & s["m"].rlike("[A-Za-z]"))),
-        ("contact", matches(text, SPELLED, text.rlike(r"[\[(]at[\])]"))),
+        ("contact", F.concat(matches(text, SPELLED, text.rlike(r"[\[(]at[\])]")), matches(text, EMAIL, text.contains("@")))),
     ]
 
     def one(kind):
@@ -121,17 +126,19 @@ def candidates(text):
             left = F.substring(text, F.greatest(start - 15, F.lit(1)).cast("int"), F.least(start, F.lit(16)).cast("int"))
             right = F.substring(text, (end + 1).cast("int"), F.lit(1))
             flag = lambda c: F.when(c, 1).otherwise(0)
+            shape = m if kind == "secret" else F.regexp_replace(m, PLUS, "") if kind == "number" else F.regexp_replace(m, r"[^0-9A-Za-z]", "")
             values = let(
-                F.struct(m.alias("m"), left.alias("l"), right.alias("r"), digits(m).alias("d")),
+                F.struct(shape.alias("m"), left.alias("l"), right.alias("r"), digits(shape).alias("d")),
                 lambda v: F.concat_ws(
                     "|", F.lit(str(("number", "secret", "contact").index(kind))),
                     F.least(F.floor(F.length(v["d"]) / 3), F.lit(7)), F.least(F.length(F.regexp_replace(v["m"], r"[^ ().-]", "")), F.lit(5)),
-                    flag(v["m"].startswith("+")), flag(v["m"].rlike(r"^[0-9]+(?:\.[0-9]+)+$")), flag(luhn_ok(v["m"])), flag(v["l"].rlike(CUES)), flag(v["l"].rlike(SECRET_CUES)),
+                    flag(v["m"].rlike(r"^[0-9]+(?:\.[0-9]+)+$")), flag(luhn_ok(v["m"])) if kind == "number" else F.lit(0),
                     F.when(v["l"].rlike(r"(?:^|\s)$"), 0).when(v["l"].rlike(r"[\"'=:(<]$"), 1).otherwise(2), F.when(v["r"].rlike(r"^(?:$|\s)"), 0).when(v["r"].rlike(r"[\"'),.;>]"), 1).otherwise(2),
                     flag(v["m"].rlike("[a-z]") & v["m"].rlike("[A-Z]")),
                 ),
             )
-            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), values.alias("cell"))
+            cue = left.rlike(SECRET_CUES) if kind == "secret" else left.rlike(CUES) & ~right.rlike("[0-9A-Za-z]")
+            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), values.alias("cell"), cue.alias("cue"))
 
         return make
 
@@ -144,31 +151,48 @@ def overlaps(spans, s):
 
 def accepted_cells(rows: DataFrame, precision: float) -> list[str]:
     """Cells whose candidates are added.  ``rows``: base and proposed spans of each document."""
-    positive = F.when(F.col("c.kind") == "secret", F.element_at(F.split("c.cell", r"\|"), 8) == "1").otherwise(overlaps(F.col("base"), F.col("c")))
-    cells = rows.select("base", F.explode("proposed").alias("c")).groupBy(F.col("c.cell").alias("cell"), F.when(positive, 1.0).otherwise(0.0).alias("label")).agg(F.count("*").cast("double").alias("weight"))
+    positive = F.col("c.cue") | overlaps(F.col("base"), F.col("c"))
+    label = F.when(positive, 1.0).when(F.col("c.kind") != "contact", 0.0)
+    cells = rows.select("base", F.explode("proposed").alias("c")).groupBy(F.col("c.cell").alias("cell"), label.alias("label")).agg(F.count("*").cast("double").alias("weight"))
     values = F.split("cell", r"\|")
     cells = table(cells.select("cell", "label", "weight", *[F.get(values, k).cast("double").alias(f) for k, f in enumerate(FEATURES)]), "pii-cells")
-    if cells.select("label").distinct().count() < 2:
+    labels = {r["label"] for r in cells.where("label IS NOT NULL").select("label").distinct().collect()}  # two at most
+    if 1.0 not in labels:
         return []
+    if 0.0 not in labels:  # nothing to tell apart: whatever is of a kind that has positives
+        return [r["cell"] for r in cells.join(cells.where("label = 1").select("kind").distinct(), "kind", "left_semi").select("cell").distinct().collect()]
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(cells.coalesce(1))
-    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=10, maxDepth=3, stepSize=0.3, seed=7).fit(vectors)
-    scored = model.transform(vectors).groupBy("cell").agg(F.first(F.element_at(vector_to_array("probability"), 2)).alias("p"), F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("ones"))
-    found, good, n, total, cut = scored.orderBy(F.desc("p"), "cell").collect(), [], 0.0, 0.0, 0  # as many rows as there are cells
-    for k, r in enumerate(found):
-        n, total = n + r["n"], total + r["ones"]
-        good.append(r["cell"])
-        if (k + 1 == len(found) or found[k + 1]["p"] < r["p"]) and total >= precision * n:
-            cut = k + 1
-    return good[:cut]
+    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=10, maxDepth=3, stepSize=0.3, seed=7).fit(vectors.where("label IS NOT NULL"))
+    known = F.when(F.col("label").isNotNull(), F.col("weight")).otherwise(0.0)
+    scored = model.transform(vectors).groupBy("cell").agg(F.first(F.element_at(vector_to_array("probability"), 2)).alias("p"), F.sum(known).alias("n"), F.sum(F.coalesce(F.col("weight") * F.col("label"), F.lit(0.0))).alias("ones"))
+    found = scored.orderBy(F.desc("p"), "cell").collect()  # as many rows as there are cells
+    threshold = lowest_score([(r["p"], r["n"], r["ones"]) for r in found], precision)
+    return [r["cell"] for r in found if r["p"] >= threshold]
+
+
+def lowest_score(scored: list[tuple[float, float, float]], precision: float) -> float:
+    """Lowest score whose calibrated share is ``precision`` at least (infinity for none).  ``scored``: score, labelled, positive, by falling score.
+
+    Shares are calibrated by pooling neighbours until they fall with the score, so many good cells don't carry bad ones.
+    """
+    pools: list[tuple[float, float, float]] = []
+    for p, n, ones in scored:
+        if n == 0:
+            continue
+        pools.append((p, n, ones))
+        while len(pools) > 1 and (pools[-1][0] == pools[-2][0] or pools[-1][2] * pools[-2][1] > pools[-2][2] * pools[-1][1]):
+            last, before = pools.pop(), pools.pop()
+            pools.append((last[0], before[1] + last[1], before[2] + last[2]))
+    return min((p for p, n, ones in pools if ones >= precision * n), default=float("inf"))
 
 
 def chosen(rows: DataFrame, cells: list[str]):
-    """Of the proposed spans those of accepted cells that overlap no checked span."""
-    picked = F.filter("proposed", lambda s: s["cell"].isin(*cells)) if cells else F.expr("filter(proposed, s -> false)")
+    """Of the proposed spans those of accepted cells or with a cue word that overlap no checked span."""
+    picked = F.filter("proposed", lambda s: s["cue"] | s["cell"].isin(*cells)) if cells else F.filter("proposed", lambda s: s["cue"])
     picked = F.filter(picked, lambda s: ~overlaps(F.col("base"), s))
     return rows.withColumn("added", F.transform(picked, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).drop("proposed")
 

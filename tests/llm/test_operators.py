@@ -143,6 +143,30 @@ def test_spotsigs(docs, empty):
     assert one["near_next"] == 1.0
 
 
+def test_pii_beyond_the_base(spark):
+    rng = random.Random(5)
+    ten = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    texts = [f"fine words +1 {ten()} and anna.{k}@mail.example here" for k in range(60)] + [f"the part {k % 9 + 1}11111111111111{k % 10} is in stock" for k in range(60) if not luhn(f"{k % 9 + 1}11111111111111{k % 10}")]
+    texts += [f'token = "{k:02d}abcdef0123456789abcdef0123456789"' for k in range(20)]
+    n = len(texts)
+    texts += ["write bob.b [at] host [dot] example soon", "we met at (301) 555-0142 today", "SSN: 123-45-6789", "ship 4111-2222-333 4", "the part 4111111111111112 is in stock", "value = \"90abcdef0123456789abcdef0123456789\" there"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    text = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert text[n] == "write [CONTACT] soon" and text[n + 1] == "we met at [NUMBER] today" and text[n + 2] == "SSN: [NUMBER]"
+    assert text[n + 4] == texts[n + 4] and text[n + 5] == "value = \"[SECRET]\" there" and all(text[k] == texts[k] for k in range(n) if texts[k].startswith("the part"))
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(df).collect()}
+    assert spans[n] == f"contact:6:{texts[n].index(' soon')}" and spans[n + 1] == f"number:10:{texts[n + 1].index(' today')}"
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def test_pii_threshold_is_calibrated():
+    assert pii.lowest_score([(0.9, 100, 99), (0.5, 10, 5), (0.1, 3, 0)], 0.9) == 0.9  # the good cells don't carry the bad ones
+    assert pii.lowest_score([(0.9, 10, 8), (0.8, 10, 10), (0.7, 0, 0), (0.1, 3, 0)], 0.9) == 0.8 and pii.lowest_score([(0.9, 2, 0)], 0.9) == float("inf")
+
+
 def chains_of(text):
     """Fingerprint in plain Python: every common word that some text holds starts a chain."""
     common = "and at for with he it on to by as from dans sur pour mit im auf zu para del como the of a is las".split()
