@@ -6,11 +6,15 @@ Each candidate has a few discrete features; candidates with equal features form
 all that training sees, so trees are fitted to every candidate in the data though the table of cells has a fixed bound.
 Labels are weak, and what gives them is hidden from the features: a candidate that overlaps a checked span, or that a cue
 word ("phone", "account", "token") introduces, is positive.  Plain addresses are candidates too, their @ masked, as are a
-phone's + and country code, so that trees learn what base spans look like without their base format.  A spelled-out
-address without cue is unlabelled, any other candidate negative.  Scores are calibrated to shares of positives that don't
-rise as scores fall; the threshold is the lowest score with the wanted share.  What a cue introduces is always added.
-
-Everything runs inside the rows (no shuffle but that of cell counts); the trees are MLlib's.
+phone's + and country code; check digits and the dots of an address aren't features either, so that trees learn what base
+spans look like without their base format.  A spelled-out address without cue is unlabelled, any other candidate negative.
+Trees learn from three quarters of the texts.  On the rest scores are calibrated, kind by kind, to shares of positives that
+don't rise as scores fall; a kind's threshold is the lowest score with the wanted share.  What a cue introduces is always
+added.
+
+Everything runs inside the rows (no shuffle but that of cell counts); the trees are MLlib's.  Work is in proportion to a
+text's length and the number of its candidates: contexts come from the pieces between matches, overlaps from one merged
+order of spans, and texts are rebuilt in blocks.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import drop, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns, written so that no match is tried twice from inside a run, and what a text needs for one.
@@ -34,7 +38,9 @@ CUES = r"(?i)(?<![A-Za-z])(?:tel|phone|call|fax|mobile|e?-?mail|contact|card|vis
 SECRET_CUES = r"(?i)(?:token|key|secret|passw\w*|auth|bearer)[\"']?\W{0,4}$"
 #: A phone's base format.
 PLUS = r"^\+(?:[0-9]{1,3}[\x20.-]+)?"
-FEATURES = ("kind", "digits", "separators", "dots", "luhn", "left", "right", "mixed")
+FEATURES = ("kind", "digits", "separators", "left", "right", "mixed")
+#: Code points that a text is rebuilt in.
+BLOCK = 4096
 
 
 def let(value, use):
@@ -56,20 +62,32 @@ def running(values, zero, merge, block: int = 64):
     return let(values, lambda v: F.when(F.size(v) > 0, body(v)))
 
 
-def matches(text, pattern: str, possible):
-    """array<struct<m, start>> of a pattern's matches (start in code points from 0); empty where not ``possible``."""
+def matches(text, pattern: str, possible, context: bool = False):
+    """array<struct<m, start>> of a pattern's matches (start in code points from 0), with the 16 characters to the left
+    and the one to the right if ``context``; empty where not ``possible``."""
 
     def place(m):
         def both(pieces):
             steps = F.zip_with(m, F.slice(pieces, F.lit(1), F.size(m)), lambda a, b: (F.length(a) + F.length(b)).cast("long"))
             starts = running(steps, F.lit(0).cast("long"), lambda a, b: a + b)
-            gaps = F.transform(pieces, lambda p: F.length(p).cast("long"))
-            return let(starts, lambda s: let(gaps, lambda g: F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.struct(F.get(m, i).alias("m"), (F.get(s, i) + F.get(g, i)).alias("start")))))
+
+            def one(s):
+                def at(i):
+                    fields = [F.get(m, i).alias("m"), (F.get(s, i) + F.length(F.get(pieces, i))).alias("start")]
+                    if context:
+                        fields.append(F.right(F.concat(F.coalesce(F.get(m, i - 1), F.lit("")), F.get(pieces, i)), F.lit(16)).alias("left"))
+                        fields.append(F.left(F.concat(F.get(pieces, i + 1), F.coalesce(F.left(F.get(m, i + 1), F.lit(1)), F.lit(""))), F.lit(1)).alias("right"))
+                    return F.struct(*fields)
+
+                return F.transform(F.sequence(F.lit(0), F.size(m) - 1), at)
+
+            return let(starts, one)
 
         return F.when(F.size(m) > 0, let(F.split(text, pattern, -1), both))
 
     found = F.when(possible, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place))
-    return F.coalesce(found, F.array().cast("array<struct<m:string,start:bigint>>"))
+    more = ",left:string,right:string" if context else ""
+    return F.coalesce(found, F.array().cast(f"array<struct<m:string,start:bigint{more}>>"))
 
 
 def digits(m):
@@ -114,64 +132,79 @@ def base_spans(text):
 def candidates(text):
     """array<struct<start, kind, end, cell, cue>>: proposed spans with their features, joined, in ``cell``, and whether a cue word introduces them."""
     lists = [
-        ("number", matches(text, NUMBER, text.rlike("[0-9]"))),
-        ("secret", F.filter(matches(text, TOKEN, text.rlike("[A-Za-z0-9_-]{24}")), lambda s: s["m"].rlike("[0-9]") & s["m"].rlike("[A-Za-z]"))),
-        ("contact", F.concat(matches(text, SPELLED, text.rlike(r"[\[(]at[\])]")), matches(text, EMAIL, text.contains("@")))),
+        ("number", matches(text, NUMBER, text.rlike("[0-9]"), True)),
+        ("secret", F.filter(matches(text, TOKEN, text.rlike("[A-Za-z0-9_-]{24}"), True), lambda s: s["m"].rlike("[0-9]") & s["m"].rlike("[A-Za-z]"))),
+        ("contact", F.concat(matches(text, SPELLED, text.rlike(r"[\[(]at[\])]"), True), matches(text, EMAIL, text.contains("@"), True))),
     ]
 
     def one(kind):
         def make(s):
-            m, start = s["m"], s["start"]
-            end = start + F.length(m)
-            left = F.substring(text, F.greatest(start - 15, F.lit(1)).cast("int"), F.least(start, F.lit(16)).cast("int"))
-            right = F.substring(text, (end + 1).cast("int"), F.lit(1))
+            m, start, left, right = s["m"], s["start"], s["left"], s["right"]
             flag = lambda c: F.when(c, 1).otherwise(0)
             shape = m if kind == "secret" else F.regexp_replace(m, PLUS, "") if kind == "number" else F.regexp_replace(m, r"[^0-9A-Za-z]", "")
             values = let(
-                F.struct(shape.alias("m"), left.alias("l"), right.alias("r"), digits(shape).alias("d")),
+                shape,
                 lambda v: F.concat_ws(
                     "|", F.lit(str(("number", "secret", "contact").index(kind))),
-                    F.least(F.floor(F.length(v["d"]) / 3), F.lit(7)), F.least(F.length(F.regexp_replace(v["m"], r"[^ ().-]", "")), F.lit(5)),
-                    flag(v["m"].rlike(r"^[0-9]+(?:\.[0-9]+)+$")), flag(luhn_ok(v["m"])) if kind == "number" else F.lit(0),
-                    F.when(v["l"].rlike(r"(?:^|\s)$"), 0).when(v["l"].rlike(r"[\"'=:(<]$"), 1).otherwise(2), F.when(v["r"].rlike(r"^(?:$|\s)"), 0).when(v["r"].rlike(r"[\"'),.;>]"), 1).otherwise(2),
-                    flag(v["m"].rlike("[a-z]") & v["m"].rlike("[A-Z]")),
+                    F.least(F.floor(F.length(digits(v)) / 3), F.lit(7)), F.least(F.length(F.regexp_replace(v, r"[^ ().-]", "")), F.lit(5)),
+                    F.when(left.rlike(r"(?:^|\s)$"), 0).when(left.rlike(r"[\"'=:(<]$"), 1).otherwise(2), F.when(right.rlike(r"^(?:$|\s)"), 0).when(right.rlike(r"[\"'),.;>]"), 1).otherwise(2),
+                    flag(v.rlike("[a-z]") & v.rlike("[A-Z]")),
                 ),
             )
             cue = left.rlike(SECRET_CUES) if kind == "secret" else left.rlike(CUES) & ~right.rlike("[0-9A-Za-z]")
-            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), values.alias("cell"), cue.alias("cue"))
+            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(m)).alias("end"), values.alias("cell"), cue.alias("cue"))
 
         return make
 
-    return F.array_sort(F.concat(*[F.transform(a, one(kind)) for kind, a in lists]))
+    return F.concat(*[F.transform(a, one(kind)) for kind, a in lists])
 
 
-def overlaps(spans, s):
-    return F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def flagged(base, proposed):
+    """``proposed`` in order of start, each with hit: whether it overlaps a span of ``base``.
+
+    In one order of all spans, a base span that overlaps either starts before and ends behind the start, or starts
+    behind and before the end.
+    """
+    none = [F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("cell"), F.lit(None).cast("boolean").alias("cue")]
+    every = F.array_sort(F.concat(
+        F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("rank"), s["end"].alias("end"), *none)),
+        F.transform(proposed, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["cell"].alias("cell"), s["cue"].alias("cue"))),
+    ))
+    far = F.lit(2**62)
+    ends = lambda a: running(F.transform(a, lambda x: F.when(x["rank"] == 0, x["end"]).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda p, q: F.greatest(p, q))
+    begins = lambda a: F.reverse(running(F.reverse(F.transform(a, lambda x: F.when(x["rank"] == 0, x["start"]).otherwise(far))), far, lambda p, q: F.least(p, q)))
+    hit = lambda x, i, e, b: (F.get(e, i) > x["start"]) | (F.get(b, i) < x["end"])
+    mark = lambda a, e, b: F.transform(a, lambda x, i: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["cell"].alias("cell"), x["cue"].alias("cue"), hit(x, i, e, b).alias("hit")))
+    merged = let(every, lambda a: let(ends(a), lambda e: let(begins(a), lambda b: mark(a, e, b))))
+    alone = F.transform(proposed, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["cell"].alias("cell"), s["cue"].alias("cue"), F.lit(False).alias("hit")))
+    return F.when((F.size(base) > 0) & (F.size(proposed) > 0), F.filter(merged, lambda x: x["kind"].isNotNull())).otherwise(F.array_sort(alone))
 
 
 def accepted_cells(rows: DataFrame, precision: float) -> list[str]:
-    """Cells whose candidates are added.  ``rows``: base and proposed spans of each document."""
-    positive = F.col("c.cue") | overlaps(F.col("base"), F.col("c"))
-    label = F.when(positive, 1.0).when(F.col("c.kind") != "contact", 0.0)
-    cells = rows.select("base", F.explode("proposed").alias("c")).groupBy(F.col("c.cell").alias("cell"), label.alias("label")).agg(F.count("*").cast("double").alias("weight"))
+    """Cells whose candidates are added.  ``rows``: proposed spans of each document, and held: whether it calibrates."""
+    label = lambda c: F.when(c["cue"] | c["hit"], 1.0).when(c["kind"] != "contact", 0.0)
+    thin = rows.select("held", F.explode(F.transform("proposed", lambda c: F.struct(c["cell"].alias("cell"), label(c).alias("label")))).alias("c"))
+    cells = thin.groupBy("c.cell", "c.label", "held").agg(F.count("*").cast("double").alias("weight"))
     values = F.split("cell", r"\|")
-    cells = table(cells.select("cell", "label", "weight", *[F.get(values, k).cast("double").alias(f) for k, f in enumerate(FEATURES)]), "pii-cells")
-    labels = {r["label"] for r in cells.where("label IS NOT NULL").select("label").distinct().collect()}  # two at most
-    if 1.0 not in labels:
+    cells = table(cells.select("cell", "label", "held", "weight", *[F.get(values, k).cast("double").alias(f) for k, f in enumerate(FEATURES)]), "pii-cells")
+    learnt = cells.where("NOT held AND label IS NOT NULL")
+    if learnt.select("label").distinct().count() < 2:  # nothing to tell apart
+        drop(cells)
         return []
-    if 0.0 not in labels:  # nothing to tell apart: whatever is of a kind that has positives
-        return [r["cell"] for r in cells.join(cells.where("label = 1").select("kind").distinct(), "kind", "left_semi").select("cell").distinct().collect()]
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(cells.coalesce(1))
-    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=10, maxDepth=3, stepSize=0.3, seed=7).fit(vectors.where("label IS NOT NULL"))
-    known = F.when(F.col("label").isNotNull(), F.col("weight")).otherwise(0.0)
-    scored = model.transform(vectors).groupBy("cell").agg(F.first(F.element_at(vector_to_array("probability"), 2)).alias("p"), F.sum(known).alias("n"), F.sum(F.coalesce(F.col("weight") * F.col("label"), F.lit(0.0))).alias("ones"))
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=10, maxDepth=3, stepSize=0.3, seed=7).fit(vectors.transform(learnt.orderBy("cell", "label").coalesce(1)))
+    known = F.when(F.col("held") & F.col("label").isNotNull(), F.col("weight")).otherwise(0.0)
+    scored = model.transform(vectors.transform(cells)).groupBy("cell", "kind").agg(
+        F.first(F.element_at(vector_to_array("probability"), 2)).alias("p"), F.sum(known).alias("n"), F.sum(known * F.coalesce("label", F.lit(0.0))).alias("ones")
+    )
     found = scored.orderBy(F.desc("p"), "cell").collect()  # as many rows as there are cells
-    threshold = lowest_score([(r["p"], r["n"], r["ones"]) for r in found], precision)
-    return [r["cell"] for r in found if r["p"] >= threshold]
+    drop(cells)
+    threshold = {k: lowest_score([(r["p"], r["n"], r["ones"]) for r in found if r["kind"] == k], precision) for k in {r["kind"] for r in found}}
+    return [r["cell"] for r in found if r["p"] >= threshold[r["kind"]]]
 
 
 def lowest_score(scored: list[tuple[float, float, float]], precision: float) -> float:
@@ -192,15 +225,16 @@ def lowest_score(scored: list[tuple[float, float, float]], precision: float) ->
 
 def chosen(rows: DataFrame, cells: list[str]):
     """Of the proposed spans those of accepted cells or with a cue word that overlap no checked span."""
-    picked = F.filter("proposed", lambda s: s["cue"] | s["cell"].isin(*cells)) if cells else F.filter("proposed", lambda s: s["cue"])
-    picked = F.filter(picked, lambda s: ~overlaps(F.col("base"), s))
+    wanted = lambda s: s["cue"] | s["cell"].isin(*cells) if cells else s["cue"]
+    picked = F.filter("proposed", lambda s: ~s["hit"] & wanted(s))
     return rows.withColumn("added", F.transform(picked, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).drop("proposed")
 
 
 def propose(docs: DataFrame) -> DataFrame:
-    """``docs`` with base and proposed spans; null texts have none."""
+    """``docs`` with base and proposed spans, and held: whether the text calibrates (one in four, equal texts alike); null texts have no spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"base": base_spans(text), "proposed": candidates(text)})
+    found = docs.withColumns({"base": base_spans(text), "proposed": candidates(text), "held": F.pmod(F.xxhash64("text"), F.lit(4)) == 0})
+    return found.withColumn("proposed", flagged(F.col("base"), F.col("proposed")))
 
 
 def find(docs: DataFrame, precision: float = 0.9) -> DataFrame:
@@ -230,31 +264,56 @@ def report(docs: DataFrame, precision: float = 0.9) -> DataFrame:
     return spans.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(joined(named(F.col("base"))), 256).alias("base_sha256"), joined(every).alias("spans"))
 
 
+def rebuilt(text, spans):
+    """``text`` with each span of ``spans`` (in order of start) replaced by its kind in brackets, spans that overlap by the first's."""
+    block = F.lit(BLOCK).cast("long")
+
+    def parts_of(ends):
+        """Spans that start behind all before them, each with the end of whatever overlaps it."""
+        first = F.filter(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.get(ends, i).alias("before"))), lambda s: s["start"] >= s["before"])
+        last = F.greatest(F.element_at(ends, -1), F.element_at(spans, -1)["end"])
+        return let(first, lambda f: F.transform(f, lambda s, i: F.struct(s["start"].alias("start"), F.coalesce(F.get(f, i + 1)["before"], last).alias("stop"), s["kind"].alias("kind"))))
+
+    def over(cuts):
+        """Rebuild block by block; cuts stand in groups of 64, so that a block looks at few of them."""
+        some = F.transform(F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / 64).cast("int")), lambda g: F.slice(cuts, g * 64 + 1, F.lit(64)))
+        groups = F.transform(some, lambda g: F.struct(F.get(g, F.lit(0))["start"].alias("start"), F.element_at(g, -1)["stop"].alias("stop"), g.alias("cuts")))
+
+        def one(gs):
+            def piece(b, i):
+                off = i.cast("long") * block
+                meets = lambda s: (s["start"] < off + block) & (s["stop"] > off)
+                own = F.filter(F.flatten(F.transform(F.filter(gs, meets), lambda g: g["cuts"])), meets)
+                step = lambda a, c: F.struct(
+                    F.concat(
+                        a["out"], F.substring(b, a["at"] + 1, F.greatest((c["start"] - off).cast("int") - a["at"], F.lit(0))),
+                        F.when(c["start"] >= off, F.concat(F.lit("["), F.upper(c["kind"]), F.lit("]"))).otherwise(""),
+                    ).alias("out"),
+                    F.least(c["stop"] - off, block).cast("int").alias("at"),
+                )
+                return F.aggregate(own, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(b, a["at"] + 1, F.lit(BLOCK))))
+
+            return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), piece), "")
+
+        return let(groups, one)
+
+    ends = running(F.transform(spans, lambda x: x["end"]), F.lit(0).cast("long"), lambda p, q: F.greatest(p, q))
+    return let(let(ends, parts_of), over)
+
+
 def redact(docs: DataFrame, precision: float = 0.9) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets, overlapping spans by the first's; n_chars, where present, follows.
 
     The texts are searched a second time where they are read, so that they are not moved.
     """
     cols = docs.columns
-    cells = accepted_cells(table(propose(docs.select("text")).select("base", "proposed").where("size(proposed) > 0"), "pii-spans"), precision)
-    rows = chosen(propose(docs), cells)
-    spans = F.array_sort(F.concat(named(F.col("base")), F.col("added")))
-
-    def rebuilt(s):
-        ends = running(F.transform(s, lambda x: x["end"]), F.lit(0).cast("long"), lambda a, b: F.greatest(a, b))
-
-        def pieces(e):
-            one = lambda i: F.when(
-                F.get(s, i)["start"] >= F.get(e, i),
-                F.concat(F.substring(F.col("text"), (F.get(e, i) + 1).cast("int"), (F.get(s, i)["start"] - F.get(e, i)).cast("int")), F.lit("["), F.upper(F.get(s, i)["kind"]), F.lit("]")),
-            ).otherwise("")
-            last = F.greatest(F.get(e, F.size(e) - 1), F.get(s, F.size(s) - 1)["end"])
-            tail = F.substring(F.col("text"), (last + 1).cast("int"), F.length("text"))
-            return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(s) - 1), one), ""), tail)
-
-        return let(ends, pieces)
-
-    rows = rows.withColumn("text", F.when(F.size("base") + F.size("added") > 0, let(spans, rebuilt)).otherwise(F.col("text")))
-    if "n_chars" in cols:
-        rows = rows.withColumn("n_chars", F.when(F.size("base") + F.size("added") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*cols)
+    spans = table(propose(docs.select("text")).select("held", "proposed").where("size(proposed) > 0"), "pii-spans")
+    cells = accepted_cells(spans, precision)
+    drop(spans)
+    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "text")
+    rows = chosen(propose(work), cells)
+    every = F.array_sort(F.concat(named(F.col("base")), F.col("added")))
+    some = F.size("base") + F.size("added") > 0
+    rows = rows.withColumn("text", F.when(some, let(every, lambda s: rebuilt(F.col("text"), s))).otherwise(F.col("text")))
+    own = {"text": F.col("text"), "n_chars": F.when(some, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in cols else None}
+    return rows.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in cols])
