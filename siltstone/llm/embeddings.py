@@ -1,8 +1,9 @@
 """Embedding near-dedup by PCA-ordered tiled comparison.
 
 Unit vectors are rotated to the eigenvectors of their second moments, largest first, which leaves cosines as they are.
-Vectors with cosine >= t are at most sqrt(2 - 2t) apart in any direction, so a grid of that width over the first two
-coordinates leaves only neighbouring cells to compare; cells are dealt into tiles of a bounded number of vectors.  In a
+Vectors with cosine >= t are at most sqrt(2 - 2t) apart in any direction, so a grid of that width over the first
+``GRID`` coordinates leaves only neighbouring cells to compare; cells are dealt into tiles of a bounded number of bytes,
+one row each.  Tiles whose bounding boxes over the leading dimensions are further apart than that aren't paired.  In a
 pair of tiles the leading dimensions are accumulated first; the rest of a product is bounded by the norms of the two
 suffixes, and pairs that cannot reach t stop there.  What remains is confirmed on the vectors as given.
 
@@ -13,9 +14,9 @@ or of vectors near it costs rows in proportion to n.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,12 @@ from siltstone.llm.graph import components
 
 #: Dimensions accumulated at a time.
 LEAD = 8
+#: Coordinates of the grid.
+GRID = 3
 #: Pairs confirmed at a time.
 PAIRS = 20_000
+#: Bytes of vectors in a tile.
+TILE_BYTES = 1 << 19
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
@@ -40,7 +45,6 @@ def prepared(vectors: DataFrame) -> DataFrame:
                 one = None
                 if label is not None and values and None not in values:
                     x = np.array(values, dtype=np.float64) + 0.0  # -0 becomes 0
-                    # scaled first, so that squares of extreme numbers stay finite
                     if np.isfinite(x).all() and x.any():
                         one = x.tobytes()
                 raw.append(one)
@@ -50,9 +54,13 @@ def prepared(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").mapInArrow(run, f"vec_id bigint, label {label}, cls bigint, raw binary")
 
 
-def unit(raw) -> np.ndarray:
+def scaled(raw) -> np.ndarray:
+    """Vectors as given but for a power of two of each, so that products of extreme numbers stay finite and cosines as they are."""
     x = np.stack([np.frombuffer(r, dtype=np.float64) for r in raw])
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.square(x).sum(axis=1, keepdims=True))
 
 
@@ -66,7 +74,7 @@ def axes(classes: DataFrame) -> dict[int, np.ndarray]:
             for r in batch.column("raw").to_pylist():
                 by.setdefault(len(r) // 8, []).append(r)
             for d, own in by.items():
-                x = unit(own)
+                x = unit(scaled(own))
                 total[d] = total.get(d, 0) + (x.T @ x).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m.tolist() for m in total.values()], pa.list_(pa.float64()))], names=["d", "m"])
 
@@ -118,13 +126,14 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of ``vectors`` (vec_id, label, embedding).
 
     Links join rows of equal label (and number of dimensions) whose cosine is at least ``threshold`` (above 0), each row
     with every other; n_links counts rows.  Vectors that are null, empty, zero or hold null or non-finite numbers, and
     rows whose label is null, link with nothing.  Rows of one vec_id are one vertex of the components.  A row whose
-    vec_id is null has a null component_id and is kept.  Other columns are ignored.
+    vec_id is null has a null component_id and is kept.  Other columns are ignored.  ``tile``: vectors in a tile, by
+    default as many as ``TILE_BYTES`` hold.
     """
     rows = table(prepared(vectors), "vectors")
     fit = rows.where("raw IS NOT NULL AND vec_id IS NOT NULL")
@@ -137,50 +146,65 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = 1024)
         for batch in batches:
             raw = batch.column("raw").to_pylist()
             d = [len(r) // 8 for r in raw]
-            cell = np.zeros((len(raw), 2), dtype=np.int32)
+            lead = np.zeros((len(raw), LEAD))
             for n in set(d):
                 own = [k for k, x in enumerate(d) if x == n]
-                at = np.floor(unit([raw[k] for k in own]) @ turn[n][:, :2] / width).astype(np.int32)
-                cell[own, : at.shape[1]] = at
+                at = unit(scaled([raw[k] for k in own])) @ turn[n][:, :LEAD]
+                lead[own, : at.shape[1]] = at
+            cell = np.floor(lead[:, :GRID] / width).astype(np.int32)
+            # In a cell vectors are dealt by their next coordinates, so that boxes of tiles are small.
+            fine = np.floor((lead[:, GRID:] + 1) / (2 * width)).astype(np.int64) @ (8 ** np.arange(LEAD - GRID))
             names = ["cls", "vertex", "copies", "raw", "label"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(d, pa.int32()), pa.array(cell[:, 0]), pa.array(cell[:, 1])], names=[*names, "d", "c1", "c2"])
-
-    placed = table(classes.mapInArrow(place, f"cls bigint, vertex bigint, copies bigint, raw binary, label {label}, d int, c1 int, c2 int"), "placed")
-    at = ["label", "d", "c1", "c2"]
-    cells = table(placed.groupBy(*at).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "cells")
-    # Each cell with itself and half of its neighbours.
-    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    moved = cells.withColumn("s", F.explode(steps)).select("label", "d", "c1", "c2", F.col("tiles").alias("ta"), (F.col("c1") + F.col("s.x")).alias("e1"), (F.col("c2") + F.col("s.y")).alias("e2"))
-    both = moved.join(cells.select("label", "d", F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("tiles").alias("tb")), ["label", "d", "e1", "e2"])
-    both = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ta") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tb") - 1)))
-    self_pair = (F.col("c1") == F.col("e1")) & (F.col("c2") == F.col("e2"))
-    both = both.where(~self_pair | (F.col("i") <= F.col("j"))).withColumn("same", self_pair & (F.col("i") == F.col("j")))
-    both = table(both.withColumn("pair", F.xxhash64("label", "d", "c1", "c2", "e1", "e2", "i", "j")), "tile-pairs")
-    tiles = placed.join(cells, at).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    left = both.select("pair", "same", *at, F.col("i").alias("tile"), F.lit(0).alias("side"))
-    right = both.where("NOT same").select("pair", "same", "label", "d", F.col("e1").alias("c1"), F.col("e2").alias("c2"), F.col("j").alias("tile"), F.lit(1).alias("side"))
-    dealt = tiles.join(left.union(right), [*at, "tile"]).select("pair", "same", "side", "cls", "vertex", "copies", "raw", "d")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        same = bool(pdf.same.iloc[0])
-        b = a if same else b
-        v = turn[int(pdf.d.iloc[0])]
-        one, two = unit(a.raw) @ v, unit(b.raw) @ v
-        scale = lambda raw: (lambda x: x / np.abs(x).max(axis=1, keepdims=True) if np.abs(x).max() > 1e100 or np.abs(x).max() < 1e-100 else x)(np.stack([np.frombuffer(r, dtype=np.float64) for r in raw]))
-        i, j = compare(one, two, scale(a.raw), scale(b.raw), same, threshold)
-        if not len(i):
-            return pd.DataFrame({"cls": [], "vertex": [], "links": [], "root": []}).astype("int64")
-        nodes = a if same else pd.concat([a, b])
-        j = j if same else j + len(a)
-        copies = nodes.copies.to_numpy()
-        links = np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
-        root, vertex = forest(len(nodes), i, j), nodes.vertex.to_numpy()
-        out = pd.DataFrame({"cls": nodes.cls.to_numpy(), "vertex": vertex, "links": links.astype("int64"), "root": vertex[root]})
-        return out[out.links > 0]
-
-    linked = table(dealt.groupBy("pair").applyInPandas(run, "cls bigint, vertex bigint, links bigint, root bigint"), "linked")
-    twins = fit.join(classes.select("cls", "vertex"), "cls").where("vec_id <> vertex").groupBy("vec_id", "vertex").agg(F.lit(1)).select("vec_id", "vertex")
+            places = pa.FixedSizeListArray.from_arrays(pa.array(cell.ravel()), GRID).cast(pa.list_(pa.int32()))
+            leads = pa.FixedSizeListArray.from_arrays(pa.array(lead.ravel()), LEAD).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(d, pa.int32()), places, pa.array(fine), leads], names=[*names, "d", "cell", "fine", "lead"])
+
+    placed = table(classes.mapInArrow(place, f"cls bigint, vertex bigint, copies bigint, raw binary, label {label}, d int, cell array<int>, fine bigint, lead array<double>"), "placed")
+    at = ["label", "d", "cell", "fine"]
+    most = F.lit(tile) if tile else F.greatest(F.floor(F.lit(TILE_BYTES) / (F.col("d") * 8)), F.lit(1))
+    split = placed.groupBy(*at).agg(F.ceil(F.count("*") / F.first(most)).cast("int").alias("tiles"))
+    dealt = placed.join(split, at).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    boxes = [F.struct(F.min(F.get("lead", k)).alias("lo"), F.max(F.get("lead", k)).alias("hi")) for k in range(LEAD)]
+    members = F.array_sort(F.collect_list(F.struct("cls", "vertex", "copies", "raw")))
+    tiles = table(
+        dealt.groupBy(*at, "tile").agg(F.array(*boxes).alias("box"), members.alias("m"))
+        .select(F.xxhash64(*at, "tile").alias("id"), "label", "d", "cell", "box", "m.cls", "m.vertex", "m.copies", "m.raw"),
+        "tiles",
+    )
+    # Each cell with itself and half of its neighbours; of a cell's own tiles each pair once.
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=GRID) if s >= (0,) * GRID]
+    thin = tiles.select("id", "label", "d", "cell", "box")
+    moved = thin.select(F.col("id").alias("a"), "label", "d", F.col("box").alias("box_a"), F.explode(F.array(*[F.struct(F.lit(any(s)).alias("other"), F.array(*[F.get("cell", k) + v for k, v in enumerate(s)]).alias("cell")) for s in steps])).alias("s"))
+    moved = moved.select("a", "label", "d", "box_a", "s.other", "s.cell")
+    apart = F.aggregate(F.zip_with("box_a", "box", lambda p, q: F.greatest(p["lo"] - q["hi"], q["lo"] - p["hi"], F.lit(0.0))), F.lit(0.0), lambda s, x: s + x * x)
+    both = moved.join(thin.withColumnRenamed("id", "b"), ["label", "d", "cell"]).where((F.col("other") | (F.col("a") <= F.col("b"))) & (apart <= width * width))
+    both = table(both.select("a", "b"), "tile-pairs")
+    columns = ["d", "cls", "vertex", "copies", "raw"]
+    side = lambda k: tiles.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns])
+    pairs = both.join(side("a"), "a").join(side("b").drop("d_b"), "b")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                r = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                same, v = r["a"] == r["b"], turn[r["d_a"]]
+                raw_a = scaled(r["raw_a"])
+                raw_b = raw_a if same else scaled(r["raw_b"])
+                i, j = compare(unit(raw_a) @ v, unit(raw_b) @ v, raw_a, raw_b, same, threshold)
+                if not len(i):
+                    continue
+                more = [] if same else [r["cls_b"], r["vertex_b"], r["copies_b"]]
+                cls, vertex, copies = (np.array(x + (more[k] if more else []), dtype=np.int64) for k, x in enumerate((r["cls_a"], r["vertex_a"], r["copies_a"])))
+                j = j if same else j + len(raw_a)
+                links = (np.bincount(i, copies[j], len(cls)) + np.bincount(j, copies[i], len(cls))).astype(np.int64)
+                root, some = vertex[forest(len(cls), i, j)], links > 0
+                out.append((cls[some], vertex[some], links[some], root[some]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["cls", "vertex", "links", "root"])
+
+    linked = table(pairs.mapInArrow(run, "cls bigint, vertex bigint, links bigint, root bigint"), "linked")
+    twins = fit.join(classes.select("cls", "vertex"), "cls").where("vec_id <> vertex").select("vec_id", "vertex").distinct()
     several = twins.groupBy("vec_id").agg(F.collect_set("vertex").alias("v"))
     also = fit.join(classes.select("cls", "vertex"), ["cls"]).where("vec_id = vertex").select(F.col("vec_id").alias("own")).distinct()
     joined = several.join(also, several.vec_id == also.own, "left").where("size(v) > 1 OR own IS NOT NULL")
@@ -192,7 +216,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = 1024)
         .select("cls", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "vertex").alias("component_id")),
         "known",
     )
-    for old in (placed, cells, both, linked, classes):
+    for old in (placed, tiles, both, linked, classes):
         drop(old)
     out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("cls")).alias("cls")).join(known, "cls", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
