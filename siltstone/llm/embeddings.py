@@ -19,6 +19,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import drop, table
@@ -31,7 +32,11 @@ GRID = 3
 #: Pairs confirmed at a time.
 PAIRS = 20_000
 #: Bytes of vectors in a tile.
-TILE_BYTES = 1 << 19
+TILE_BYTES = 1 << 20
+#: Rows of a tile that are compared at a time.
+ROWS = 512
+#: Parts that a hot cell's vectors are dealt into on their way.
+SALTS = 16
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
@@ -85,14 +90,14 @@ def axes(classes: DataFrame) -> dict[int, np.ndarray]:
     return {d: np.linalg.eigh(m.reshape(d, d))[1][:, ::-1].copy() for d, m in out.items()}
 
 
-def compare(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of linked pairs of two tiles (``a``, ``b``: rotated unit vectors; ``raw_*``: as given), each pair once if ``same``."""
+def compare_rows(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, first: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of linked pairs of rows of two tiles (``a``, ``b``: rotated unit vectors; ``raw_*``: as given); with ``first`` only those of b behind first + i."""
     slack, d = 1e-9, a.shape[1]
     product = a[:, :LEAD] @ b[:, :LEAD].T
     rest_a, rest_b = np.sqrt(np.square(a[:, LEAD:]).sum(axis=1)), np.sqrt(np.square(b[:, LEAD:]).sum(axis=1))
     alive = product + np.outer(rest_a, rest_b) >= threshold - slack
-    if same:
-        alive = np.triu(alive, 1)
+    if first is not None:
+        alive = np.triu(alive, first + 1)
     i, j = np.nonzero(alive)
     value = product[i, j]
     for at in range(LEAD, d, LEAD):
@@ -113,6 +118,15 @@ def compare(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray,
     return i[keep], j[keep]
 
 
+def compare(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of linked pairs of two tiles, each pair once if ``same``; ``ROWS`` rows at a time."""
+    found = []
+    for k in range(0, len(a), ROWS):
+        i, j = compare_rows(a[k : k + ROWS], b, raw_a[k : k + ROWS], raw_b, k if same else None, threshold)
+        found.append((i + k, j))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest index that each of ``n`` nodes reaches by the links (i, j)."""
     root = np.arange(n)
@@ -152,18 +166,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int | None =
                 at = unit(scaled([raw[k] for k in own])) @ turn[n][:, :LEAD]
                 lead[own, : at.shape[1]] = at
             cell = np.floor(lead[:, :GRID] / width).astype(np.int32)
-            # In a cell vectors are dealt by their next coordinates, so that boxes of tiles are small.
-            fine = np.floor((lead[:, GRID:] + 1) / (2 * width)).astype(np.int64) @ (8 ** np.arange(LEAD - GRID))
             names = ["cls", "vertex", "copies", "raw", "label"]
             places = pa.FixedSizeListArray.from_arrays(pa.array(cell.ravel()), GRID).cast(pa.list_(pa.int32()))
             leads = pa.FixedSizeListArray.from_arrays(pa.array(lead.ravel()), LEAD).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(d, pa.int32()), places, pa.array(fine), leads], names=[*names, "d", "cell", "fine", "lead"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(d, pa.int32()), places, leads], names=[*names, "d", "cell", "lead"])
 
-    placed = table(classes.mapInArrow(place, f"cls bigint, vertex bigint, copies bigint, raw binary, label {label}, d int, cell array<int>, fine bigint, lead array<double>"), "placed")
-    at = ["label", "d", "cell", "fine"]
+    placed = table(classes.mapInArrow(place, f"cls bigint, vertex bigint, copies bigint, raw binary, label {label}, d int, cell array<int>, lead array<double>"), "placed")
+    at = ["label", "d", "cell"]
+    # A label's vectors are told apart by as many coordinates as its size asks for: none in one tile, all beyond 256.
     most = F.lit(tile) if tile else F.greatest(F.floor(F.lit(TILE_BYTES) / (F.col("d") * 8)), F.lit(1))
-    split = placed.groupBy(*at).agg(F.ceil(F.count("*") / F.first(most)).cast("int").alias("tiles"))
-    dealt = placed.join(split, at).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    sizes = placed.groupBy("label", "d", F.col("cell").alias("own")).agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(W.partitionBy("label", "d")))
+    used = F.when(F.col("all") <= most, 0).when(F.col("all") <= 16 * most, 1).when(F.col("all") <= 256 * most, 2).otherwise(GRID)
+    sizes = sizes.withColumn("cell", F.transform("own", lambda x, i: F.when(i < used, x).otherwise(0)))
+    sizes = sizes.select(*at, "own", F.ceil(F.sum("n").over(W.partitionBy(*at)) / most).cast("int").alias("tiles"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = placed.withColumnRenamed("cell", "own").withColumn("salt", F.pmod(F.xxhash64(F.lit("s"), "cls"), F.lit(SALTS)).cast("int"))
+    dealt = dealt.join(sizes, ["label", "d", "own", "salt"]).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     boxes = [F.struct(F.min(F.get("lead", k)).alias("lo"), F.max(F.get("lead", k)).alias("hi")) for k in range(LEAD)]
     members = F.array_sort(F.collect_list(F.struct("cls", "vertex", "copies", "raw")))
     tiles = table(
