@@ -56,7 +56,8 @@ def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     """doc_id, text, signatures (own), and the next row's text and signatures (next_text, next_own), in order of doc_id (null last; equal ids by a hash of the text); the last row's next is the first.
 
     Rows are dealt into ranges of doc_id, ``per_partition`` for each shuffle partition, at quantiles of the ids; a row's
-    next stands in its own range or is the first of the range after it.
+    next stands in its own range or is the first of the range after it.  Only texts are moved; signatures are made where
+    they arrive, once for each text.
     """
     n = parts(docs.sparkSession) * per_partition
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
@@ -70,16 +71,17 @@ def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
         group = F.size(F.filter(heads, lambda c: c < F.col("doc_id"))) - 1
         rest = F.slice(lists, F.greatest(group, F.lit(0)) * width + 1, F.lit(width))
         place = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.greatest(group, F.lit(0)) * width + F.size(F.filter(rest, lambda c: c < F.col("doc_id"))))
-    dealt = docs.withColumn("range", place.cast("int")).withColumn("own", signatures(F.col("text"))).withColumn("end", F.lit(0))
+    dealt = docs.withColumn("range", place.cast("int")).withColumn("end", F.lit(0))
     order = [F.col("doc_id").asc_nulls_last(), F.col("h").asc()]
     # The first row of each range stands at the end of the range before it, too: as many rows as there are ranges.
     heads = dealt.groupBy("range").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), "h")).alias("head"))
     turn = W.orderBy(F.col("range"))
     heads = heads.select(F.col("range").alias("r"), "head", F.coalesce(F.lag("range").over(turn), F.max("range").over(W.partitionBy())).alias("before"))
-    first = dealt.drop("own").join(F.broadcast(heads), (F.col("range") == F.col("r")) & (F.coalesce("doc_id", F.lit(0)) == F.col("head.i")) & (F.col("h") == F.col("head.h")))
-    first = first.dropDuplicates(["range"]).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "h", F.col("before").alias("range"), signatures(F.col("text")).alias("own"), F.lit(1).alias("end"))
+    first = dealt.join(F.broadcast(heads), (F.col("range") == F.col("r")) & (F.coalesce("doc_id", F.lit(0)) == F.col("head.i")) & (F.col("h") == F.col("head.h")))
+    first = first.dropDuplicates(["range"]).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "h", F.col("before").alias("range"), F.lit(1).alias("end"))
     inside = W.partitionBy("range").orderBy("end", *order)
-    rows = dealt.unionByName(first).withColumn("next_text", F.lead("text").over(inside)).withColumn("next_own", F.lead("own").over(inside))
+    moved = dealt.unionByName(first).repartition("range").withColumn("own", signatures(F.col("text")))
+    rows = moved.withColumn("next_text", F.lead("text").over(inside)).withColumn("next_own", F.lead("own").over(inside))
     return rows.where("end = 0").select("doc_id", "text", "own", "next_text", "next_own")
 
 
