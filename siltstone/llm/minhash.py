@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import drop, table
@@ -29,8 +30,10 @@ from siltstone.llm.graph import components
 BINS, ROWS = 128, 4
 #: Above LARGE shingles a set has one-permutation bands; up to SMALL, bands of single permutations.
 LARGE, SMALL = 192, 256
-#: Bits of a shingle that choose its slot in the table of frequencies (a megabyte).
-SLOT_BITS = 20
+#: Bits of a shingle that choose its slot in the table of frequencies, for few and for many texts (1 to 4 megabytes).
+SLOT_BITS, MOST_SLOT_BITS = 20, 22
+#: Links of a hub that one task confirms: a hub with more is copied.
+HUB_LINKS = 4096
 #: Words whose hashes a worker keeps.
 WORDS = 500_000
 
@@ -139,8 +142,10 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union."""
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    first = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    both = first.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+    hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_LINKS).cast("int").alias("salts"))
+    first = pairs.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")).join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
+    copies = texts.withColumnsRenamed({"id": "b", "text": "text_b"}).join(hubs, "b").select("b", "text_b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    both = first.join(copies, ["b", "salt"]).select("a", "b", "text_a", "text_b")
 
     def run(batches):
         shingles, last, its = Shingles(k), None, None
@@ -158,21 +163,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFr
 
 
 def frequency_levels(texts: DataFrame, k: int) -> np.ndarray:
-    """Logarithmic frequency of shingles by slot (their low ``SLOT_BITS`` bits), one byte each: the only thing that comes to the driver."""
+    """Logarithmic frequency of shingles by slot (their low bits), one byte each: the only thing that comes to the driver.
+
+    There are 64 slots for each text, within the two bounds.
+    """
+    bits = min(MOST_SLOT_BITS, max(SLOT_BITS, (64 * texts.count()).bit_length()))
 
     def count(batches):
-        shingles, total = Shingles(k), np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        shingles, total = Shingles(k), np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 found = np.concatenate([shingles.of(text) for text in batch.slice(at, 1000).column("text").to_pylist()])
-                total += np.bincount((found & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64), minlength=1 << SLOT_BITS)
+                total += np.bincount((found & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
         at = np.flatnonzero(total)
         for c in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[c : c + 100_000]), pa.array(total[at[c : c + 100_000]])], names=["slot", "n"])
 
     found = texts.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     found = found.select("slot", F.least(F.floor(F.log2("n") * 4), F.lit(255)).cast("int").alias("level")).toArrow()
-    levels = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
+    levels = np.zeros(1 << bits, dtype=np.uint8)
     levels[found.column("slot").to_numpy()] = found.column("level").to_numpy()
     return levels
 
@@ -189,7 +198,7 @@ def prefixes(texts: DataFrame, levels: np.ndarray, percent: int, k: int) -> Data
                 for row, text in enumerate(rows.column("text").to_pylist()):
                     s = shingles.of(text)
                     first = len(s) + (percent * len(s)) // -100 + 1 if len(s) else 0  # n - ceil(t * n) + 1
-                    order = np.lexsort((s, levels[(s & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)]))[:first]
+                    order = np.lexsort((s, levels[(s & np.uint64(len(levels) - 1)).astype(np.int64)]))[:first]
                     tokens.append(s[order].view(np.int64))
                     places.append(np.arange(first, dtype=np.int32))
                     sizes.append(np.full(first, len(s), dtype=np.int32))
@@ -252,12 +261,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
-    """``docs`` (columns as they are) with one row of each near-duplicate group: that of the smallest doc_id.  Rows whose doc_id is null stay."""
+    """``docs`` (columns as they are) with one row of each near-duplicate group: that of the smallest doc_id.
+
+    Of several rows of that doc_id one of each distinct text stays, by a hash of the row.  Rows whose doc_id is null stay.
+    """
     found = table(near_duplicates(docs, percent, k), "near-duplicates")
     out = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if repeated.limit(1).count():  # several rows of one doc_id are one group
-        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(out.where("doc_id IS NULL"))
+    if repeated.limit(1).count():
+        own = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
+        several = out.where("doc_id IS NOT NULL").withColumn("__k", F.row_number().over(own)).where("__k = 1").drop("__k")
+        out = several.union(out.where("doc_id IS NULL"))
     return out
 
 
