@@ -1,9 +1,9 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
 Each text gives a fixed vector of statistics.  Sums and sums of products by class (one pass, a row for each partition
-and class) give class means and covariances, which are shrunk towards their diagonal and towards a spherical matrix; the score comes from the
-difference of the classes' Mahalanobis log-densities, with the Cholesky factors computed once and kept in the model.  A
-monotone calibration turns the difference into a probability.
+and class) give class means and covariances, which are shrunk towards their diagonal and get a ridge in units of the
+pooled variances; the score comes from the difference of the classes' Mahalanobis log-densities, with the Cholesky factors
+computed once and kept in the model.  A monotone calibration turns the difference into a probability.
 """
 
 from __future__ import annotations

@@ -211,18 +211,6 @@ def test_quality(spark, docs, empty):
     assert quality.filter_good(df, labels).count() == 100
 
 
-def test_viterbi_in_parts_is_viterbi():
-    rng = np.random.default_rng(0)
-    model = chat.Model({})
-    model.moves, model.first = np.log(rng.dirichlet(np.ones(6), 6)), np.log(rng.dirichlet(np.ones(6)))
-    emitted = np.log(rng.dirichlet(np.ones(6), 7))
-    parts = [emitted[:3], emitted[3:4], emitted[4:]]
-    states = np.concatenate([model.decode(p, a, z) for p, (a, z) in zip(parts, model.chain([model.between(p) for p in parts]))])
-    score = lambda s: model.first[s[0]] + emitted[0, s[0]] + sum(model.moves[a, b] + emitted[k + 1, b] for k, (a, b) in enumerate(zip(s, s[1:])))
-    best = max(itertools.product(range(6), repeat=7), key=score)
-    assert tuple(states) == best
-
-
 def test_chat(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", ("what is it?" if t % 2 == 0 else "it is a long answer\nwith two lines of text")) for c in range(30) for t in range(6)]
     df = spark.createDataFrame(rows + [(None, 0, "user", "hi"), (99, None, "user", None)], "conv_id long, turn long, role string, text string").withColumn("line", F.lit(1))
