@@ -65,3 +65,15 @@ def overlap_groups(runs: DataFrame) -> DataFrame:
     rows = runs.where("retrieved_ids <> ''").withColumn("n", F.count("*").over(group))
     order = F.when(F.col("config_key") == BASELINE, F.lit("")).otherwise(F.col("config_key"))
     return rows.withColumn("canonical", F.min_by("config_key", order).over(group)).where("n >= 2").select("finder_id", "config_key", "n", "canonical")
+
+
+def reply(own: Column, other: Column, own2: Column, other2: Column, swap: Column) -> Column:
+    """Stub of a judge that writes: a reply with a JSON object of both verdicts, A and B in the order in which it is shown them."""
+    shown = lambda a, b: F.when(swap == 1, lexical(b, a)).otherwise(lexical(a, b))
+    return F.concat(F.lit('Compared. {"relevance": "'), shown(own, other), F.lit('", "completeness": "'), shown(own2, other2), F.lit('"} Done.'))
+
+
+def resumed(rows: DataFrame, verdict) -> DataFrame:
+    """``rows`` whose relevance is null get ``verdict``; what has been judged stays."""
+    todo = rows.where("relevance IS NULL").withColumn("relevance", verdict)
+    return rows.where("relevance IS NOT NULL").unionByName(todo)

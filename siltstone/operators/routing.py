@@ -96,3 +96,73 @@ def accuracy(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     classes = cells.select("n", hit.alias("hit"), F.inline(sides)).where("class IS NOT NULL").groupBy("class").agg(F.sum("n").alias("both"), F.sum(F.when(F.col("side") == 1, F.col("hit")).otherwise(0)).alias("tp"))
     f1 = classes.agg(F.round(F.avg(2.0 * F.col("tp") / F.col("both")), 6).alias("macro_f1"))
     return cells.agg(F.sum("n").alias("n"), F.round(F.try_divide(F.sum(hit), F.sum("n")), 6).alias("accuracy")).crossJoin(F.broadcast(f1))  # one row each
+
+
+def canonical_items(items: Column) -> Column:
+    """Items without inner spaces, distinct, in order of their number."""
+    own = F.array_distinct(F.transform(items, lambda x: F.replace(F.lower(x), F.lit(" "), F.lit(""))))
+    key = lambda x: F.struct(F.regexp_extract(x, r"^(\d+)", 1).cast("int").alias("n"), x.alias("x"))
+    return F.transform(F.array_sort(F.transform(own, key)), lambda s: s["x"])
+
+
+def items_of(category: Column) -> Column:
+    """Items of a category, in any case; null for an unknown one."""
+    out = F.lit(None).cast("array<string>")
+    for name, items in CATEGORY_ITEMS.items():
+        out = F.when(F.lower(F.trim(category)) == name, F.array(*[F.lit(i) for i in items])).otherwise(out)
+    return out
+
+
+def items_title(category: Column) -> Column:
+    return F.concat(F.lit("Item "), F.array_join(canonical_items(items_of(category)), ", "))
+
+
+def oracle_route(category: Column) -> Column:
+    """struct<categories, alpha, band, source> of a question whose category is known; an unknown category doesn't route."""
+    known = items_of(category).isNotNull()
+    return F.struct(
+        F.when(known, F.array(F.lower(F.trim(category)))).otherwise(F.array().cast("array<string>")).alias("categories"), F.when(known, 1.0).otherwise(0.0).alias("alpha"), F.lit("oracle").alias("band"), F.lit("oracle").alias("source"),
+    )
+
+
+def effective_alpha(section_alpha: Column, route_alpha: Column, categories: Column) -> Column:
+    """A config's alpha, scaled by a route that is active; 0 without one."""
+    return F.when((route_alpha > 0) & (F.size(categories) > 0), section_alpha * route_alpha).otherwise(0.0)
+
+
+def agent_message(query: Column, band: Column, hard: Column, pair: Column, candidates: Column) -> Column:
+    """What the agent is asked: the question, the band, and a line for each candidate (array of struct<class, p, terms>)."""
+    line = lambda c: F.concat(F.lit('- "'), c["class"], F.lit('" p='), F.format_number(c["p"], 2), F.when(F.size(c["terms"]) > 0, F.concat(F.lit(" because of "), F.array_join(c["terms"], ", "))).otherwise(""))
+    return F.concat(F.lit("Question: "), query, F.lit("\nBand: "), band, F.lit(" (alone from "), F.format_number(hard, 2), F.lit(", in pairs from "), F.format_number(pair, 2), F.lit(")\n"), F.array_join(F.transform(candidates, line), "\n"))
+
+
+def routed(rows: DataFrame, model=None) -> DataFrame:
+    """``rows`` (of ``decide``, with candidates: array<string>) with source and the agent's changes.
+
+    Confident rows stay with the classifier.  Of the others ``model`` (a function of the row's candidates that replies) is
+    asked; a usable reply decides, an empty choice abstains.  Without a model, or a usable reply, the band stands ("fallback").
+    """
+    ask = F.col("band") != "confident"
+    if model is None:
+        return rows.withColumn("source", F.when(ask, "fallback").otherwise("classifier"))
+    chosen = chosen_categories(model(F.col("candidates")), F.col("candidates"))
+    rows = rows.withColumn("chosen", F.when(ask, chosen))
+    source = F.when(~ask, "classifier").when(F.col("chosen").isNotNull(), "llm").otherwise("fallback")
+    return rows.withColumns({
+        "source": source, "categories": F.coalesce("chosen", "categories"), "alpha": F.when(F.col("chosen").isNotNull(), F.when(F.size("chosen") > 0, 1.0).otherwise(0.0)).otherwise(F.col("alpha")),
+    }).drop("chosen")
+
+
+def backfilled(routes: DataFrame, fresh: DataFrame, key: str, current: str) -> DataFrame:
+    """``routes`` whose fingerprint isn't ``current`` (or is null) are replaced by ``fresh`` ones of the same columns, which get it."""
+    stale = routes.where(~F.col("fingerprint").eqNullSafe(current))
+    renewed = fresh.drop("fingerprint").join(stale.select(key), key, "left_semi").withColumn("fingerprint", F.lit(current))
+    return routes.where(F.col("fingerprint") == current).unionByName(renewed.select(*routes.columns))
+
+
+def guarded(questions: DataFrame, routes: DataFrame, key: str) -> DataFrame:
+    """``questions`` with their route; the job fails where one is missing or routes come from several models."""
+    models = routes.agg(F.count_distinct("fingerprint").alias("models"))  # one row
+    rows = questions.join(routes, key, "left").join(F.broadcast(models))
+    wrong = F.when(F.col("fingerprint").isNull(), F.raise_error(F.lit("a question without route"))).when(F.col("models") > 1, F.raise_error(F.lit("routes of several models")))
+    return rows.withColumn("fingerprint", F.coalesce(wrong.cast("string"), F.col("fingerprint"))).drop("models")

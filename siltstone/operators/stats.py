@@ -14,7 +14,7 @@ def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, r for each pair of columns; null where one is constant.  One pass over the rows."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = rows.agg(*[F.stddev_pop(c).alias(f"s_{c}") for c in columns], *[F.expr(f"try_divide(covar_pop({a}, {b}), stddev_pop({a}) * stddev_pop({b}))").alias(f"r_{a}__{b}") for a, b in pairs])
-    items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when((F.col(f"s_{a}") == 0) | (F.col(f"s_{b}") == 0), None).otherwise(F.round(F.col(f"r_{a}__{b}"), 6)).alias("r")) for a, b in pairs])
+    items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when((F.col(f"s_{a}") == 0) | (F.col(f"s_{b}") == 0), None).otherwise(F.round(F.col(f"r_{a}__{b}"), 6) + 0.0).alias("r")) for a, b in pairs])
     return one.select(F.inline(items))
 
 
@@ -26,10 +26,10 @@ def paired_hits(runs: DataFrame) -> DataFrame:
 
 
 def binomial_p(gains, losses):
-    """Exact two-sided p of an even split; 1 without discordant pairs.  Sums of logarithms, so any n."""
+    """Exact two-sided p of an even split; 1 without discordant pairs.  One pass, each logarithm of a binomial from the one before, so any n."""
     n = gains + losses
-    log_c = lambda i: F.aggregate(F.when(i > 0, F.sequence(F.lit(1).cast("long"), i)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda a, j: a + F.log((n - j + 1) / j))
-    total = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(gains, losses)), F.lit(0.0), lambda a, i: a + F.exp(log_c(i) - n * F.log(F.lit(2.0))))
+    step = lambda a, i: F.struct((a["total"] + F.exp(a["log_c"] - n * F.log(F.lit(2.0)))).alias("total"), (a["log_c"] + F.log((n - i) / (i + 1))).alias("log_c"))
+    total = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(gains, losses)), F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("log_c")), step, lambda a: a["total"])
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))
 
 
@@ -108,7 +108,7 @@ def bootstrap_best(runs: DataFrame, resamples: int, metric: str = "word_recall",
     draw = spark.range(resamples).withColumnRenamed("id", "b").join(F.broadcast(q.select("k", "n"))).select("b", (hashed % F.col("n")).alias("k"))
     means = draw.join(F.broadcast(q.select("k", "finder_id")), "k").join(runs.select("finder_id", "config_key", metric), "finder_id").groupBy("b", "config_key").agg(F.round(F.avg(metric), 9).alias("m"))
     placed = means.withColumn("place", F.row_number().over(W.partitionBy("b").orderBy(F.desc("m"), "config_key")))
-    return placed.groupBy("config_key").agg(F.round(F.avg(F.when(F.col("place") == 1, 1.0).otherwise(0.0)), 6).alias("p_best"), F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
+    return placed.groupBy("config_key").agg(F.round(F.avg(F.when(F.col("place") == 1, 1.0).otherwise(0.0)), 6).alias("p_best"), F.round(F.percentile("m", 0.025) + 1e-10, 6).alias("low"), F.round(F.percentile("m", 0.975) + 1e-10, 6).alias("high"))
 
 
 def against_top(runs: DataFrame, metric: str = "word_recall") -> DataFrame:
@@ -117,3 +117,66 @@ def against_top(runs: DataFrame, metric: str = "word_recall") -> DataFrame:
     top = runs.join(F.broadcast(best), F.col("config_key") == F.col("best"), "left_semi").select("finder_id", F.col(metric).alias("b"))
     others = runs.join(F.broadcast(best), F.col("config_key") == F.col("best"), "left_anti")
     return others.join(top, "finder_id").select("config_key", "finder_id", F.round(F.col("b") - F.col(metric), 6).alias("d"))
+
+
+def separation(runs: DataFrame, metric: str = "word_recall", alpha: float = 0.05) -> DataFrame:
+    """config_key, place, mean_delta, p, leading of every config: the best one against each below it, by signed ranks.
+
+    leading: places before the first config that the test tells from the best.  As many rows as there are configs.
+    """
+    diffs = against_top(runs, metric)
+    tests = diffs.groupBy("config_key").agg(F.round(F.avg("d"), 6).alias("mean_delta")).join(wilcoxon_p(diffs, ["config_key"]).select("config_key", "p"), "config_key", "left").na.fill(1.0, ["p"])
+    places = runs.groupBy("config_key").agg(F.round(F.avg(metric), 9).alias("m")).withColumn("place", F.row_number().over(W.orderBy(F.desc("m"), "config_key")))
+    rows = places.join(tests, "config_key", "left")
+    first = F.min(F.when(F.col("p") < alpha, F.col("place"))).over(W.partitionBy())
+    return rows.select("config_key", "place", F.coalesce("mean_delta", F.lit(0.0)).alias("mean_delta"), "p", F.coalesce(F.col("place") < first, F.lit(True)).alias("leading"))
+
+
+def pooled(runs: DataFrame, baseline: str, n: int = 3, metric: str = "word_recall") -> DataFrame:
+    """arm, finder_id, d: the best config, and the best ``n`` other than the baseline averaged for each question, minus the baseline."""
+    order = W.orderBy(F.desc("m"), "config_key")
+    ranked = runs.groupBy("config_key").agg(F.round(F.avg(metric), 9).alias("m"))
+    best = ranked.withColumn("k", F.row_number().over(order)).where("k = 1").select("config_key", F.lit("leader").alias("arm"))
+    top = ranked.where(F.col("config_key") != baseline).withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).select("config_key", F.lit(f"top{n}").alias("arm"))
+    arms = runs.join(F.broadcast(best.unionByName(top)), "config_key").groupBy("arm", "finder_id").agg(F.avg(metric).alias("v"))  # n + 1 rows
+    base = runs.where(F.col("config_key") == baseline).select("finder_id", F.col(metric).alias("b"))
+    return arms.join(base, "finder_id").select("arm", "finder_id", F.round(F.col("v") - F.col("b"), 6).alias("d"))
+
+
+def tested(diffs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, questions, mean_delta, p (1 where nothing differs)."""
+    return diffs.groupBy(*keys).agg(F.count("*").alias("questions"), F.round(F.avg("d") + 1e-10, 6).alias("mean_delta")).join(wilcoxon_p(diffs, keys).select(*keys, "p"), keys, "left").na.fill(1.0, ["p"])
+
+
+def versus_baseline(runs: DataFrame, baseline: str, metric: str = "word_recall") -> DataFrame:
+    """config_key, mean_delta, p, bh, beats: every config against the baseline, corrected over all of them."""
+    tests = tested(differences(runs, baseline, metric), ["config_key"]).withColumn("family", F.lit("all"))
+    fixed = corrections(tests, ["family"], "config_key").select("config_key", "bh")
+    return tests.join(fixed, "config_key").select("config_key", "mean_delta", "p", "bh", (F.col("bh") < 0.05).alias("beats"))
+
+
+#: Design contrasts: name, axis, treatment, control.
+CONTRASTS = (
+    ("hybrid - sparse", "mode", ("hybrid",), ("sparse",)), ("dense - sparse", "mode", ("dense",), ("sparse",)), ("hybrid - dense", "mode", ("hybrid",), ("dense",)), ("children - level 1", "level", (2, 3), (1,)),
+    ("level 3 - level 2", "level", (3,), (2,)), ("enhanced - plain", "enhance", (1,), (0,)), ("alpha 1 - alpha 0", "alpha", (1,), (0,)),
+)
+
+
+def arms(runs: DataFrame, metrics: tuple[str, ...], contrasts=CONTRASTS) -> DataFrame:
+    """contrast, metric, finder_id, d, crossed: treatment minus control, each averaged for the question over all other axes.
+
+    crossed: both arms span the same combinations of the other axes (over all questions).  A contrast one of whose arms
+    has no rows gives none.
+    """
+    axes = ("mode", "level", "enhance", "alpha")
+    out = None
+    for name, axis, treatment, control in contrasts:
+        arm = F.when(F.col(axis).isin(*treatment), 1).when(F.col(axis).isin(*control), 0)
+        rest = F.struct(*[a for a in axes if a != axis])
+        rows = runs.withColumn("arm", arm).where("arm IS NOT NULL").withColumn("rest", rest)
+        spans = rows.select("arm", "rest").distinct().groupBy("rest").agg(F.count("*").alias("n")).agg((F.min("n") == 2).alias("crossed"))  # one row
+        values = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics]))
+        long = rows.select("finder_id", "arm", values).groupBy("finder_id", "metric").agg(F.avg(F.when(F.col("arm") == 1, F.col("v"))).alias("t"), F.avg(F.when(F.col("arm") == 0, F.col("v"))).alias("c")).where("t IS NOT NULL AND c IS NOT NULL")
+        part = long.join(F.broadcast(spans)).select(F.lit(name).alias("contrast"), "metric", "finder_id", F.round(F.col("t") - F.col("c"), 6).alias("d"), "crossed")
+        out = part if out is None else out.unionByName(part)
+    return out

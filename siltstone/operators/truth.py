@@ -71,3 +71,80 @@ def sources_of(context: Column) -> Column:
     pattern = r"(?m)^--- Source \d+ \(Ticker: (.*?), Year: (\d{4})\) ---$"
     part = lambda g: F.regexp_extract_all(context, F.lit(pattern), F.lit(g))
     return F.transform(F.arrays_zip(part(1).alias("t"), part(2).alias("y")), lambda s: F.concat_ws(":", F.lower(s["t"]), s["y"]))
+
+
+#: Relevance thresholds that are compared.
+THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7)
+
+
+def random_chunks(draws: DataFrame, corpus: DataFrame, buckets: int = 16, seed: str = "0") -> DataFrame:
+    """``draws`` (with draw, a text that names each) joined to the chunk_id that its hash picks: a bucket of the chunks' hashes, and a place in it.
+
+    The same draws give the same chunks in every run; a draw into an empty bucket gives none.
+    """
+    hashed = lambda c, at: F.conv(F.substring(F.md5(c), at, 7), 16, 10).cast("long")
+    own = corpus.select("chunk_id", F.md5("chunk_id").alias("h")).withColumn("bucket", F.conv(F.substring("h", 1, 7), 16, 10).cast("long") % buckets)
+    placed = own.withColumn("place", F.row_number().over(W.partitionBy("bucket").orderBy("h")) - 1).withColumn("size", F.count("*").over(W.partitionBy("bucket")))
+    sizes = placed.groupBy("bucket").agg(F.first("size").alias("size"))
+    key = F.concat(F.lit(seed + ":"), "draw")
+    asked = draws.withColumn("bucket", hashed(key, 1) % buckets).join(F.broadcast(sizes), "bucket").withColumn("place", hashed(key, 8) % F.col("size"))  # as many sizes as buckets
+    return asked.join(placed.select("bucket", "place", "chunk_id"), ["bucket", "place"]).drop("bucket", "place", "size")
+
+
+def calibration(scored: DataFrame, pool: str, thresholds=THRESHOLDS) -> DataFrame:
+    """threshold, pool, n, labelled: share of ``scored`` (score) at or above each threshold."""
+    one = scored.agg(F.count("*").alias("n"), *[F.avg((F.col("score") >= t).cast("int")).alias(f"t{k}") for k, t in enumerate(thresholds)])
+    return one.select("n", F.inline(F.array(*[F.struct(F.lit(t).alias("threshold"), F.round(F.col(f"t{k}"), 6).alias("labelled")) for k, t in enumerate(thresholds)]))).select("threshold", F.lit(pool).alias("pool"), "n", "labelled")
+
+
+def fingerprints(corpus: DataFrame, length: int = 200) -> DataFrame:
+    """prefix, chunk_id: the first chunk of each distinct opening of ``length`` normal characters."""
+    rows = corpus.select("chunk_id", F.substring(X.normal("text"), 1, length).alias("prefix")).where("prefix <> ''")
+    return rows.groupBy("prefix").agg(F.min("chunk_id").alias("chunk_id"))
+
+
+def pitfalls(wrong_year: Column, flag: Column) -> Column:
+    """What went wrong with a run, joined by commas; a dash for nothing."""
+    found = F.array_compact(F.array(F.when(wrong_year > 0, "WRONG_YEAR"), F.when(flag != "-", flag)))
+    return F.when(F.size(found) > 0, F.array_join(found, ", ")).otherwise("-")
+
+
+#: What stands for an answer where nothing was retrieved, and in a context of an empty answer.
+NOTHING, NO_ANSWER = "No relevant context retrieved.", " NO GENERATED ANSWER "
+
+
+def answers(contexts: DataFrame, model) -> DataFrame:
+    """``contexts`` (finder_id, retrieved_ids, context) with answer: ``model(context)`` once for each distinct context, NOTHING where there is none, "" where the model fails (null)."""
+    context = F.col("context")
+    return contexts.withColumn("answer", F.when(context.isNull() | (F.trim(context) == ""), NOTHING).otherwise(F.coalesce(model(context), F.lit(""))))
+
+
+def shown(answer: Column) -> Column:
+    return F.when(F.trim(F.coalesce(answer, F.lit(""))) == "", NO_ANSWER).otherwise(answer)
+
+
+def third_failures(rows: DataFrame, keys: list[str], order: list[str], failed: str, n: int = 3) -> DataFrame:
+    """keys and the order columns of each row at which ``n`` rows in a row have failed for the first time: where a run would have stopped."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    run = rows.withColumn("fine", F.sum((~F.col(failed)).cast("int")).over(w))
+    run = run.where(failed).withColumn("k", F.row_number().over(W.partitionBy(*keys, "fine").orderBy(*order))).where(F.col("k") == n)
+    return run.withColumn("j", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("j = 1").select(*keys, *order)
+
+
+def run_id_parts(run_id: Column) -> Column:
+    """struct<ticker, years, mode> of "ticker_years_header_mode_number"; the mode is null in old ids, the ticker where it is None."""
+    headed = run_id.contains("_header_")
+    before = F.when(headed, F.substring_index(run_id, "_header_", 1)).otherwise(run_id)
+    after = F.when(headed, F.substring_index(F.regexp_extract(run_id, "(?s)_header_(.*)", 1), "_", 1))
+    ticker = F.substring_index(before, "_", 1)
+    rest = F.when(before.contains("_"), F.regexp_extract(before, "(?s)^[^_]*_(.*)$", 1)).otherwise("")
+    years = F.transform(F.regexp_extract_all(rest, F.lit(r"\d{4}"), F.lit(0)), lambda y: y.cast("int"))
+    return F.struct(F.when(ticker != "None", ticker).alias("ticker"), years.alias("years"), F.when(after.isin("dense", "sparse", "hybrid"), after).alias("mode"))
+
+
+def field_values(text: Column) -> Column:
+    """array<string> of a printed field: a scalar, None (empty), or a list in brackets with quoted or bare items."""
+    plain = F.trim(F.coalesce(text, F.lit("")))
+    inner = F.regexp_extract(plain, r"(?s)^\[(.*)\]$", 1)
+    items = F.transform(F.split(F.when(plain.rlike(r"(?s)^\[.*\]$"), inner).otherwise(plain), ","), lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", ""))
+    return F.filter(items, lambda x: ~x.isin("", "None"))

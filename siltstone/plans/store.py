@@ -12,8 +12,11 @@ _built: dict[tuple[str, str, str], str] = {}
 
 
 def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.  Only on one machine may it be unset: then it is one of our own."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = os.path.join(tempfile.gettempdir(), "siltstone-shared")
         os.makedirs(there, exist_ok=True)
     return there.rstrip("/")

@@ -13,7 +13,7 @@ QUERIES = {
     "tracks": lambda s, d: sweep.tracks(s, d),
     "sweep_results": lambda s, d: sweep.results(s, d),
     "sweep_runs": lambda s, d: sweep.runs(s, d),
-    "slice": lambda s, d: sweep.runs(s, d).where("config_key = 'L1_SPARSE_PLAIN_A0'").select("finder_id", "retrieved_ids", "soft_mrr", "soft_recall3"),
+    "slice": lambda s, d: sweep.sparse_slice(s, d),
 }
 SQL = {
     "questions": upto("questions").replace("WITH chunks", "WITH chunks") + " SELECT * FROM questions",

@@ -36,7 +36,7 @@ lines AS (SELECT d.*, unnest(string_split(text, chr(10))) AS line, generate_subs
 chunks AS (SELECT * FROM docs1 UNION ALL SELECT chunk_id || '/' || printf('%06d', pos), 2, doc_id, chunk_id, ticker, section, fiscal_year_end, line FROM lines WHERE trim(line) <> '')"""
 QUESTIONS = r"""
 questions AS (SELECT item_id AS finder_id, array_to_string(string_split(coalesce(text, ''), ' ')[1:12], ' ') AS query, array_to_string(string_split(coalesce(text, ''), ' ')[1:24], ' ') AS enhanced,
-           coalesce(text, '') AS truth, 'c' || (item_id % 4) AS category, ['en', 'fr', 'de', 'es'][item_id % 4 + 1] AS route FROM benchmark)"""
+           coalesce(text, '') AS truth, 'c' || (item_id % 4) AS category, ['en', 'fr', 'de', 'es'][item_id % 4 + 1] AS route, ['FY2024', '2022-2023', ''][item_id % 3 + 1] AS period FROM benchmark)"""
 GRID = r"""
 grid AS (SELECT level, mode, enhance, alpha, 'L' || level || '_' || upper(mode) || '_' || CASE WHEN enhance = 1 THEN 'ENH' ELSE 'PLAIN' END || '_A' || alpha AS config_key,
          max(CASE WHEN mode = 'hybrid' THEN 15 ELSE 5 END) OVER (PARTITION BY enhance, level) AS prefetch
@@ -103,12 +103,13 @@ rel1 AS (SELECT r.finder_id, r.chunk_id, ticker, section, year(fiscal_year_end)
          FROM rel0 r JOIN questions q USING (finder_id) JOIN docs1 c ON c.chunk_id = r.chunk_id),
 relevance AS (SELECT *, {share('ew', 'cw')} AS word, CASE WHEN len(en) < 4 THEN 0.0 ELSE {share('en', 'cn')} END AS num FROM rel1),
 joined AS (SELECT s.*, ticker, section, year, word, num, greatest(word, num) AS rel FROM results s JOIN relevance USING (finder_id, chunk_id)),
+modal AS (SELECT finder_id, config_key, section AS top FROM (SELECT finder_id, config_key, section, row_number() OVER (PARTITION BY finder_id, config_key ORDER BY count(*) DESC, min(rank)) AS k FROM joined GROUP BY finder_id, config_key, section) WHERE k = 1),
 runs AS (
-  SELECT j.finder_id, config_key, level, mode, enhance, alpha, any_value(category) AS category, any_value(query) AS query, any_value(route) AS route, string_agg(chunk_id, '|' ORDER BY rank) AS retrieved_ids, count(*)::INT AS n_retrieved,
+  SELECT j.finder_id, j.config_key, level, mode, enhance, alpha, any_value(category) AS category, any_value(query) AS query, any_value(route) AS route, string_agg(chunk_id, '|' ORDER BY rank) AS retrieved_ids, count(*)::INT AS n_retrieved,
          round_even(max(word), 4) AS word_recall, round_even(max(num), 4) AS num_recall, max(word) >= 0.5 OR max(num) >= 0.7 AS evidence_hit,
          coalesce(round(1.0 / min(CASE WHEN rel >= 0.5 THEN rank + 1 END), 6), 0.0)::DOUBLE AS soft_mrr, max(CASE WHEN rel >= 0.5 AND rank < 3 THEN 1 ELSE 0 END)::DOUBLE AS soft_recall3,
-         count(DISTINCT section)::INT AS section_diversity, min_by(section, rank) AS top_section, min_by(ticker, rank) AS ticker, count(CASE WHEN year <> 2024 THEN 1 END)::INT AS wrong_year, min_by(chunk_id, rank) AS top_chunk
-  FROM joined j JOIN questions USING (finder_id) GROUP BY j.finder_id, config_key, level, mode, enhance, alpha)"""
+         count(DISTINCT (j.section, j.ticker))::INT AS section_diversity, any_value(top) AS top_section, min_by(ticker, rank) AS ticker, count(CASE WHEN (period = 'FY2024' AND year <> 2024) OR (period = '2022-2023' AND year NOT IN (2022, 2023)) THEN 1 END)::INT AS wrong_year, min_by(chunk_id, rank) AS top_chunk
+  FROM joined j JOIN questions USING (finder_id) JOIN modal m ON m.finder_id = j.finder_id AND m.config_key = j.config_key GROUP BY j.finder_id, j.config_key, level, mode, enhance, alpha)"""
 
 
 def upto(name: str) -> str:

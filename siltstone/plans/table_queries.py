@@ -51,8 +51,9 @@ PORTABLE = {
         FROM (SELECT *, max(value) OVER (PARTITION BY axis, category) AS top, min(value) OVER (PARTITION BY axis, category) AS low FROM v) t GROUP BY axis, category""",
     "a11_sections": """WITH c AS (SELECT top_section, count(*) AS n FROM {runs} GROUP BY top_section),
         r AS (SELECT top_section, row_number() OVER (ORDER BY n DESC, top_section) AS k FROM c)
-        SELECT CASE WHEN k <= 8 THEN r.top_section ELSE 'OTHER' END AS section, count(*) AS n, round(100.0 * count(*) / max(total), 1) AS pct, round(avg(soft_recall3) + 1e-10, 3) AS recall3
-        FROM (SELECT *, count(*) OVER () AS total FROM {runs}) x JOIN r ON x.top_section = r.top_section GROUP BY CASE WHEN k <= 8 THEN r.top_section ELSE 'OTHER' END""",
+        SELECT CASE WHEN k <= 8 THEN r.top_section ELSE 'OTHER' END AS section, count(*) AS n, CAST(round(100e0 * count(*) / max(total), 1) AS DOUBLE) AS pct, round(avg(soft_recall3) + 1e-10, 3) AS recall3
+        FROM (SELECT *, count(*) OVER () AS total FROM {runs}) x JOIN r ON x.top_section = r.top_section GROUP BY CASE WHEN k <= 8 THEN r.top_section ELSE 'OTHER' END
+        UNION ALL SELECT 'OVERALL', count(*), 100e0, round(avg(soft_recall3) + 1e-10, 3) FROM {runs}""",
     "a12_section_shift": """WITH c AS (SELECT category, alpha, top_section, count(*) AS n FROM {runs} GROUP BY category, alpha, top_section),
         m AS (SELECT category, alpha, top_section, row_number() OVER (PARTITION BY category, alpha ORDER BY n DESC, top_section) AS k FROM c),
         w AS (SELECT category, alpha, round(avg(word_recall) + 1e-10, 3) AS w FROM {runs} GROUP BY category, alpha)
@@ -71,7 +72,8 @@ PORTABLE = {
     "a18_pareto_norm": """WITH m AS (SELECT config_key, round(avg(word_recall) + 1e-10, 6) AS x, round(avg(soft_mrr) + 1e-10, 6) AS y FROM {runs} GROUP BY config_key),
         e AS (SELECT config_key, x, y FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.x >= a.x AND b.y >= a.y AND (b.x > a.x OR b.y > a.y))),
         s AS (SELECT *, min(x) OVER () AS x0, max(x) OVER () AS x1, min(y) OVER () AS y0, max(y) OVER () AS y1 FROM e)
-        SELECT config_key, round(CASE WHEN x1 > x0 THEN (x - x0) / (x1 - x0) ELSE 0e0 END, 6) AS nx, round(CASE WHEN y1 > y0 THEN (y - y0) / (y1 - y0) ELSE 0e0 END, 6) AS ny FROM s""",
+        SELECT config_key, round(CASE WHEN x1 > x0 THEN (x - x0) / (x1 - x0) ELSE 0e0 END, 6) AS nx, round(CASE WHEN y1 > y0 THEN (y - y0) / (y1 - y0) ELSE 0e0 END, 6) AS ny,
+        CAST(rank() OVER (ORDER BY round(CASE WHEN x1 > x0 THEN (x - x0) / (x1 - x0) ELSE 0e0 END + CASE WHEN y1 > y0 THEN (y - y0) / (y1 - y0) ELSE 0e0 END, 6) DESC) AS BIGINT) AS place FROM s""",
     # overlap analysis
     "o01_group_sizes": f"SELECT finder_id, config_key, gsize FROM ({SIZED}) s",
     "o02_headline": f"WITH s AS ({SIZED}), g AS (SELECT finder_id, retrieved_ids, count(*) AS n FROM {{runs}} GROUP BY finder_id, retrieved_ids) SELECT CAST(sum(CASE WHEN n >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS groups, CAST(sum(CASE WHEN n >= 2 THEN n ELSE 0 END) AS BIGINT) AS runs_in_groups, CAST(sum(CASE WHEN n >= 2 THEN n - 1 ELSE 0 END) AS BIGINT) AS redundant, count(*) AS contexts FROM g",
@@ -129,7 +131,7 @@ QUERIES |= {
     "x03_mcnemar": lambda s, d: stats.mcnemar(stats.paired_hits(judge.judged(s, d))),
     "x04_wilcoxon": lambda s, d: stats.wilcoxon(stats.differences(judge.judged(s, d), judge.BASELINE), ["config_key"]),
     "x06_corrections": lambda s, d: stats.corrections(stats.mcnemar(stats.paired_hits(judge.judged(s, d))), ["family"]),
-    "x17_bootstrap": lambda s, d: stats.bootstrap_best(judge.judged(s, d), 500),
+    "x17_bootstrap": lambda s, d: stats.bootstrap_best(judge.judged(s, d), 5000),
     "x04_wilcoxon_p": lambda s, d: stats.wilcoxon_p(stats.differences(judge.judged(s, d), judge.BASELINE), ["config_key"]),
 }
 _COLS = ["word_recall", "num_recall", "soft_mrr", "soft_recall3", "n_retrieved", "section_diversity", "wrong_year"]
@@ -142,14 +144,14 @@ wx AS (SELECT config_key, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END):
 SQL |= {
     "m25_overlap_groups": PREFIX + f" SELECT finder_id, config_key, n, canonical FROM (SELECT finder_id, config_key, count(*) OVER (PARTITION BY finder_id, retrieved_ids) AS n, min_by(config_key, CASE WHEN config_key = '{judge.BASELINE}' THEN '' ELSE config_key END) OVER (PARTITION BY finder_id, retrieved_ids) AS canonical FROM verdicts WHERE retrieved_ids <> '') WHERE n >= 2",
     "judged_runs": PREFIX + " SELECT * FROM verdicts",
-    "a05_correlations": PREFIX + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(CASE WHEN stddev_pop({a}) = 0 OR stddev_pop({b}) = 0 THEN NULL ELSE corr({a}, {b}) END, 6) AS r FROM verdicts" for i, a in enumerate(_COLS) for b in _COLS[i + 1 :]),
+    "a05_correlations": PREFIX + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(CASE WHEN stddev_pop({a}) = 0 OR stddev_pop({b}) = 0 THEN NULL ELSE corr({a}, {b}) END, 6) + 0.0 AS r FROM verdicts" for i, a in enumerate(_COLS) for b in _COLS[i + 1 :]),
     "x03_mcnemar": PREFIX + "," + _HITS + " SELECT family, base_config, gains, losses, round(raw, 6) AS p FROM mc",
     "x04_wilcoxon": PREFIX + "," + _DIFF + " SELECT config_key, n, w_plus, w_minus, round((w_plus - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0), 6) AS z FROM wx",
     "x06_corrections": PREFIX + "," + _HITS + """, o AS (SELECT *, round(raw, 6) AS p, row_number() OVER (PARTITION BY family ORDER BY round(raw, 6), base_config) AS r, count(*) OVER (PARTITION BY family) AS m FROM mc)
         SELECT family, base_config, p, round(least(1.0, max((m - r + 1) * p) OVER (PARTITION BY family ORDER BY r)), 6) AS holm, round(least(1.0, min(m * p / r) OVER (PARTITION BY family ORDER BY r DESC)), 6) AS bh FROM o""",
     "x17_bootstrap": PREFIX + """, q AS (SELECT finder_id, row_number() OVER (ORDER BY finder_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT finder_id FROM verdicts)),
-        draw AS (SELECT b, ('0x' || substr(md5('0:' || b || ':' || q.k), 1, 8))::BIGINT % q.n AS k FROM range(500) t(b), q),
+        draw AS (SELECT b, ('0x' || substr(md5('0:' || b || ':' || q.k), 1, 8))::BIGINT % q.n AS k FROM range(5000) t(b), q),
         s AS (SELECT b, config_key, round(avg(word_recall), 9) AS m FROM draw JOIN q USING (k) JOIN verdicts v ON v.finder_id = q.finder_id GROUP BY ALL),
         w AS (SELECT b, config_key, m, row_number() OVER (PARTITION BY b ORDER BY m DESC, config_key) AS place FROM s)
-        SELECT config_key, round(avg(CASE WHEN place = 1 THEN 1.0 ELSE 0.0 END), 6) AS p_best, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM w GROUP BY config_key""",
+        SELECT config_key, round(avg(CASE WHEN place = 1 THEN 1.0 ELSE 0.0 END), 6) AS p_best, round(quantile_cont(m, 0.025) + 1e-10, 6) AS low, round(quantile_cont(m, 0.975) + 1e-10, 6) AS high FROM w GROUP BY config_key""",
 }
