@@ -178,7 +178,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int | None =
     sizes = placed.groupBy("label", "d", F.col("cell").alias("own")).agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(W.partitionBy("label", "d")))
     used = F.when(F.col("all") <= most, 0).when(F.col("all") <= 16 * most, 1).when(F.col("all") <= 256 * most, 2).otherwise(GRID)
     sizes = sizes.withColumn("cell", F.transform("own", lambda x, i: F.when(i < used, x).otherwise(0)))
-    sizes = sizes.select(*at, "own", F.ceil(F.sum("n").over(W.partitionBy(*at)) / most).cast("int").alias("tiles"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    sizes = sizes.withColumn("tiles", F.ceil(F.sum("n").over(W.partitionBy(*at)) / most).cast("int"))
+    sizes = sizes.select(*at, "own", "tiles", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = placed.withColumnRenamed("cell", "own").withColumn("salt", F.pmod(F.xxhash64(F.lit("s"), "cls"), F.lit(SALTS)).cast("int"))
     dealt = dealt.join(sizes, ["label", "d", "own", "salt"]).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     boxes = [F.struct(F.min(F.get("lead", k)).alias("lo"), F.max(F.get("lead", k)).alias("hi")) for k in range(LEAD)]
