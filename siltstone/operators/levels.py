@@ -49,7 +49,7 @@ def join_headers(docs: DataFrame, key: str, md: str) -> DataFrame:
     one = one.select(key, "pos", "level", F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), title)).otherwise(F.get("l", F.lit(0))["line"]).alias("line"))
     after = F.lead("level").over(order)  # nothing blank follows a header, so the next line is its text
     mark = F.when((F.col("level") > 0) & (F.col("after").isNull() | (F.col("after") > 0)), F.array("line", F.lit(ONLY))).otherwise(F.array("line"))
-    return one.withColumn("after", after).select(key, "pos", F.posexplode(mark).alias("k", "line")).select(key, (F.col("pos") * 2 + F.col("k")).alias("pos"), "line")
+    return one.withColumn("after", after).select(key, "pos", F.posexplode(mark).alias("__k", "line")).select(key, (F.col("pos") * 2 + F.col("__k")).alias("pos"), "line")
 
 
 def sections(lines: DataFrame, key: str) -> DataFrame:

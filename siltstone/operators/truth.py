@@ -126,9 +126,9 @@ def shown(answer: Column) -> Column:
 def third_failures(rows: DataFrame, keys: list[str], order: list[str], failed: str, n: int = 3) -> DataFrame:
     """keys and the order columns of each row at which ``n`` rows in a row have failed for the first time: where a run would have stopped."""
     w = W.partitionBy(*keys).orderBy(*order)
-    run = rows.withColumn("fine", F.sum((~F.col(failed)).cast("int")).over(w))
-    run = run.where(failed).withColumn("k", F.row_number().over(W.partitionBy(*keys, "fine").orderBy(*order))).where(F.col("k") == n)
-    return run.withColumn("j", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("j = 1").select(*keys, *order)
+    run = rows.withColumn("__fine", F.sum((~F.col(failed)).cast("int")).over(w))
+    run = run.where(failed).withColumn("__n", F.row_number().over(W.partitionBy(*keys, "__fine").orderBy(*order))).where(F.col("__n") == n)
+    return run.withColumn("__first", F.row_number().over(w)).where("__first = 1").select(*keys, *order)
 
 
 def run_id_parts(run_id: Column) -> Column:
