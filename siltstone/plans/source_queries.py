@@ -103,6 +103,27 @@ def ids(spark, sf_dir):
     return files.with_provenance(files.with_ids(rows, ["source", "doc_id"]), "0123456789abcdef", False).select("doc_id", "id", "code_commit", "code_dirty")
 
 
+def called(spark, sf_dir):
+    """Replies to conversation turns by a function that fails for short ones."""
+
+    def call(text):
+        if len(text) < 40:
+            raise ValueError("too short")
+        return str(len(text))
+
+    rows = sweep.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return files.batch_call(rows, "text", call).select("conv_id", "turn", "reply")
+
+
+def created(spark, sf_dir):
+    """The table is made once; the second call finds what has been written meanwhile."""
+    path = fresh(spark, "created")
+    schema = "chunk_id string, level int"
+    before = files.create_levels(spark, path, schema).count()
+    sweep.chunks(spark, sf_dir).select("chunk_id", "level").write.mode("append").parquet(path)
+    return files.create_levels(spark, path, schema).groupBy("level").agg(F.count("*").alias("n")).withColumn("before", F.lit(before).cast("long"))
+
+
 SHEETS = ("a02_config_summary", "a03_category_breakdown", "a04_failure_analysis", "a05_correlations", "a06_dimension_summary", "a07_baseline_delta", "a11_sections", "a12_section_shift", "a13_overlapping_context", "a14_console_summary")
 
 
@@ -137,7 +158,10 @@ QUERIES = {
     "io10_scan": scan,
     "io11_lookups": lookups,
     "io15_move_verified": moved,
+    "io16_created": created,
     "io18_levels": by_level,
+    "io26_batch_calls": called,
+    "io28_batches": lambda s, d: files.batched(sweep.read(s, d, "events").select("event_id"), 100).groupBy("batch").agg(F.count("*").alias("size")).agg(F.sum("size").alias("n"), F.max("size").alias("largest")),
     "io20_append_new": additive,
     "io21_report_sheets": report,
     "io30_ids": ids,
@@ -158,6 +182,9 @@ SQL = {
     "io15_move_verified": """SELECT 'moved' AS state, count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM orders WHERE o_orderkey % 6 = 0 UNION ALL SELECT 'missing', count(*) + 1, sum(o_orderkey)::BIGINT - 1 FROM orders WHERE o_orderkey % 6 = 3
         UNION ALL SELECT 'source', count(*), sum(o_orderkey)::BIGINT FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 UNION ALL SELECT 'destination', count(*), sum(o_orderkey)::BIGINT FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 3 = 0""",
     "io18_levels": "WITH " + sweep_sql.CHUNKS + " SELECT level, count(*) AS n, 0 AS enriched FROM chunks GROUP BY level",
+    "io16_created": "WITH " + sweep_sql.CHUNKS + " SELECT level, count(*) AS n, 0 AS before FROM chunks GROUP BY level",
+    "io26_batch_calls": "SELECT conv_id, turn, CASE WHEN length(coalesce(text, '')) < 40 THEN '' ELSE length(text)::VARCHAR END AS reply FROM conversations",
+    "io28_batches": "SELECT count(*) AS n, least(count(*), 100) AS largest FROM events",
     "io20_append_new": "SELECT 'label' AS kind, count(DISTINCT doc_id) AS n FROM labels UNION ALL SELECT 'document', count(DISTINCT doc_id) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "io21_report_sheets": _report_sql(),
     "io30_ids": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'own-' || doc_id ELSE sha1(coalesce(source, '') || '/' || doc_id) END AS id, '01234567' AS code_commit, false AS code_dirty FROM documents",

@@ -30,3 +30,11 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
         build(spark, sf_dir).write.parquet(path)
         _built[key] = path
     return spark.read.parquet(_built[key])
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the stage tables of this session."""
+    mine = spark.sparkContext.applicationId
+    for key in [k for k in _built if k[0] == mine]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_built.pop(key))
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -36,15 +36,16 @@ PORTABLE = {
     "a04_failure_analysis": "SELECT finder_id, config_key, category, relevance, completeness, word_recall FROM {runs} WHERE relevance = 'B' OR completeness = 'B'",
     "a06_dimension_summary": f"WITH src AS (SELECT * FROM {{runs}}), ax AS ({AX}) SELECT axis, value, count(*) AS n, {MEANS} FROM ax GROUP BY axis, value",
     "a06_grouping_sets": f"SELECT level, mode, enhance, alpha, count(*) AS n, {MEANS} FROM {{runs}} GROUP BY GROUPING SETS ((level), (mode), (enhance), (alpha), ())",
-    "a07_baseline_delta": f"""WITH m AS (SELECT config_key, count(*) AS n, round(avg(word_recall) + 1e-10, 4) AS w, round(avg(soft_mrr) + 1e-10, 4) AS s FROM {{runs}} GROUP BY config_key),
-        b AS (SELECT w AS bw, s AS bs FROM m WHERE config_key = '{judge.BASELINE}')
-        SELECT config_key, n, w, s, round(w - bw, 4) AS dw, round(s - bs, 4) AS ds, config_key = '{judge.BASELINE}' AS is_baseline FROM m CROSS JOIN b""",
+    "a07_baseline_delta": f"""WITH m AS (SELECT config_key, count(*) AS n, round(avg(word_recall) + 1e-10, 4) AS w, round(avg(soft_mrr) + 1e-10, 4) AS s, round(avg(soft_recall3) + 1e-10, 4) AS r, round(avg(CASE WHEN evidence_hit THEN 1e0 ELSE 0e0 END) + 1e-10, 4) AS h FROM {{runs}} GROUP BY config_key),
+        b AS (SELECT w AS bw, s AS bs, r AS br, h AS bh FROM m WHERE config_key = '{judge.BASELINE}')
+        SELECT config_key, n, w, s, r, h, round(w - bw, 4) AS dw, round(s - bs, 4) AS ds, round(r - br, 4) AS dr, round(h - bh, 4) AS dh, config_key = '{judge.BASELINE}' AS is_baseline FROM m CROSS JOIN b""",
     "a08_one_axis_impact": f"""WITH m AS (SELECT config_key, level, mode, enhance, alpha, round(avg(word_recall) + 1e-10, 4) AS w FROM {{runs}} GROUP BY config_key, level, mode, enhance, alpha),
         d AS (SELECT m.config_key, m.w - b.w AS dw, CASE WHEN m.level <> b.level THEN 1 ELSE 0 END AS l, CASE WHEN m.mode <> b.mode THEN 1 ELSE 0 END AS o, CASE WHEN m.enhance <> b.enhance THEN 1 ELSE 0 END AS e, CASE WHEN m.alpha <> b.alpha THEN 1 ELSE 0 END AS a
               FROM m JOIN m b ON b.config_key = '{judge.BASELINE}')
         SELECT config_key, CASE WHEN l + o + e + a = 0 THEN 'baseline' WHEN l + o + e + a > 1 THEN 'multi' WHEN l = 1 THEN 'level' WHEN o = 1 THEN 'mode' WHEN e = 1 THEN 'enhance' ELSE 'alpha' END AS bucket, round(dw, 4) AS delta FROM d""",
     "a09_delta_labels": f"""WITH m AS (SELECT config_key, round(avg(word_recall) + 1e-10, 4) AS w FROM {{runs}} GROUP BY config_key)
-        SELECT m.config_key, round(m.w - b.w, 4) AS delta, CASE WHEN m.w - b.w >= 0.05 THEN 'up' WHEN m.w - b.w <= -0.05 THEN 'down' ELSE 'flat' END AS arrow FROM m JOIN m b ON b.config_key = '{judge.BASELINE}'""",
+        SELECT m.config_key, round(m.w - b.w, 4) AS delta, CASE WHEN m.w - b.w >= 0.05 THEN 'up' WHEN m.w - b.w <= -0.05 THEN 'down' ELSE 'flat' END AS arrow,
+        concat(CASE WHEN round(m.w - b.w, 4) < 0 THEN '-' ELSE '+' END, '0.', lpad(CAST(CAST(round(abs(round(m.w - b.w, 4)) * 10000, 0) AS BIGINT) AS STRING), 4, '0')) AS shown FROM m JOIN m b ON b.config_key = '{judge.BASELINE}'""",
     "a10_axis_by_category": f"""WITH src AS (SELECT * FROM {{runs}}), ax AS ({AX}),
         v AS (SELECT axis, coalesce(category, 'OVERALL') AS category, value, round(avg(word_recall) + 1e-10, 4) AS w FROM ax GROUP BY GROUPING SETS ((axis, category, value), (axis, value)))
         SELECT axis, category, count(*) AS n_values, round(max(w) - min(w), 4) AS range, CASE WHEN count(*) = 2 THEN round(max(CASE WHEN value = top THEN w END) - max(CASE WHEN value = low THEN w END), 4) END AS signed
@@ -56,8 +57,8 @@ PORTABLE = {
         UNION ALL SELECT 'OVERALL', count(*), 100e0, round(avg(soft_recall3) + 1e-10, 3) FROM {runs}""",
     "a12_section_shift": """WITH c AS (SELECT category, alpha, top_section, count(*) AS n FROM {runs} GROUP BY category, alpha, top_section),
         m AS (SELECT category, alpha, top_section, row_number() OVER (PARTITION BY category, alpha ORDER BY n DESC, top_section) AS k FROM c),
-        w AS (SELECT category, alpha, round(avg(word_recall) + 1e-10, 3) AS w FROM {runs} GROUP BY category, alpha)
-        SELECT a.category, a.top_section AS section0, b.top_section AS section1, a.top_section <> b.top_section AS shifted, round(wb.w - wa.w, 3) AS delta
+        w AS (SELECT category, alpha, round(avg(word_recall) + 1e-10, 3) AS w, round(avg(soft_mrr) + 1e-10, 3) AS s, round(avg(soft_recall3) + 1e-10, 3) AS r FROM {runs} GROUP BY category, alpha)
+        SELECT a.category, a.top_section AS section0, b.top_section AS section1, a.top_section <> b.top_section AS shifted, wa.w AS w0, wb.w AS w1, round(wb.w - wa.w, 3) AS delta, round(wb.s - wa.s, 3) AS delta_mrr, round(wb.r - wa.r, 3) AS delta_recall
         FROM m a JOIN m b ON a.category = b.category AND a.alpha = 0 AND b.alpha = 1 AND a.k = 1 AND b.k = 1 JOIN w wa ON wa.category = a.category AND wa.alpha = 0 JOIN w wb ON wb.category = a.category AND wb.alpha = 1""",
     "a13_overlapping_context": """WITH g AS (SELECT finder_id, retrieved_ids, count(*) AS n, min(config_key) AS first_key FROM {runs} WHERE retrieved_ids <> '' GROUP BY finder_id, retrieved_ids HAVING count(*) >= 2)
         SELECT finder_id, concat(CAST(finder_id AS STRING), '_g', CAST(row_number() OVER (PARTITION BY finder_id ORDER BY first_key) AS STRING)) AS group_id, n, substr(sha1(retrieved_ids), 1, 12) AS ids_hash FROM g""",
@@ -113,6 +114,12 @@ PORTABLE = {
         q AS (SELECT contrast, finder_id, avg(CASE WHEN t = 1 THEN word_recall END) - avg(CASE WHEN t = 0 THEN word_recall END) AS d, count(CASE WHEN t = 1 THEN 1 END) = count(CASE WHEN t = 0 THEN 1 END) AS crossed FROM c GROUP BY contrast, finder_id)
         SELECT contrast, count(*) AS questions, round(avg(d) + 1e-10, 6) AS effect, min(CASE WHEN crossed THEN 1 ELSE 0 END) AS crossed FROM q GROUP BY contrast""",
     "x22_regime_cube": "SELECT mode, category, count(*) AS n, count(DISTINCT finder_id) AS trials FROM {runs} GROUP BY CUBE (mode, category)",
+    "x23_heatmap": "SELECT mode, level, alpha, count(*) AS n, round(avg(word_recall) + 1e-10, 6) AS mean FROM {runs} GROUP BY mode, level, alpha",
+    "x23_caterpillar": f"""WITH d AS (SELECT a.config_key, a.word_recall - b.word_recall AS d FROM {{runs}} a JOIN {{runs}} b ON a.finder_id = b.finder_id AND b.config_key = '{judge.BASELINE}')
+        SELECT config_key, round(avg(d) + 1e-10, 6) AS mean, round(avg(d) - 1.96e0 * coalesce(stddev_samp(d), 0e0) / sqrt(CAST(count(*) AS DOUBLE)) + 1e-10, 6) AS low, round(avg(d) + 1.96e0 * coalesce(stddev_samp(d), 0e0) / sqrt(CAST(count(*) AS DOUBLE)) + 1e-10, 6) AS high FROM d GROUP BY config_key""",
+    "x23_routing": "SELECT category, alpha, top_section, count(*) AS n, round(avg(soft_recall3) + 1e-10, 6) AS recall3 FROM {runs} GROUP BY category, alpha, top_section",
+    "x23_divergence": f"SELECT config_key, round(avg(word_recall) + 1e-10, 6) AS recall, round(avg(CAST({JOINT} AS DOUBLE)) + 1e-10, 6) AS judged FROM {{runs}} GROUP BY config_key",
+    "io23_summary_lines": "SELECT mode, concat(mode, ': ', CAST(count(*) AS STRING), ' runs, ', CAST(CAST(sum(CASE WHEN evidence_hit THEN 1 ELSE 0 END) AS BIGINT) AS STRING), ' with evidence, ', CAST(CAST(sum(CASE WHEN wrong_year > 0 THEN 1 ELSE 0 END) AS BIGINT) AS STRING), ' of a wrong year') AS line FROM {runs} GROUP BY mode",
     "x23_figure_data": "SELECT config_key, category, round(avg(soft_mrr) + 1e-10, 6) AS mean, round(min(soft_mrr), 6) AS low, round(max(soft_mrr), 6) AS high FROM {runs} GROUP BY config_key, category",
 }
 

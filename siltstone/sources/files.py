@@ -121,3 +121,43 @@ def write_sheets(sheets: dict[str, DataFrame], path: str) -> dict[str, str]:
         out[name] = f"{path}/{name}"
         df.write.mode("overwrite").parquet(out[name])
     return out
+
+
+def create_levels(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An empty table with a folder for each level, unless there is one at ``path``; either way what it holds."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        spark.createDataFrame([], schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def batched(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` with batch: a number for every ``size`` successive rows of a partition (no batch spans two)."""
+    at = F.monotonically_increasing_id()
+    return rows.withColumn("__at", at).withColumn("batch", F.shiftright("__at", 33) * 2**32 + F.floor((F.col("__at") % F.lit(2**33)) / size)).drop("__at")
+
+
+def batch_call(rows: DataFrame, column: str, call, threads: int = 8) -> DataFrame:
+    """``rows`` with reply: ``call(text)`` for each row, several at a time, in order.  A row whose call fails has ""; a batch of which every call fails stops the job."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType())])
+
+    def run(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
+        def one(text):
+            try:
+                return call(text)
+            except Exception as e:  # a failed call is a value here, unless all fail
+                return e
+
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in batches:
+                found = list(pool.map(one, pdf[column]))
+                failed = [x for x in found if isinstance(x, Exception)]
+                if failed and len(failed) == len(found):
+                    raise RuntimeError("every call of a batch failed") from failed[0]
+                yield pdf.assign(reply=["" if isinstance(x, Exception) else x for x in found])
+
+    return rows.mapInPandas(run, schema)
