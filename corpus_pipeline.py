@@ -35,7 +35,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", good_quality), ("near_dedup", distinct), ("pii", without_personal_data), ("mixing", mixed), ("bpe", encoded)]
-#: SQL can't express the stages; tests compare them with brute-force versions.
+#: SQL can't express the stages; tests/llm/test_brute_force.py compares the whole run with plain Python.
 ORACLE_SQL = None
 
 
