@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from siltstone.operators import filings
 from siltstone.operators import retrieval as R
 from siltstone.operators import sweep
 from siltstone.plans import question_queries, sweep_sql
@@ -103,6 +104,27 @@ def ids(spark, sf_dir):
     return files.with_provenance(files.with_ids(rows, ["source", "doc_id"]), "0123456789abcdef", False).select("doc_id", "id", "code_commit", "code_dirty")
 
 
+def trimmed(spark, sf_dir):
+    """What a download leaves behind the end of a page goes."""
+    html = F.concat(F.coalesce("html", F.lit("")), F.when(F.col("page_id") % 2 == 0, "\n<!-- served -->\n</HTML> more").otherwise(""))
+    return sweep.read(spark, sf_dir, "pages").select("page_id", F.length(files.trimmed_html(html)).cast("long").alias("n"))
+
+
+def titled_postings(spark, sf_dir):
+    """Sparse index of titles and texts: terms and tokens of each document."""
+    rows = sweep.chunks(spark, sf_dir).where("level = 1").select("chunk_id", F.concat(filings.title("ticker", "section"), F.lit(" | text: "), F.lower("text")).alias("text"))
+    return R.postings(rows).groupBy("chunk_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"))
+
+
+def orchestrated(spark, sf_dir):
+    """One job for all levels: each level's dense and sparse rows, the enriched flag only for level 3."""
+    path = fresh(spark, "orchestrated")
+    rows = sweep.chunks(spark, sf_dir)
+    kinds = F.explode(F.array(F.lit("dense"), F.lit("sparse")))
+    files.write_levels(rows.select("chunk_id", "level", kinds.alias("kind"), (F.col("level") == 3).alias("enriched")), path)
+    return spark.read.parquet(path).groupBy("level", "kind", "enriched").agg(F.count("*").alias("n"))
+
+
 def called(spark, sf_dir):
     """Replies to conversation turns by a function that fails for short ones."""
 
@@ -150,6 +172,9 @@ def _report_sql() -> str:
 QUERIES = {
     "io01_encodings": encodings,
     "io02_whole_texts": whole_texts,
+    "io03_trimmed": trimmed,
+    "io13_titled_postings": titled_postings,
+    "io17_orchestrated": orchestrated,
     "io04_renamed": lambda s, d: files.renamed(sweep.read(s, d, "benchmark"), {"item_id": "finder_id", "text": "query", "references": "truth_ref"}),
     "io05_reference": csv_reference,
     "io06_tagged": tagged,
@@ -171,6 +196,9 @@ _LATIN = r"regexp_replace(coalesce(html, ''), '[^\x00-\x7F\x{A0}-\x{FF}]', '?',
 SQL = {
     "io01_encodings": f"SELECT page_id, md5({_LATIN}) AS md5 FROM pages",
     "io02_whole_texts": "SELECT coalesce(lang, 'none') AS lang, count(*) AS n_lines FROM documents GROUP BY 1",
+    "io03_trimmed": "SELECT page_id, CASE WHEN strpos(lower(h), '</html>') > 0 THEN strpos(lower(h), '</html>') + 6 ELSE length(h) END AS n FROM (SELECT page_id, coalesce(html, '') || CASE WHEN page_id % 2 = 0 THEN chr(10) || '<!-- served -->' || chr(10) || '</HTML> more' ELSE '' END AS h FROM pages)",
+    "io13_titled_postings": "WITH " + sweep_sql.CHUNKS + f", w AS (SELECT chunk_id, unnest({sweep_sql.tokens("'title: ' || concat_ws(', ', 'ticker: ' || nullif(ticker, ''), 'section: ' || nullif(section, '')) || ' | text: ' || text")}) AS term FROM docs1) SELECT chunk_id, count(DISTINCT term) AS n_terms, count(*) AS n_tokens FROM w GROUP BY chunk_id",
+    "io17_orchestrated": "WITH " + sweep_sql.CHUNKS + " SELECT level, kind, false AS enriched, count(*) AS n FROM chunks, (VALUES ('dense'), ('sparse')) v(kind) GROUP BY level, kind",
     "io04_renamed": "SELECT item_id AS finder_id, text AS query FROM benchmark",
     "io05_reference": f"""SELECT sym AS symbol, name || ' Inc.' AS shortname, '"A, B" ' || name || ' Kor' || lower(sym) || ' Holdings Company (The)' AS longname
         FROM (SELECT {question_queries._SYM} AS sym, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name FROM part)""",

@@ -1,4 +1,4 @@
-"""Queries of the streaming extension: the events table, arriving in files in the order of its ids."""
+"""Queries of the streaming extension: the events table, arriving in files of ranges of its ids, in any order of files (so that the watermark has to be wide)."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from siltstone.streaming import ingest
 
 
 def arrivals(spark, sf_dir):
-    """A stream of events from the files of a stage table."""
-    held = stage(spark, sf_dir, "event-files", lambda s, d: sweep.read(s, d, "events").select("event_id", "ts", "user_id", "event_type", "value").repartitionByRange(4, "event_id"))
+    """A stream of events from the files of a stage table; ts is an instant whose UTC wall clock is the event's, so that windows are whole days."""
+    held = stage(spark, sf_dir, "event-files", lambda s, d: sweep.read(s, d, "events").select("event_id", F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("ts"), "user_id", "event_type", "value").repartitionByRange(4, "event_id"))
     folder = held.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")).first()
     return ingest.arriving(spark, folder[0]) if folder else held
 
@@ -24,7 +24,7 @@ def fresh(spark, name):
 
 QUERIES = {
     "s01_stream_upserts": lambda s, d: ingest.upserted(arrivals(s, d), fresh(s, "upserts"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id"),
-    "s02_stream_windows": lambda s, d: ingest.windowed(arrivals(s, d), fresh(s, "windows"), "ts", ["event_type"]).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n"),
+    "s02_stream_windows": lambda s, d: ingest.windowed(arrivals(s, d), fresh(s, "windows"), "ts", ["event_type"], late="400 days").select(F.date_format(F.to_utc_timestamp("start", F.current_timezone()), "yyyy-MM-dd").alias("day"), "event_type", "n"),
 }
 SQL = {
     "s01_stream_upserts": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",

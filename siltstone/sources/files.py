@@ -19,6 +19,11 @@ def decoded(content: Column) -> Column:
     return F.coalesce(utf8, F.translate(F.decode(content, "ISO-8859-1"), C1, WINDOWS))
 
 
+def trimmed_html(html: Column) -> Column:
+    """A page without what follows its end."""
+    return F.regexp_replace(html, "(?is)</html>.*", "</html>")
+
+
 def html_files(spark: SparkSession, path: str) -> DataFrame:
     """path, html of every file below ``path``."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", decoded(F.col("content")).alias("html"))
