@@ -135,7 +135,7 @@ def query_detail(spark, sf_dir):
     r = sweep.runs(spark, sf_dir)
     long = r.select("finder_id", "alpha", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS])))
     a = lambda k: F.avg(F.when(F.col("alpha") == k, F.col("v")))
-    return long.groupBy("finder_id", "metric").agg(F.round(a(0) + 1e-10, 6).alias("a0"), F.round(a(1) + 1e-10, 6).alias("a1"), F.round(a(1) - a(0), 6).alias("delta"))
+    return long.groupBy("finder_id", "metric").agg(F.round(a(0) + 1e-10, 6).alias("a0"), F.round(a(1) + 1e-10, 6).alias("a1"), F.round(a(1) - a(0) + 1e-10, 6).alias("delta"))
 
 
 def pooled(spark, sf_dir):
@@ -277,7 +277,7 @@ SQL = {
  t AS (SELECT *, category = 'OVERALL' AS family, round(CASE WHEN gains + losses = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(gains, losses) + 1), lambda i: exp(coalesce(list_sum(list_transform(range(1, i + 1), lambda j: ln((gains + losses - j + 1) / j))), 0) - (gains + losses) * ln(2))))) END, 6) AS p FROM m),
  k AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, category) AS r, count(*) OVER (PARTITION BY family) AS n FROM t)
  SELECT category, questions, a0, a1, delta, gains, losses, p, round(least(1.0, max((n - r + 1) * p) OVER (PARTITION BY family ORDER BY r)), 6) AS holm, round(least(1.0, min(n * p / r) OVER (PARTITION BY family ORDER BY r DESC)), 6) AS bh FROM k""",
-    "x09_metric_detail": upto("runs") + f", cells AS ({_CELLS}) SELECT finder_id, metric, round(avg(v) FILTER (alpha = 0) + 1e-10, 6) AS a0, round(avg(v) FILTER (alpha = 1) + 1e-10, 6) AS a1, round(avg(v) FILTER (alpha = 1) - avg(v) FILTER (alpha = 0), 6) AS delta FROM cells GROUP BY finder_id, metric",
+    "x09_metric_detail": upto("runs") + f", cells AS ({_CELLS}) SELECT finder_id, metric, round(avg(v) FILTER (alpha = 0) + 1e-10, 6) AS a0, round(avg(v) FILTER (alpha = 1) + 1e-10, 6) AS a1, round(avg(v) FILTER (alpha = 1) - avg(v) FILTER (alpha = 0) + 1e-10, 6) AS delta FROM cells GROUP BY finder_id, metric",
     "x15_pooled": upto("runs") + f""", m AS (SELECT config_key, round(avg(word_recall), 9) AS m FROM runs GROUP BY config_key),
  a AS (SELECT 'leader' AS arm, config_key FROM (SELECT config_key FROM m ORDER BY m DESC, config_key LIMIT 1) UNION ALL SELECT 'top3', config_key FROM (SELECT config_key FROM m WHERE config_key <> '{judge.BASELINE}' ORDER BY m DESC, config_key LIMIT 3)),
  v AS (SELECT arm, finder_id, avg(word_recall) AS v FROM runs JOIN a USING (config_key) GROUP BY ALL), d AS (SELECT arm, round(v - b.word_recall, 6) AS d FROM v JOIN runs b ON b.finder_id = v.finder_id AND b.config_key = '{judge.BASELINE}')

@@ -101,7 +101,7 @@ PORTABLE = {
     "x05_up_down": """WITH p AS (SELECT finder_id, regexp_replace(config_key, '_A[01]$', '') AS c, max(CASE WHEN alpha = 1 THEN word_recall END) - max(CASE WHEN alpha = 0 THEN word_recall END) AS d FROM {runs} GROUP BY finder_id, regexp_replace(config_key, '_A[01]$', ''))
         SELECT c AS base_config, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS up, CAST(sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS BIGINT) AS down, CAST(sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) AS BIGINT) AS flat FROM p GROUP BY c""",
     "x08_destinations": "SELECT alpha, top_section, n FROM (SELECT alpha, top_section, count(*) AS n, row_number() OVER (PARTITION BY alpha ORDER BY count(*) DESC, top_section) AS k FROM {runs} GROUP BY alpha, top_section) t WHERE k <= 3",
-    "x09_query_detail": "SELECT finder_id, round(avg(CASE WHEN alpha = 0 THEN word_recall END) + 1e-10, 6) AS a0, round(avg(CASE WHEN alpha = 1 THEN word_recall END) + 1e-10, 6) AS a1, round(avg(CASE WHEN alpha = 1 THEN word_recall END) - avg(CASE WHEN alpha = 0 THEN word_recall END), 6) AS delta FROM {runs} GROUP BY finder_id",
+    "x09_query_detail": "SELECT finder_id, round(avg(CASE WHEN alpha = 0 THEN word_recall END) + 1e-10, 6) AS a0, round(avg(CASE WHEN alpha = 1 THEN word_recall END) + 1e-10, 6) AS a1, round(avg(CASE WHEN alpha = 1 THEN word_recall END) - avg(CASE WHEN alpha = 0 THEN word_recall END) + 1e-10, 6) AS delta FROM {runs} GROUP BY finder_id",
     "x10_joint_score": f"SELECT finder_id, config_key, CAST({JOINT} AS DOUBLE) AS joint FROM {{runs}}",
     "x11_complete_matrix": "SELECT count(DISTINCT finder_id) * count(DISTINCT config_key) = count(*) AS complete, count(*) AS n FROM {runs}",
     "x12_config_scores": f"SELECT config_key, round(avg(CAST({JOINT} AS DOUBLE)) + 1e-10, 6) AS score, round(avg(CASE WHEN relevance = 'A' THEN 1e0 ELSE 0e0 END) + 1e-10, 6) AS win, round(avg(CASE WHEN relevance = 'B' THEN 1e0 ELSE 0e0 END) + 1e-10, 6) AS loss FROM {{runs}} GROUP BY config_key",
