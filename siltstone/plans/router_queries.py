@@ -56,12 +56,12 @@ def evidence(spark, sf_dir):
 
 def messages(spark, sf_dir):
     """What the agent is asked about each question that isn't confident."""
-    two = T.decide(routing_queries.two(spark, sf_dir), F.lit(0.5), F.lit(0.75)).where("band <> 'confident'").join(sweep.questions(spark, sf_dir).select("finder_id", "route"), "finder_id")
+    two = T.decide(routing_queries.two(spark, sf_dir), F.lit(0.95), F.lit(0.99)).where("band <> 'confident'").join(sweep.questions(spark, sf_dir).select("finder_id", "route"), "finder_id")
     none = F.array().cast("array<string>")
     first = F.struct(F.col("c1").alias("class"), F.col("p1").alias("p"), F.array("route").alias("terms"))
     second = F.struct(F.col("c2").alias("class"), F.round(F.col("p12") - F.col("p1"), 4).alias("p"), none.alias("terms"))
     found = F.when(F.col("c2").isNotNull(), F.array(first, second)).otherwise(F.array(first))
-    return two.join(sweep.questions(spark, sf_dir).select("finder_id", "query"), "finder_id").select("finder_id", T.agent_message(F.col("query"), F.col("band"), F.lit(0.5), F.lit(0.75), found).alias("message"))
+    return two.join(sweep.questions(spark, sf_dir).select("finder_id", "query"), "finder_id").select("finder_id", T.agent_message(F.col("query"), F.col("band"), F.lit(0.95), F.lit(0.99), found).alias("message"))
 
 
 def routed(spark, sf_dir):
@@ -117,8 +117,8 @@ SQL = {
  t AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
  tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2),
  x AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM questions)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)) SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM x""",
-    "t13_messages": upto("tracks") + _TWO + """ SELECT finder_id, 'Question: ' || query || chr(10) || 'Band: ' || band || ' (alone from 0.50, in pairs from 0.75)' || chr(10) || '- "' || c1 || '" p=' || printf('%.2f', round_even(p1, 2)) || ' because of ' || route
- || CASE WHEN c2 IS NULL THEN '' ELSE chr(10) || '- "' || c2 || '" p=' || printf('%.2f', round_even(round(p12 - p1, 4), 2)) END AS message FROM (SELECT *, CASE WHEN p1 >= 0.5 THEN 'confident' WHEN p12 >= 0.75 THEN 'ambiguous' ELSE 'uncertain' END AS band FROM two) JOIN questions USING (finder_id) WHERE band <> 'confident'""",
+    "t13_messages": upto("tracks") + _TWO + """ SELECT finder_id, 'Question: ' || query || chr(10) || 'Band: ' || band || ' (alone from 0.95, in pairs from 0.99)' || chr(10) || '- "' || c1 || '" p=' || printf('%.2f', round_even(p1, 2)) || ' because of ' || route
+ || CASE WHEN c2 IS NULL THEN '' ELSE chr(10) || '- "' || c2 || '" p=' || printf('%.2f', round_even(round(p12 - p1, 4), 2)) END AS message FROM (SELECT *, CASE WHEN p1 >= 0.95 THEN 'confident' WHEN p12 >= 0.99 THEN 'ambiguous' ELSE 'uncertain' END AS band FROM two) JOIN questions USING (finder_id) WHERE band <> 'confident'""",
     "t15_routed": upto("tracks") + _TWO + """ SELECT finder_id, band, CASE WHEN band = 'confident' THEN 'classifier' WHEN finder_id % 4 < 2 THEN 'llm' ELSE 'fallback' END AS source,
  CASE WHEN band = 'confident' THEN c1 WHEN finder_id % 4 = 0 THEN coalesce(c2, c1) WHEN finder_id % 4 = 1 THEN '' WHEN band = 'ambiguous' THEN concat_ws(',', c1, c2) ELSE '' END AS categories,
  CASE WHEN band = 'confident' OR finder_id % 4 = 0 THEN 1.0::DOUBLE WHEN finder_id % 4 = 1 THEN 0.0::DOUBLE WHEN band = 'ambiguous' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS alpha FROM routed""",
