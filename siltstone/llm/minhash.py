@@ -165,9 +165,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFr
 def frequency_levels(texts: DataFrame, k: int) -> np.ndarray:
     """Logarithmic frequency of shingles by slot (their low bits), one byte each: the only thing that comes to the driver.
 
-    There are 64 slots for each text, within the two bounds.
+    There are 8 slots for each text, within the two bounds.
     """
-    bits = min(MOST_SLOT_BITS, max(SLOT_BITS, (64 * texts.count()).bit_length()))
+    bits = min(MOST_SLOT_BITS, max(SLOT_BITS, (8 * texts.count()).bit_length()))
 
     def count(batches):
         shingles, total = Shingles(k), np.zeros(1 << bits, dtype=np.int64)
