@@ -53,7 +53,7 @@ class RankQueue:
 class Codec:
     """Encoder of one rank file."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, most: int = CACHE):
         self.tokens = vocabulary(path)
         self.ranks = {token: rank for rank, token in enumerate(self.tokens) if token}
         self.single = [self.ranks[bytes([b])] for b in range(256)]
@@ -69,8 +69,8 @@ class Codec:
         self.byte_pairs = [self.ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]
         self.queue = RankQueue()
         self.find = pre_tokens(pattern)
-        self.first = TwoGenerations(self.encode_chunk, CACHE)
-        self.spaced = TwoGenerations(lambda chunk: self.encode_chunk(" " + chunk), CACHE)
+        self.first = TwoGenerations(self.encode_chunk, most)
+        self.spaced = TwoGenerations(lambda chunk: self.encode_chunk(" " + chunk), most)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token by merging."""
@@ -164,14 +164,14 @@ class Codec:
         return b"".join(out)
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """The codec of a file, built once in each Python worker."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+def codec(path: str, pattern: str, most: int = CACHE) -> Codec:
+    """The codec of a file with caches of ``most`` entries, built once in each Python worker."""
+    if (path, pattern, most) not in _codecs:
+        _codecs[path, pattern, most] = Codec(path, pattern, most)
+    return _codecs[path, pattern, most]
 
 
 def pieces(batches):
@@ -181,7 +181,7 @@ def pieces(batches):
             yield batch.slice(at, ROWS)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", most: int = CACHE) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) in place of ``text``; other columns stay, one named ``ids`` is replaced.
 
     Null texts are empty.  Whole texts of any length; ties between equal ranks go to the left, as in the library.
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     schema = T.StructType([*(f for f in docs.schema.fields if f.name in keep), T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        one = codec(path, pattern)
+        one = codec(path, pattern, most)
         for batch in pieces(batches):
             found = [one.encode(t) for t in batch.column(text).to_pylist()]
             offsets = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
@@ -230,9 +230,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def encoded_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and intact (the ids decode to the text again) of each row of ``docs``."""
+def encoded_documents(docs: DataFrame, path: str, pattern: str, most: int = 100_000) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and intact (the ids decode to the text again) of each row of ``docs``.
+
+    Workers that go on to other stages keep the caches, which are therefore small here (``most`` entries).
+    """
     rows = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")).withColumn("before", F.sha2("text", 256))
-    rows = encode(rows, path, pattern).withColumn("again", F.col("ids"))
+    rows = encode(rows, path, pattern, most=most).withColumn("again", F.col("ids"))
     rows = decode(rows, path, "again").withColumn("intact", F.sha2("decoded", 256) == F.col("before"))
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "intact")
