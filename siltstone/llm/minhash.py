@@ -32,8 +32,10 @@ BINS, ROWS = 128, 4
 LARGE, SMALL = 192, 256
 #: Bits of a shingle that choose its slot in the table of frequencies, for few and for many texts (1 to 4 megabytes).
 SLOT_BITS, MOST_SLOT_BITS = 20, 22
-#: Links of a hub that one task confirms: a hub with more is copied.
-HUB_LINKS = 4096
+#: Links of a hub that are confirmed together: a hub with more is copied.
+HUB_LINKS = 256
+#: Texts of a batch that are Python strings at a time.
+SLICE = 500
 #: Words whose hashes a worker keeps.
 WORDS = 500_000
 
@@ -127,11 +129,12 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
         shingles = Shingles(k)
         for batch in batches:
             n, digest, keys = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles.of(text)
-                n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                keys.append(bands(s))
+            for at in range(0, batch.num_rows, SLICE):
+                for text in batch.slice(at, SLICE).column("text").to_pylist():
+                    s = shingles.of(text)
+                    n.append(len(s))
+                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    keys.append(bands(s))
             offsets = pa.array(np.cumsum([0, *map(len, keys)], dtype=np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "bands"])
@@ -140,26 +143,39 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    A hub's text is shipped once for every ``HUB_LINKS`` of its links and stands before the texts that it is compared
+    with, so no row holds two texts and a task keeps one hub's sets.
+    """
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_LINKS).cast("int").alias("salts"))
-    first = pairs.join(hubs, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")).join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    copies = texts.withColumnsRenamed({"id": "b", "text": "text_b"}).join(hubs, "b").select("b", "text_b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    both = first.join(copies, ["b", "salt"]).select("a", "b", "text_a", "text_b")
+    salted = pairs.join(hubs, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a")
+    linked = salted.join(texts.withColumnRenamed("id", "a"), "a").select("b", "salt", "a", "text")
+    copies = texts.withColumnRenamed("id", "b").join(hubs, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
+    rows = linked.unionByName(copies).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def run(batches):
-        shingles, last, its = Shingles(k), None, None
+        shingles, hub, theirs = Shingles(k), None, []
         for batch in batches:
-            keep = []
-            for one, other in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                if other != last:
-                    last, its = other, shingles.of(other)
-                own = shingles.of(one)
-                shared = len(np.intersect1d(own, its, assume_unique=True))
-                keep.append(bool(len(own)) and 100 * shared >= percent * (len(own) + len(its) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+            for at in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(at, SLICE)
+                keep = []
+                for a, b, text in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                    own = shingles.of(text)
+                    if a is None:
+                        theirs = [*(theirs if b == hub else []), own]
+                        hub = b
+                        keep.append(False)
+                        continue
+                    alike = False
+                    for its in theirs:
+                        shared = len(np.intersect1d(own, its, assume_unique=True))
+                        alike |= bool(len(own)) and 100 * shared >= percent * (len(own) + len(its) - shared)
+                    keep.append(alike)
+                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def frequency_levels(texts: DataFrame, k: int) -> np.ndarray:

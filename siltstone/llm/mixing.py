@@ -104,13 +104,15 @@ def realise(docs: DataFrame, seed: str = "0") -> DataFrame:
     same = W.partitionBy("doc_id", "text_hash").orderBy(F.col("__taken").desc())
     twin = W.partitionBy("doc_id", "text_hash").orderBy("doc_id")
     taken = taken.withColumn("__n", F.row_number().over(same))
-    rows = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("__n", F.row_number().over(twin))
+    # The row is carried whole, so its columns can have any names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"))
+    rows = rows.select("__row", F.col("__row.doc_id").alias("doc_id"), F.xxhash64("__row.text").alias("text_hash")).withColumn("__n", F.row_number().over(twin))
     out = null_safe(rows, taken, ["doc_id", "text_hash", "__n"])
     whole = F.expr("__taken div __size")
     rest = F.col("__taken") - whole * F.col("__size")
     pieces = F.concat(F.array_repeat(F.col("__size"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     out = out.withColumn("__words", F.explode(pieces))
-    out = out.withColumn("text", F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(first_words(F.col("text"), F.col("__words").cast("int"))))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*cols)
+    text = F.col("__row.text")
+    out = out.withColumn("__text", F.when(F.col("__words") == F.col("__size"), text).otherwise(first_words(text, F.col("__words").cast("int"))))
+    kept = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    return out.select(*[kept.get(c, F.col("__row").getField(c)).alias(c) for c in cols])

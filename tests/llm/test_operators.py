@@ -236,3 +236,27 @@ def test_pipeline(spark, docs, tmp_path):
             assert got.count() == before.count()
     out = corpus_pipeline.run(spark, where)
     assert out.count() > 0 and out.where("NOT intact").count() == 0
+
+
+def test_mix_keeps_columns_with_clashing_names(spark):
+    """Whatever the columns of a corpus are called, the mix gives them back."""
+    from siltstone.llm import mixing
+
+    rows = [(i, f"w{i} x y z", "ab"[i % 2], i, f"h{i}", i * 2, f"n{i}", "r") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, text_hash string, taken long, __n string, __row string")
+    out = mixing.realise(docs).collect()
+    assert out and set(out[0].asDict()) == set(docs.columns)
+    for r in out:
+        assert (r["size"], r["text_hash"], r["taken"], r["__n"], r["__row"]) == (r["doc_id"], f"h{r['doc_id']}", r["doc_id"] * 2, f"n{r['doc_id']}", "r")
+    assert {r["doc_id"] for r in out if r["text"].startswith(f"w{r['doc_id']}")} == {r["doc_id"] for r in out}
+
+
+def test_links_of_repeated_ids_and_large_hubs(spark):
+    """Copies of one text with small edits, more of them than one hub's share, and an id with two texts."""
+    from siltstone.llm import minhash
+
+    base = [f"t{k}" for k in range(60)]
+    rows = [(0, " ".join(base))] + [(i, " ".join([*base, f"e{i}"])) for i in range(1, minhash.HUB_LINKS * 2 + 9)]
+    rows += [(9000, "some quite different words that stand alone here"), (9000, " ".join([*base, "more", "words"]))]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0} and len(got) == minhash.HUB_LINKS * 2 + 9 + 2
