@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chat, embeddings, licenses, minhash, mixing, pii, quality, spotsigs, token_counts
+from siltstone.llm import bpe, chat, embeddings, langid, lexical, licenses, merkle, minhash, mixing, pii, quality, spotsigs, token_counts
 from siltstone.llm.common import read
 
 
@@ -68,6 +68,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents by language: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: doc_id, held_out, lang_pred, score."""
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item: item_id, rank, doc_id, score."""
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -105,5 +120,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_manifest": op11_manifest,
+    "op12_language": op12_language,
+    "op13_search": op13_search,
+}
+SQL: dict[str, str] = {
+    "op1_licenses": licenses.license_sql(),
+    "op2_embeddings": embeddings.near_vectors_sql(),
+    "op5_minhash": minhash.near_duplicates_sql(),
+    "op8_fingerprints": spotsigs.fingerprint_sql(),
+    "op10_mixing": OP10_SQL,
+    "op11_manifest": merkle.manifest_sql(),
+    "op13_search": lexical.search_sql(),
 }
-SQL: dict[str, str] = {"op1_licenses": licenses.license_sql(), "op2_embeddings": embeddings.near_vectors_sql(), "op5_minhash": minhash.near_duplicates_sql(), "op8_fingerprints": spotsigs.fingerprint_sql(), "op10_mixing": OP10_SQL}
