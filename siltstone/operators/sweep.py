@@ -61,12 +61,15 @@ def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = chunks(spark, sf_dir)
     q = questions(spark, sf_dir)
     texts = q.select("finder_id", "route", F.lit(0).alias("enhance"), F.col("query").alias("text")).unionByName(q.select("finder_id", "route", F.lit(1).alias("enhance"), F.col("enhanced").alias("text")))
-    distinct = texts.groupBy("text").agg(F.min(F.struct("finder_id", "enhance")).alias("f")).select(F.xxhash64("text").alias("query_id"), "text")
+    # Once for each distinct text (and, for its section's own list, route).
+    free = texts.select("text", F.lit(None).cast("string").alias("section")).distinct()
+    asked = free.unionByName(texts.select("text", F.col("route").alias("section")).where("section IS NOT NULL").distinct()).select(F.xxhash64("text", "section").alias("query_id"), "text", "section")
     out = []
     for level in (1, 2):
         own = corpus.where(F.col("level") == level)
-        sparse = R.bm25(distinct, R.postings(own, ("section",)), R.corpus_stats(own), keep=("section",))
-        out.append(sparse.select("query_id", F.lit(level).alias("level"), F.lit("sparse").alias("source"), "chunk_id", "section", "score"))
+        best = R.bm25_top(asked, R.postings(own, ("section",)), R.corpus_stats(own), 3 * TOP_K, ("section",), "section")
+        out.append(best.select("query_id", F.lit(level).alias("level"), F.lit("sparse").alias("source"), "chunk_id", "section", "score"))
+    sparse = out[0].unionByName(out[1])
     # A question's vector is the one with its id; a chunk has its document's.
     vectors = read(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     asked = q.join(vectors, q.finder_id == vectors.doc_id).select(F.col("finder_id").alias("query_id"), F.col("vector").alias("query_vector"))
@@ -78,15 +81,15 @@ def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = corpus.where("level = 1").join(near.where("lined").select("chunk_id").distinct(), "chunk_id").select(F.col("chunk_id").alias("parent_id"), F.explode(few).alias("x"))
     lines = lines.select("parent_id", F.concat("parent_id", F.format_string("/%06d", "x.pos")).alias("chunk_id"))
     deep = near.withColumnRenamed("chunk_id", "parent_id").join(lines, "parent_id")
-    lists = texts.withColumn("query_id", F.xxhash64("text")).drop("text")
-    sparse = lists.join(out[0].unionByName(out[1]), "query_id").drop("query_id")
+    lists = texts.select("finder_id", "enhance", "route", F.xxhash64("text", F.lit(None).cast("string")).alias("free"), F.xxhash64("text", "route").alias("routed"))
+    named = lambda column: sparse.withColumnRenamed("query_id", column).join(lists, column).drop("free", "routed")
     dense = near.select("query_id", "chunk_id", "section", "score").withColumn("level", F.lit(1)).unionByName(deep.select("query_id", "chunk_id", "section", "score").withColumn("level", F.lit(2)))
-    dense = dense.withColumn("source", F.lit("dense")).join(lists.drop("query_id"), dense.query_id == F.col("finder_id")).drop("query_id")
-    every = sparse.unionByName(dense)
+    dense = dense.withColumn("source", F.lit("dense")).join(lists.drop("free", "routed"), dense.query_id == F.col("finder_id")).drop("query_id")
+    everywhere, inside = named("free").unionByName(dense), named("routed").unionByName(dense).where("section = route")
     depth = configs(spark).groupBy("enhance", "level").agg(F.max("prefetch").alias("k"))
     keys = ("finder_id", "enhance", "level", "source")
-    b = R.top(every, 3 * TOP_K, keys).join(F.broadcast(depth), ["enhance", "level"]).where("rank < k").withColumn("track", F.lit("B"))
-    a = R.top(every.where("section = route"), 3 * TOP_K, keys).join(F.broadcast(depth), ["enhance", "level"]).where(F.col("rank") < F.greatest(F.expr("k div 2"), F.lit(TOP_K))).withColumn("track", F.lit("A"))
+    b = R.top(everywhere, 3 * TOP_K, keys).join(F.broadcast(depth), ["enhance", "level"]).where("rank < k").withColumn("track", F.lit("B"))
+    a = R.top(inside, 3 * TOP_K, keys).join(F.broadcast(depth), ["enhance", "level"]).where(F.col("rank") < F.greatest(F.expr("k div 2"), F.lit(TOP_K))).withColumn("track", F.lit("A"))
     return b.unionByName(a).select("finder_id", "enhance", "level", "track", "source", "chunk_id", "rank", "score")
 
 
@@ -166,7 +169,7 @@ def sparse_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = chunks(spark, sf_dir).where("level = 1")
     q = questions(spark, sf_dir)
     asked = q.select(F.col("finder_id").alias("query_id"), F.col("query").alias("text"))
-    found = R.top(R.bm25(asked, R.postings(corpus), R.corpus_stats(corpus)), TOP_K)
+    found = R.bm25_top(asked, R.postings(corpus), R.corpus_stats(corpus), TOP_K)
     rows = found.withColumnRenamed("query_id", "finder_id").join(q.select("finder_id", "truth"), "finder_id").join(corpus.select("chunk_id", "text"), "chunk_id")
     rows = rows.select("finder_id", "chunk_id", "rank", (F.greatest(X.word_recall("truth", "text"), X.num_recall("truth", "text")) >= 0.5).alias("good"))
     return rows.groupBy("finder_id").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
+from siltstone.operators import gestalt
 
 #: Prefix lengths, from the strictest; shared-number threshold and fewest numbers of a chunk.
 PREFIXES, CONTAINMENT, MIN_NUMBERS = (200, 100, 50), 0.85, 4
@@ -47,6 +48,13 @@ def truth_chunks(passages: DataFrame, corpus: DataFrame) -> DataFrame:
     return by_prefix(passages, corpus).unionByName(by_numbers(passages, corpus)).distinct()
 
 
+def truth_lookup(passages: DataFrame, corpus: DataFrame) -> DataFrame:
+    """finder_id, chunk_id, step: the chunks of ``truth_chunks`` (step "exact"), and for passages that have none the first chunk of like text (step "fuzzy")."""
+    exact = truth_chunks(passages, corpus)
+    left = passages.join(exact, "finder_id", "left_anti").select("finder_id", "truth")
+    return exact.withColumn("step", F.lit("exact")).unionByName(gestalt.first_alike(left, corpus).withColumn("step", F.lit("fuzzy")))
+
+
 def alignment(results: DataFrame, questions: DataFrame, places: DataFrame) -> DataFrame:
     """finder_id, config_key, n_truth (chunks), n_found, best_rank (from 1, else null), flag."""
     counts = questions.select("finder_id").join(places.groupBy("finder_id").agg(F.count("*").alias("n_truth")), "finder_id", "left").na.fill(0, ["n_truth"])

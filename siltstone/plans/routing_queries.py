@@ -48,6 +48,11 @@ def replies(spark, sf_dir):
     return sweep.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(forms, ((F.col("conv_id") + F.col("turn")) % 6).cast("int")).alias("reply"))
 
 
+def lookup(spark, sf_dir):
+    """Every passage among all lines, by openings, by numbers, and where both find nothing by like text."""
+    return truth.truth_lookup(sweep.questions(spark, sf_dir), sweep.chunks(spark, sf_dir).where("level = 2"))
+
+
 def places(spark, sf_dir):
     """Lines that whole documents hold, by their openings and by shared numbers: each document is a passage, each line a chunk."""
     corpus = sweep.chunks(spark, sf_dir)
@@ -77,6 +82,7 @@ QUERIES = {
     "m17_features": lambda s, d: sweep.runs(s, d).select("finder_id", "config_key", F.size(F.split(F.trim("query"), r"\s+")).alias("query_length"), (F.size(U.explicit_years(F.col("query"))) > 1).alias("year_is_multi")),
     "u01_keywords": lambda s, d: sweep.read(s, d, "documents").where(F.coalesce(F.col("text").rlike(r"(?i)(?:^|[^a-z0-9])(?:license|copyright|email)(?:[^a-z0-9]|$)"), F.lit(False))).select("doc_id"),
     "m12_truth_chunks": places,
+    "m12_truth_lookup": lookup,
     "m14_truth_alignment": aligned,
     "g05_contexts": prompts,
 }

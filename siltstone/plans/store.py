@@ -32,6 +32,15 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return spark.read.parquet(_built[key])
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of its own in the shared folder, reread: later jobs depend on neither executors nor what ``df`` was made of."""
+    key = (df.sparkSession.sparkContext.applicationId, "", f"{name}-{uuid.uuid4().hex}")
+    path = f"{shared(df.sparkSession)}/{key[2]}"
+    df.write.parquet(path)
+    _built[key] = path
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the stage tables of this session."""
     mine = spark.sparkContext.applicationId
