@@ -99,15 +99,21 @@ def realise(docs: DataFrame, seed: str = "0") -> DataFrame:
     cut falls on it.  Rows of which nothing is taken go, so empty texts go too.
     """
     cols = docs.columns
-    taken = mix(docs, seed).select("doc_id", "text_hash", F.col("size").alias("__size"), F.col("taken").alias("__taken")).where("__taken > 0")
-    # Equal rows may take unequally, so each is matched by its rank among its equals.
-    same = W.partitionBy("doc_id", "text_hash").orderBy(F.col("__taken").desc())
-    twin = W.partitionBy("doc_id", "text_hash").orderBy("doc_id")
-    taken = taken.withColumn("__n", F.row_number().over(same))
+    # A key that is never null, so that texts are moved once, by the join alone.
+    key = lambda c: F.coalesce(F.concat(F.lit(":"), F.col(c).cast("string")), F.lit(""))
+    keys = ["__key", "__hash"]
+    taken = mix(docs, seed).where("taken > 0").select(key("doc_id").alias("__key"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     # The row is carried whole, so its columns can have any names.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"))
-    rows = rows.select("__row", F.col("__row.doc_id").alias("doc_id"), F.xxhash64("__row.text").alias("text_hash")).withColumn("__n", F.row_number().over(twin))
-    out = null_safe(rows, taken, ["doc_id", "text_hash", "__n"])
+    rows = rows.select("__row", key("__row.doc_id").alias("__key"), F.xxhash64("__row.text").alias("__hash"))
+    repeated = table(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "repeated-rows")
+    if repeated.limit(1).count():
+        # Equal rows may take unequally, so each is matched by its rank among its equals.
+        ranked = lambda df, order: df.join(repeated, keys, "left_semi").withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(order)))
+        several = ranked(rows, F.lit(1)).join(ranked(taken, F.col("__taken").desc()), [*keys, "__n"]).drop("__n")
+        out = rows.join(repeated, keys, "left_anti").join(taken.join(repeated, keys, "left_anti"), keys).unionByName(several)
+    else:
+        out = rows.join(taken, keys)
     whole = F.expr("__taken div __size")
     rest = F.col("__taken") - whole * F.col("__size")
     pieces = F.concat(F.array_repeat(F.col("__size"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))

@@ -260,3 +260,14 @@ def test_links_of_repeated_ids_and_large_hubs(spark):
     rows += [(9000, "some quite different words that stand alone here"), (9000, " ".join([*base, "more", "words"]))]
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got.values()) == {0} and len(got) == minhash.HUB_LINKS * 2 + 9 + 2
+
+
+def test_mix_of_repeated_rows(spark):
+    """Rows that are equal in id and text are matched one by one: the words that the mix takes all come."""
+    from siltstone.llm import mixing
+
+    rows = [(i % 7 if i % 3 else None, f"a b c d {i % 2}", "ab"[i % 2]) for i in range(90)] + [(100 + i, "one two three four five six", "c") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r["source"]: r["n"] for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    got = {r["source"]: r["n"] for r in mixing.realise(docs).groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    assert got == want and sum(want.values()) > 0
