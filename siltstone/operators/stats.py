@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.plans import store
+
 
 def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, r for each pair of columns; null where one is constant.  One pass over the rows."""
@@ -100,15 +102,28 @@ def wilcoxon_p(diffs: DataFrame, keys: list[str], exact: int = 25) -> DataFrame:
 def bootstrap_best(runs: DataFrame, resamples: int, metric: str = "word_recall", seed: str = "0") -> DataFrame:
     """p_best and a percentile interval of each config's mean over resampled questions; draws come from a hash, so reruns agree.
 
-    Questions are numbered in one small window; draws are resamples times questions and spread over all tasks.
+    A question is one row with an array of its configs' values, and so is a draw: resamples times questions rows, not
+    times configs, each added to its resample's sums where it is made.  There are as many configs as the grid has.
     """
     spark = runs.sparkSession
-    q = runs.select("finder_id").distinct().withColumn("k", F.row_number().over(W.orderBy("finder_id")) - 1).withColumn("n", F.count("*").over(W.partitionBy()))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "k")), 1, 8), 16, 10).cast("long")
-    draw = spark.range(resamples).withColumnRenamed("id", "b").join(F.broadcast(q.select("k", "n"))).select("b", (hashed % F.col("n")).alias("k"))
-    means = draw.join(F.broadcast(q.select("k", "finder_id")), "k").join(runs.select("finder_id", "config_key", metric), "finder_id").groupBy("b", "config_key").agg(F.round(F.avg(metric), 9).alias("m"))
-    placed = means.withColumn("place", F.row_number().over(W.partitionBy("b").orderBy(F.desc("m"), "config_key")))
-    return placed.groupBy("config_key").agg(F.round(F.avg(F.when(F.col("place") == 1, 1.0).otherwise(0.0)), 6).alias("p_best"), F.round(F.percentile("m", 0.025) + 1e-10, 6).alias("low"), F.round(F.percentile("m", 0.975) + 1e-10, 6).alias("high"))
+    configs = [r["config_key"] for r in runs.select("config_key").distinct().orderBy("config_key").collect()]
+    by = F.map_from_entries(F.collect_list(F.struct("config_key", F.col(metric).cast("double").alias("v"))))
+    rows = store.numbered(runs.groupBy("finder_id").agg(by.alias("by")), "finder_id")
+    rows = store.written(rows.select("__k", F.array(*[F.try_element_at("by", F.lit(c)) for c in configs]).alias("values")), "questions-by-config")
+    n = rows.count()
+    # Draw k of resample b is question hash(b, k) mod n.
+    b, k = F.expr(f"id div {max(n, 1)}"), F.col("id") % max(n, 1)
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), b, k)), 1, 8), 16, 10).cast("long")
+    draws = spark.range(resamples * n).select(b.alias("b"), (hashed % n).alias("__k"))
+    sums = [F.round(F.avg(F.get("values", F.lit(i))), 9).alias(f"m{i}") for i in range(len(configs))]
+    means = draws.join(rows, "__k").groupBy("b").agg(*sums)
+    long = F.array(*[F.struct(F.lit(c).alias("config_key"), F.col(f"m{i}").alias("m")) for i, c in enumerate(configs)])
+    # The best of a resample: the largest mean, the first name among equals.
+    best = F.array_max(F.transform(F.filter(long, lambda s: s["m"].isNotNull()), lambda s: s["m"]))
+    first = F.try_element_at(F.filter(long, lambda s: s["m"] == F.col("best")), F.lit(1))["config_key"]
+    placed = means.withColumn("best", best).withColumn("first", first).select("first", F.inline(long)) if configs else runs.select(F.col("config_key").alias("first"), "config_key", F.col(metric).cast("double").alias("m"))
+    placed = placed.where("m IS NOT NULL")
+    return placed.groupBy("config_key").agg(F.round(F.avg((F.col("first") == F.col("config_key")).cast("double")), 6).alias("p_best"), F.round(F.percentile("m", 0.025) + 1e-10, 6).alias("low"), F.round(F.percentile("m", 0.975) + 1e-10, 6).alias("high"))
 
 
 def against_top(runs: DataFrame, metric: str = "word_recall") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
-from siltstone.operators import judge, stats, sweep, truth
+from siltstone.operators import dense, judge, stats, sweep, truth
 from siltstone.operators import retrieval as R
 from siltstone.operators import understanding as U
 from siltstone.plans import routing_queries, table_queries
@@ -151,12 +151,32 @@ def retrieval_report(spark, sf_dir):
         sep = stats.separation(r, m)
         lead = sep.agg(F.min_by("config_key", "place").alias("leader"), F.count_if("leading").alias("n_leading"))
         pool = stats.tested(stats.pooled(r, judge.BASELINE, metric=m).where("arm = 'top3'"), ["arm"]).select(F.col("mean_delta").alias("pooled_delta"), F.col("p").alias("pooled_p"))
-        best = stats.bootstrap_best(r, 500, m).agg(F.max("p_best").alias("p_best"))
+        best = stats.bootstrap_best(r, 5000, m).agg(F.max("p_best").alias("p_best"))
         one = lead.crossJoin(pool).crossJoin(best).withColumn("metric", F.lit(m))  # one row each
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def leaders(spark, sf_dir):
+    """What is exact in the retrieval report: per metric the leader, its mean, and the share of 5,000 resamples that it wins."""
+    r, out = sweep.runs(spark, sf_dir), None
+    for m in METRICS:
+        means = r.groupBy("config_key").agg(F.round(F.avg(m), 9).alias("mean"))
+        first = means.orderBy(F.desc("mean"), "config_key").limit(1)
+        one = first.join(stats.bootstrap_best(r, 5000, m), "config_key").select(F.lit(m).alias("metric"), F.col("config_key").alias("leader"), F.round(F.col("mean") + 1e-10, 6).alias("mean"), "p_best")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def dense_indexed(spark, sf_dir):
+    """The 10 nearest of all vectors to each vector whose id 50 divides, on inverted lists."""
+    v = sweep.read(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
+    size = v.agg(F.max(F.size("embedding"))).first()[0] or 1
+    index = dense.inverted_lists(v.select(F.format_string("v%09d", "vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label"), size)
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return dense.search(asked, index, 10)[0]
+
+
 def tie_agreement(spark, sf_dir):
     """Crosstab of both verdicts of judged pairs, win, tie or loss, and the share of each with structural rows left out."""
     kind = lambda c: F.when(F.col(c) == "A", "win").when(F.col(c) == "B", "loss").otherwise("tie")
@@ -220,6 +240,8 @@ QUERIES = {
     "x18_tie_agreement": tie_agreement,
     "x20_all_contrasts": contrasts,
     "x21_retrieval_report": retrieval_report,
+    "x21_leaders": leaders,
+    "r02_indexed": dense_indexed,
 }
 
 _H = "('0x' || substr(md5({c}), {at}, 7))::BIGINT"
@@ -241,7 +263,22 @@ _CELLS = " UNION ALL ".join(f"SELECT finder_id, mode, level, enhance, alpha, '{m
 _ARMS = " UNION ALL ".join(
     f"SELECT '{name}' AS contrast, metric, finder_id, avg(v) FILTER ({axis} IN {(*t, t[0])!r}) AS t, avg(v) FILTER ({axis} IN {(*c, c[0])!r}) AS c FROM cells GROUP BY metric, finder_id" for name, axis, t, c in stats.CONTRASTS
 )
+_LEADERS = upto("runs") + """, v AS (SELECT finder_id, config_key, metric, value FROM (SELECT finder_id, config_key, word_recall::DOUBLE AS word_recall, soft_mrr::DOUBLE AS soft_mrr, soft_recall3::DOUBLE AS soft_recall3 FROM runs) UNPIVOT (value FOR metric IN (word_recall, soft_mrr, soft_recall3))),
+q AS (SELECT finder_id, row_number() OVER (ORDER BY finder_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT finder_id FROM runs)),
+d AS (SELECT b, ('0x' || substr(md5('0:' || b || ':' || k), 1, 8))::BIGINT % n AS k FROM q, range(5000) r(b)),
+c AS (SELECT b, k, count(*) AS times FROM d GROUP BY ALL),
+s AS (SELECT b, metric, config_key, round(sum(times * value) / sum(times), 9) AS m FROM c JOIN q USING (k) JOIN v USING (finder_id) GROUP BY ALL),
+w AS (SELECT metric, config_key, count(*) / 5000.0 AS p_best FROM (SELECT *, row_number() OVER (PARTITION BY b, metric ORDER BY m DESC, config_key) AS place FROM s) WHERE place = 1 GROUP BY ALL),
+l AS (SELECT metric, config_key, round(avg(value), 9) AS mean FROM v GROUP BY ALL),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY mean DESC, config_key) AS place FROM l) WHERE place = 1)
+SELECT t.metric, t.config_key AS leader, round(mean + 1e-10, 6) AS mean, round(coalesce(p_best, 0.0), 6)::DOUBLE AS p_best FROM t LEFT JOIN w USING (metric, config_key)"""
+_INDEXED = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM v WHERE list_inner_product(v, v) > 0),
+p AS (SELECT a.vec_id AS query_id, printf('v%09d', b.vec_id) AS chunk_id, round(list_inner_product(a.v, b.v) / (a.n * b.n), 5) AS score FROM u a JOIN u b ON a.vec_id % 50 = 0 AND len(a.v) = len(b.v))
+SELECT query_id, chunk_id, rank::INT AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM p) WHERE rank < 10"""
 SQL = {
+    "x21_leaders": _LEADERS,
+    "r02_indexed": _INDEXED,
     "m09_calibration": upto("runs") + f""", own AS (SELECT chunk_id, text, md5(chunk_id) AS h, {_H.format(c='chunk_id', at=1)} % 16 AS bucket FROM docs1),
  placed AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h) - 1 AS place, count(*) OVER (PARTITION BY bucket) AS size FROM own),
  d AS (SELECT finder_id, '0:' || finder_id || ':' || chunk_id AS draw FROM relevance), dr AS (SELECT d.*, {_H.format(c='draw', at=1)} % 16 AS bucket FROM d),

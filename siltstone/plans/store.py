@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 _built: dict[tuple[str, str, str], str] = {}
 
@@ -41,6 +43,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: str, name: str = "__k") -> DataFrame:
+    """``df`` with its place (from 0) in ``order``, as a table: sorted by range, then a row's number in its partition and the sizes of the partitions before.
+
+    Only as many counts as there are partitions meet in one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, before = F.shiftright("__at", 33), W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = done.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return done.withColumn("__part", part).join(sizes, "__part").withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__before")
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the stage tables of this session."""
     mine = spark.sparkContext.applicationId
