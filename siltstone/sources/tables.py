@@ -12,7 +12,7 @@ from siltstone.operators.retrieval import year_weights
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key: what a keyed overwrite leaves."""
     w = W.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return rows.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    return rows.withColumn("__latest", F.row_number().over(w)).where("__latest = 1").drop("__latest")
 
 
 def additive(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,8 +22,8 @@ def additive(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def move(source: DataFrame, confirmed: DataFrame, key: str) -> DataFrame:
     """One row: source rows that the destination confirms (these leave the source) and rows that stay."""
-    marked = source.join(confirmed.select(key).distinct().withColumn("there", F.lit(True)), key, "left")
-    return marked.agg(F.count_if(F.col("there").isNotNull()).alias("moved"), F.count_if(F.col("there").isNull()).alias("kept"))
+    marked = source.join(confirmed.select(key).distinct().withColumn("__there", F.lit(True)), key, "left")
+    return marked.agg(F.count_if(F.col("__there").isNotNull()).alias("moved"), F.count_if(F.col("__there").isNull()).alias("kept"))
 
 
 def orphans(chunks: DataFrame) -> DataFrame:
