@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.plans import store
+
 LEVELS = ("section", "subsection", "item", "subitem")
 #: Header lines, the running header, the mark of a header without text, tables, run headers.
 HEADER, RUNNING = r"^(#{1,4})\s+(.*)$", r"(?i)^\*{0,2}\s*table of contents\s*\*{0,2}$"
@@ -191,10 +193,12 @@ def hierarchy(docs: DataFrame, budget: int = 200, overlap: int = 40, count=words
     zero = docs.select(chunk_id("doc_id", F.lit("0")).alias("id"), F.lit(0).alias("level"), "doc_id", F.lit(None).cast("string").alias("parent_id"), *empty, F.col("md").alias("text"))
     cut = sections(join_headers(docs.select("doc_id", strip_running(F.col("md")).alias("md")), "doc_id", "md"), "doc_id")
     one = cut.select(chunk_id("doc_id", F.lit("1"), "ord").alias("id"), F.lit(1).alias("level"), "doc_id", chunk_id("doc_id", F.lit("0")).alias("parent_id"), *LEVELS, F.lit(None).cast("string").alias("run_header"), "text")
+    one = store.written(one, "sections")  # every level below reads it
     kids = packed(one.select(F.col("id").alias("parent_id"), "text"), ["parent_id"], budget, overlap, count)
     two = kids.join(one.select(F.col("id").alias("parent_id"), "doc_id", *LEVELS), "parent_id", "left")
     sure = F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("a child without document"))).otherwise(F.col("doc_id"))
     two = two.select(chunk_id("parent_id", F.lit("2"), "child").alias("id"), F.lit(2).alias("level"), sure.alias("doc_id"), "parent_id", *LEVELS, "run_header", "text")
+    two = store.written(two, "children")
     out = zero.unionByName(one).unionByName(two).withColumn("description", F.lit(None).cast("string"))
     if model is not None:
         three = two.withColumn("level", F.lit(3)).withColumn("id", chunk_id("id", F.lit("3"))).withColumn("description", description(F.col("text"), model, count))

@@ -85,17 +85,19 @@ def sources_of(context: Column) -> Column:
 THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7)
 
 
-def random_chunks(draws: DataFrame, corpus: DataFrame, buckets: int = 16, seed: str = "0") -> DataFrame:
+def random_chunks(draws: DataFrame, corpus: DataFrame, least: int = 16, fill: int = 4096, seed: str = "0") -> DataFrame:
     """``draws`` (with draw, a text that names each) joined to the chunk_id that its hash picks: a bucket of the chunks' hashes, and a place in it.
 
-    The same draws give the same chunks in every run; a draw into an empty bucket gives none.
+    The same draws give the same chunks in every run; a draw into an empty bucket gives none.  There are ``least`` buckets,
+    or as many more as it takes for about ``fill`` chunks in each, so that none grows with the corpus.
     """
+    buckets = max(least, -(-corpus.count() // fill))
     hashed = lambda c, at: F.conv(F.substring(F.md5(c), at, 7), 16, 10).cast("long")
     own = corpus.select("chunk_id", F.md5("chunk_id").alias("h")).withColumn("bucket", F.conv(F.substring("h", 1, 7), 16, 10).cast("long") % buckets)
     placed = own.withColumn("place", F.row_number().over(W.partitionBy("bucket").orderBy("h")) - 1).withColumn("size", F.count("*").over(W.partitionBy("bucket")))
     sizes = placed.groupBy("bucket").agg(F.first("size").alias("size"))
     key = F.concat(F.lit(seed + ":"), "draw")
-    asked = draws.withColumn("bucket", hashed(key, 1) % buckets).join(F.broadcast(sizes), "bucket").withColumn("place", hashed(key, 8) % F.col("size"))  # as many sizes as buckets
+    asked = draws.withColumn("bucket", hashed(key, 1) % buckets).join(sizes, "bucket").withColumn("place", hashed(key, 8) % F.col("size"))
     return asked.join(placed.select("bucket", "place", "chunk_id"), ["bucket", "place"]).drop("bucket", "place", "size")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.plans import store
+
 ANCHOR = 2024
 #: Relative phrases and the years that they mean (offsets from the anchor year).
 RELATIVE = {
@@ -109,11 +111,11 @@ def ticker_hint(text: Column) -> Column:
     return F.lower(F.when(inside != "", inside).when((last != "") & ~last.isin(*NOT_TICKERS), last))
 
 
-def tickers(asked: DataFrame, companies: DataFrame, longest: int = 12) -> DataFrame:
+def tickers(asked: DataFrame, companies: DataFrame) -> DataFrame:
     """key, ticker (lower case, or null) of each row of ``asked`` (key, query).
 
     First a known symbol in parentheses, then the first known symbol in capitals, then the longest alias that stands in
-    the normal form of the question (aliases of up to ``longest`` words; the first among equals), then the hint.  Symbols and
+    the normal form of the question (the first among equals), then the hint.  Symbols and
     aliases are joined by their text, so neither table has to fit anywhere.
     """
     known = companies.select(F.upper("symbol").alias("token")).distinct()
@@ -121,8 +123,10 @@ def tickers(asked: DataFrame, companies: DataFrame, longest: int = 12) -> DataFr
     tokens = asked.select("key", F.posexplode(F.concat(F.array(F.regexp_extract("query", IN_PARENTHESES, 1)), capitals)).alias("pos", "token"))
     named = tokens.join(known, "token", "left_semi").groupBy("key").agg(F.min_by("token", "pos").alias("named"))
     words = asked.select("key", F.split(company_name(F.col("query")), " ").alias("w"))
+    named_as = store.written(aliases(companies), "aliases")
+    longest = named_as.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1  # words of the longest alias that there is
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i + 1)), lambda n: F.array_join(F.slice("w", i, n), " "))))
-    found = words.select("key", F.explode(F.array_distinct(runs)).alias("alias")).join(aliases(companies), "alias")
+    found = words.select("key", F.explode(F.array_distinct(runs)).alias("alias")).join(named_as, "alias")
     found = found.groupBy("key").agg(F.min_by("symbol", F.struct(-F.length("alias"), "place")).alias("by_name"))
     rows = asked.join(named, "key", "left").join(found, "key", "left")
     return rows.select("key", F.lower(F.coalesce("named", "by_name", ticker_hint(F.col("query")))).alias("ticker"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import levels as L
 from siltstone.operators import sweep
+from siltstone.plans.store import stage
 
 BUDGET = 30
 
@@ -30,7 +31,7 @@ def model(text):
 
 
 def levels(spark, sf_dir):
-    return L.hierarchy(filings(spark, sf_dir), BUDGET, 10, model=model)
+    return stage(spark, sf_dir, "hierarchy", lambda s, d: L.hierarchy(filings(s, d), BUDGET, 10, model=model))
 
 
 def sections(spark, sf_dir):

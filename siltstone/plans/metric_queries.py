@@ -279,9 +279,9 @@ SELECT query_id, chunk_id, rank::INT AS rank, score FROM (SELECT *, row_number()
 SQL = {
     "x21_leaders": _LEADERS,
     "r02_indexed": _INDEXED,
-    "m09_calibration": upto("runs") + f""", own AS (SELECT chunk_id, text, md5(chunk_id) AS h, {_H.format(c='chunk_id', at=1)} % 16 AS bucket FROM docs1),
+    "m09_calibration": upto("runs") + f""", own AS (SELECT chunk_id, text, md5(chunk_id) AS h, {_H.format(c='chunk_id', at=1)} % (SELECT greatest(16, (count(*) + 4095) // 4096) FROM docs1) AS bucket FROM docs1),
  placed AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h) - 1 AS place, count(*) OVER (PARTITION BY bucket) AS size FROM own),
- d AS (SELECT finder_id, '0:' || finder_id || ':' || chunk_id AS draw FROM relevance), dr AS (SELECT d.*, {_H.format(c='draw', at=1)} % 16 AS bucket FROM d),
+ d AS (SELECT finder_id, '0:' || finder_id || ':' || chunk_id AS draw FROM relevance), dr AS (SELECT d.*, {_H.format(c='draw', at=1)} % (SELECT greatest(16, (count(*) + 4095) // 4096) FROM docs1) AS bucket FROM d),
  z AS (SELECT dr.*, {_H.format(c='draw', at=8)} % size AS place FROM dr JOIN (SELECT DISTINCT bucket, size FROM placed) USING (bucket)),
  e AS (SELECT {words('truth')} AS ew, {words('text')} AS cw, {salient('truth')} AS en, {salient('text')} AS cn FROM z JOIN placed USING (bucket, place) JOIN questions USING (finder_id)),
  pools AS (SELECT 'retrieved' AS pool, greatest(word, num) AS score FROM relevance UNION ALL SELECT 'random', greatest({share('ew', 'cw')}, CASE WHEN len(en) < 4 THEN 0.0 ELSE {share('en', 'cn')} END) FROM e)

@@ -53,7 +53,7 @@ PORTABLE = {
     "a11_sections": """WITH c AS (SELECT top_section, count(*) AS n FROM {runs} GROUP BY top_section),
         r AS (SELECT top_section, row_number() OVER (ORDER BY n DESC, top_section) AS k FROM c)
         SELECT CASE WHEN k <= 8 THEN r.top_section ELSE 'OTHER' END AS section, count(*) AS n, CAST(round(100e0 * count(*) / max(total), 1) AS DOUBLE) AS pct, round(avg(soft_recall3) + 1e-10, 3) AS recall3
-        FROM (SELECT *, count(*) OVER () AS total FROM {runs}) x JOIN r ON x.top_section = r.top_section GROUP BY CASE WHEN k <= 8 THEN r.top_section ELSE 'OTHER' END
+        FROM {runs} x CROSS JOIN (SELECT count(*) AS total FROM {runs}) t JOIN r ON x.top_section = r.top_section GROUP BY CASE WHEN k <= 8 THEN r.top_section ELSE 'OTHER' END
         UNION ALL SELECT 'OVERALL', count(*), 100e0, round(avg(soft_recall3) + 1e-10, 3) FROM {runs}""",
     "a12_section_shift": """WITH c AS (SELECT category, alpha, top_section, count(*) AS n FROM {runs} GROUP BY category, alpha, top_section),
         m AS (SELECT category, alpha, top_section, row_number() OVER (PARTITION BY category, alpha ORDER BY n DESC, top_section) AS k FROM c),
