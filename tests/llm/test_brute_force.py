@@ -231,20 +231,35 @@ def test_parts_combine_to_the_whole_path():
 def test_license_blocks(spark):
     filler = " ".join(f"filler{k}" for k in range(90))
     gpl = "it under the terms\nof the GNU General Public\nLicense as published by\n   the Free Software Foundation"
-    texts = [
-        filler + "\n" + gpl + "\n" + filler, "licensed under the GNU Lesser\nGeneral Public License", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY 4.0", "All rights\nreserved.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License", filler, "license software public", None,
+    cases = [
+        (filler + "\n" + gpl + "\n" + filler, "gpl"), ("licensed under the GNU Lesser\nGeneral Public License", "lgpl"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("Licensed under CC BY 4.0", "cc-by"),
+        ("All rights\nreserved.", "reserved"), ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"), (filler, ""), ("license software public", ""), (None, ""),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "lgpl"), ("it is licensed under the GNU Affero General Public License", "agpl"),
+        ("the general public may use software from the foundation; gnu animals, a license to hunt was published under terms", ""),
+        ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"), (filler + " " + gpl + " and licensed under the GNU Lesser General Public License", "gpl,lgpl"),
     ]
+    texts = [t for t, _ in cases]
     got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i]["labels"] for i in range(9)] == ["gpl", "gpl,lgpl" if "gpl" in got[1]["labels"].split(",") else "lgpl", "gpl", "cc-by", "reserved", "cc-by", "", "", ""]
-    sets = [(label, set(tokens), need, set(must)) for _, label, tokens, need, must in licenses.template_sets(licenses.TEMPLATES, 0.8)]
+    assert [got[i]["labels"] for i in range(len(cases))] == [labels for _, labels in cases]
+    sets = [(label, set(tokens), need, must) for _, label, tokens, need, must in licenses.template_sets(licenses.TEMPLATES, 0.8)]
+    span = licenses.span_of(licenses.TEMPLATES)
     for i, t in enumerate(texts):
         words = licenses.words_of(t or "")
-        blocks = [set(words[k : k + licenses.SPAN]) for k in range(0, max(1, len(words)), licenses.SPAN // 2)]
-        want = {label for label, tokens, need, must in sets for b in blocks if len(b & tokens) >= need and must <= b} | set(filter(None, got[i]["base_labels"].split(",")))
+        blocks = [set(words[k : k + span]) for k in range(0, max(1, len(words)), span // 2)]
+        want = {label for label, tokens, need, must in sets for b in blocks if len(b & tokens) >= need and f" {must} " in f" {' '.join(words)} "} | set(filter(None, got[i]["base_labels"].split(",")))
         assert set(filter(None, got[i]["labels"].split(","))) == want
 
 
+def test_long_license_templates_are_found_anywhere(spark):
+    """The window follows the longest template, wherever the notice begins."""
+    words = [f"clause{k}" for k in range(40)]
+    templates = [("own", " ".join(words), "clause3 clause4"), ("short", "some short notice of terms", "short notice")]
+    texts = [" ".join([*[f"x{k}" for k in range(at)], *words, *[f"y{k}" for k in range(70)]]) for at in range(0, 90, 7)] + ["a some short notice of terms", " ".join(words[:20])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(docs, templates=templates, containment=1.0).collect()}
+    assert [got[i] for i in range(len(texts))] == ["own"] * (len(texts) - 2) + ["short", ""]
+
+
 def test_vectors_of_every_size(spark):
     v = [0.1 * k + 0.05 for k in range(16)]
     rows = [(i, 0, [x * f for x in v]) for i, f in enumerate((1.0, 1e-200, 1.0001, 3e-200, 1e200, 1e-306))] + [(1, 0, v), (9, 0, [-x for x in v]), (None, 0, v)]
