@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import call_queries, filing_queries, level_queries, markup_queries, metric_queries, question_queries, router_queries, routing_queries, source_queries, stream_queries, sweep_queries, table_queries, text_queries
+from siltstone.plans import call_queries, filing_queries, grid_queries, level_queries, markup_queries, metric_queries, question_queries, router_queries, routing_queries, source_queries, stream_queries, sweep_queries, table_queries, text_queries
 
-MODULES = (sweep_queries, call_queries, markup_queries, table_queries, text_queries, routing_queries, filing_queries, question_queries, level_queries, source_queries, metric_queries, router_queries, stream_queries)
+MODULES = (sweep_queries, grid_queries, call_queries, markup_queries, table_queries, text_queries, routing_queries, filing_queries, question_queries, level_queries, source_queries, metric_queries, router_queries, stream_queries)
 
 
 def entry(spark, sf_dir):
