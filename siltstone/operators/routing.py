@@ -64,15 +64,33 @@ def lowest_threshold(rows: DataFrame, score: str, ok: str, target: float, suppor
     return good.agg(F.coalesce(F.min("s"), F.lit(float("inf"))).alias("tau"))
 
 
-def tune(two: DataFrame, truth: str, target_hard: float, target_pair: float, support: int) -> DataFrame:
-    """Rows of ``two`` with both thresholds (tau_hard over all, tau_pair over what tau_hard leaves) and whether each class set covers the truth."""
-    rows = two.withColumn("cover1", F.col(truth) == F.col("c1")).withColumn("cover2", F.coalesce((F.col(truth) == F.col("c1")) | (F.col(truth) == F.col("c2")), F.lit(False)))
+def tune(two: DataFrame, truth: str, target_hard: float, target_pair: float, support: int, items=None) -> DataFrame:
+    """Rows of ``two`` with both thresholds (tau_hard over all, tau_pair over what tau_hard leaves) and whether each class set covers the truth.
+
+    ``items``: a function from a class to the array of its items; then a class set covers the truth if it has all items of
+    the true class (which another class may have too), else if it has the true class.  A class without items covers nothing and isn't covered.
+    """
+    if items is None:
+        one, pair = F.col(truth) == F.col("c1"), (F.col(truth) == F.col("c1")) | (F.col(truth) == F.col("c2"))
+    else:
+        of = lambda c: F.coalesce(items(F.col(c)), F.array().cast("array<string>"))
+        covered = lambda own: (F.size(of(truth)) > 0) & (F.size(F.array_except(of(truth), own)) == 0)
+        one, pair = covered(of("c1")), covered(F.array_union(of("c1"), of("c2")))
+    rows = two.withColumn("cover1", one).withColumn("cover2", F.coalesce(pair, F.lit(False)))
     hard = lowest_threshold(rows, "p1", "cover1", target_hard, support).withColumnRenamed("tau", "tau_hard")
     rows = rows.crossJoin(F.broadcast(hard))  # one row
     pair = lowest_threshold(rows.where("p1 < tau_hard"), "p12", "cover2", target_pair, support).withColumnRenamed("tau", "tau_pair")
     return rows.crossJoin(F.broadcast(pair))
 
 
+def band_report(rows: DataFrame) -> DataFrame:
+    """One row over ``rows`` (tuned, with band): share of each band, how often the confident and the ambiguous cover the truth, and what the uncertain would have covered with one class and with two (null for an empty band)."""
+    share = lambda b: F.round(F.avg((F.col("band") == b).cast("int")), 6).alias(f"share_{b}")
+    cover = lambda b, c, name: F.round(F.avg(F.when(F.col("band") == b, F.col(c).cast("int"))), 6).alias(name)
+    bands = [share(b) for b in ("confident", "ambiguous", "uncertain")]
+    return rows.agg(*bands, cover("confident", "cover1", "cover_confident"), cover("ambiguous", "cover2", "cover_ambiguous"), cover("uncertain", "cover1", "uncertain_top1_cover"), cover("uncertain", "cover2", "uncertain_top2_cover"))
+
+
 def chosen_categories(reply: Column, candidates: Column) -> Column:
     """Categories that a reply chooses, in candidate order; null where it is unusable or leaves the candidates.
 

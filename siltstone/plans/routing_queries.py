@@ -34,6 +34,24 @@ def thresholds(spark, sf_dir):
     return rows.agg(text("tau_hard").alias("tau_hard"), text("tau_pair").alias("tau_pair"), share("confident"), share("ambiguous"), share("uncertain"))
 
 
+#: Category that stands for each section, so that one category's items hold another's.
+STANDS_FOR = {"en": "financials", "fr": "footnotes", "de": "risk", "es": "legal"}
+
+
+def section_items(section):
+    out = F.lit(None).cast("array<string>")
+    for name, category in STANDS_FOR.items():
+        out = F.when(section == name, T.canonical_items(T.items_of(F.lit(category)))).otherwise(out)
+    return out
+
+
+def item_report(spark, sf_dir):
+    """T8 with coverage of items: shares of the bands and what each covers."""
+    truth = sweep.questions(spark, sf_dir).select("finder_id", "route")
+    rows = T.tune(two(spark, sf_dir).join(truth, "finder_id"), "route", HARD, PAIR, SUPPORT, items=section_items)
+    return T.band_report(T.decide(rows, F.col("tau_hard"), F.col("tau_pair")))
+
+
 def subsections(spark, sf_dir):
     names = F.array(*[F.lit(c) for c in [*T.CATEGORY_ITEMS, "other"]])
     item = F.concat(F.lit("Part II - Item "), F.col("p_size") % 16, F.when(F.col("p_size") % 3 == 0, "A").when(F.col("p_size") % 3 == 1, " A").otherwise(""), F.lit(". "), "p_name")
@@ -74,6 +92,7 @@ def prompts(spark, sf_dir):
 QUERIES = {
     "t03_category_items": lambda s, d: subsections(s, d).select("p_partkey", F.array_join(U.item_numbers(F.col("subsection")), ",").alias("items"), T.in_category(F.col("subsection"), F.col("category")).alias("hit")),
     "t08_thresholds": thresholds,
+    "t08_items": item_report,
     "t10_fingerprints": lambda s, d: sweep.read(s, d, "documents").groupBy("source").agg(T.fingerprint(F.col("doc_id")).alias("fingerprint")),
     "t11_routes": decided,
     "t14_replies": lambda s, d: replies(s, d).select("conv_id", "turn", F.coalesce(F.array_join(T.chosen_categories(F.col("reply"), F.array(F.lit("c0"), F.lit("c1"), F.lit("c2"))), ","), F.lit("unusable")).alias("chosen")),
@@ -107,7 +126,12 @@ places AS (SELECT finder_id, max_by(chunk_id, k) AS chunk_id FROM pre GROUP BY f
 
 
 _CATEGORY = " ".join(f"WHEN {n} THEN " + " OR ".join("(" + " AND ".join(f"list_contains(w, '{x}')" for x in f"item {i}".split()) + ")" for i in items) for n, items in enumerate(T.CATEGORY_ITEMS.values()))
+_ITEMS = "CASE {c} WHEN 'en' THEN ['7', '7a', '8'] WHEN 'fr' THEN ['8'] WHEN 'de' THEN ['1a'] WHEN 'es' THEN ['3'] ELSE [] END"
+_OWN, _ONE, _OTHER = (_ITEMS.format(c=c) for c in ("route", "c1", "c2"))
+_TWO_ITEMS = _TWO.replace("route = c1 AS cover1, coalesce(route = c1 OR route = c2, false) AS cover2", f"len({_OWN}) > 0 AND len(list_intersect({_OWN}, {_ONE})) = len({_OWN}) AS cover1, len({_OWN}) > 0 AND len(list_intersect({_OWN}, list_concat({_ONE}, {_OTHER}))) = len({_OWN}) AS cover2")
 SQL = {
+    "t08_items": upto("tracks") + _TWO_ITEMS + """ SELECT round(avg((band = 'confident')::INT), 6) AS share_confident, round(avg((band = 'ambiguous')::INT), 6) AS share_ambiguous, round(avg((band = 'uncertain')::INT), 6) AS share_uncertain,
+ round(avg(cover1::INT) FILTER (band = 'confident'), 6) AS cover_confident, round(avg(cover2::INT) FILTER (band = 'ambiguous'), 6) AS cover_ambiguous, round(avg(cover1::INT) FILTER (band = 'uncertain'), 6) AS uncertain_top1_cover, round(avg(cover2::INT) FILTER (band = 'uncertain'), 6) AS uncertain_top2_cover FROM routed""",
     "t03_category_items": rf"""WITH s AS (SELECT p_partkey, lower('Part II - Item ' || (p_size % 16) || CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN ' A' ELSE '' END || '. ' || p_name) AS t FROM part),
  t AS (SELECT *, string_split_regex(t, '[^a-z0-9]+') AS w FROM s) SELECT p_partkey, array_to_string(regexp_extract_all(t, '\bitem\s+(\d+[a-z]*)', 1), ',') AS items, CASE p_partkey % 9 {_CATEGORY} END AS hit FROM t""",
     "t08_thresholds": upto("tracks") + _TWO + """ SELECT CASE WHEN isinf(max(tau_hard)) THEN 'none' ELSE round(max(tau_hard), 4)::VARCHAR END AS tau_hard, CASE WHEN isinf(max(tau_pair)) THEN 'none' ELSE round(max(tau_pair), 4)::VARCHAR END AS tau_pair,

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import filings
+from siltstone.operators import filings, grid
 from siltstone.operators import retrieval as R
 from siltstone.operators import sweep
 from siltstone.plans import question_queries, sweep_sql
@@ -66,8 +66,9 @@ def scan(spark, sf_dir):
 
 def by_level(spark, sf_dir):
     path = fresh(spark, "levels")
-    files.write_levels(sweep.chunks(spark, sf_dir), path)
-    files.write_levels(sweep.chunks(spark, sf_dir), None)
+    rows = grid.corpus(spark, sf_dir).drop("year")
+    files.write_levels(rows, path)
+    files.write_levels(rows, None)
     rows = spark.read.parquet(path)
     return rows.groupBy("level").agg(F.count("*").alias("n"), F.max((F.col("level") == 3).cast("int")).alias("enriched"))
 
@@ -119,7 +120,7 @@ def titled_postings(spark, sf_dir):
 def orchestrated(spark, sf_dir):
     """One job for all levels: each level's dense and sparse rows, the enriched flag only for level 3."""
     path = fresh(spark, "orchestrated")
-    rows = sweep.chunks(spark, sf_dir)
+    rows = grid.corpus(spark, sf_dir)
     kinds = F.explode(F.array(F.lit("dense"), F.lit("sparse")))
     files.write_levels(rows.select("chunk_id", "level", kinds.alias("kind"), (F.col("level") == 3).alias("enriched")), path)
     return spark.read.parquet(path).groupBy("level", "kind", "enriched").agg(F.count("*").alias("n"))
@@ -198,7 +199,7 @@ SQL = {
     "io02_whole_texts": "SELECT coalesce(lang, 'none') AS lang, count(*) AS n_lines FROM documents GROUP BY 1",
     "io03_trimmed": "SELECT page_id, CASE WHEN strpos(lower(h), '</html>') > 0 THEN strpos(lower(h), '</html>') + 6 ELSE length(h) END AS n FROM (SELECT page_id, coalesce(html, '') || CASE WHEN page_id % 2 = 0 THEN chr(10) || '<!-- served -->' || chr(10) || '</HTML> more' ELSE '' END AS h FROM pages)",
     "io13_titled_postings": "WITH " + sweep_sql.CHUNKS + f", w AS (SELECT chunk_id, unnest({sweep_sql.tokens("'title: ' || concat_ws(', ', 'ticker: ' || nullif(ticker, ''), 'section: ' || nullif(section, '')) || ' | text: ' || text")}) AS term FROM docs1) SELECT chunk_id, count(DISTINCT term) AS n_terms, count(*) AS n_tokens FROM w GROUP BY chunk_id",
-    "io17_orchestrated": "WITH " + sweep_sql.CHUNKS + " SELECT level, kind, false AS enriched, count(*) AS n FROM chunks, (VALUES ('dense'), ('sparse')) v(kind) GROUP BY level, kind",
+    "io17_orchestrated": "WITH " + sweep_sql.CHUNKS + " SELECT level, kind, level = 3 AS enriched, count(*) AS n FROM (SELECT level FROM chunks UNION ALL SELECT 3 FROM chunks WHERE level = 2), (VALUES ('dense'), ('sparse')) v(kind) GROUP BY level, kind",
     "io04_renamed": "SELECT item_id AS finder_id, text AS query FROM benchmark",
     "io05_reference": f"""SELECT sym AS symbol, name || ' Inc.' AS shortname, '"A, B" ' || name || ' Kor' || lower(sym) || ' Holdings Company (The)' AS longname
         FROM (SELECT {question_queries._SYM} AS sym, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name FROM part)""",
@@ -209,7 +210,7 @@ SQL = {
     "io11_lookups": "SELECT 'found' AS state, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'left', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'missing', count(DISTINCT doc_id) + 1 FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
     "io15_move_verified": """SELECT 'moved' AS state, count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM orders WHERE o_orderkey % 6 = 0 UNION ALL SELECT 'missing', count(*) + 1, sum(o_orderkey)::BIGINT - 1 FROM orders WHERE o_orderkey % 6 = 3
         UNION ALL SELECT 'source', count(*), sum(o_orderkey)::BIGINT FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 UNION ALL SELECT 'destination', count(*), sum(o_orderkey)::BIGINT FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 3 = 0""",
-    "io18_levels": "WITH " + sweep_sql.CHUNKS + " SELECT level, count(*) AS n, 0 AS enriched FROM chunks GROUP BY level",
+    "io18_levels": "WITH " + sweep_sql.CHUNKS + " SELECT level, count(*) AS n, (level = 3)::INT AS enriched FROM (SELECT level FROM chunks UNION ALL SELECT 3 FROM chunks WHERE level = 2) GROUP BY level",
     "io16_created": "WITH " + sweep_sql.CHUNKS + " SELECT level, count(*) AS n, 0 AS before FROM chunks GROUP BY level",
     "io26_batch_calls": "SELECT conv_id, turn, CASE WHEN length(coalesce(text, '')) < 40 THEN '' ELSE length(text)::VARCHAR END AS reply FROM conversations",
     "io28_batches": "SELECT count(*) AS n, least(count(*), 100) AS largest FROM events",
