@@ -24,6 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+#: Tables of each session that nobody has dropped yet.
+_tables: dict[str, set[str]] = {}
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and reread it: later jobs don't depend on executors' memory or shuffle files."""
     spark = df.sparkSession
@@ -31,6 +35,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._siltstone_path = path
+    _tables.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return out
 
 
@@ -38,9 +43,19 @@ def drop(df: DataFrame) -> None:
     """Delete a table that ``table`` wrote, once nothing reads it any more."""
     path = getattr(df, "_siltstone_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _tables.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that the operators of this session wrote; results that weren't written elsewhere can't be read any more."""
+    for path in list(_tables.get(spark.sparkContext.applicationId, ())):
+        delete(spark, path)
 
 
 def parts(spark: SparkSession) -> int:

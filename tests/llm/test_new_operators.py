@@ -185,3 +185,17 @@ def test_language_odd_rows(spark):
     unlearnt = langid.identify(spark.createDataFrame([(1, "some words", None), (2, None, "en")], "doc_id long, text string, lang string")).collect()
     assert [(r["lang_pred"], r["score"]) for r in unlearnt] == [("und", 0.0)] * 2
     assert langid.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_tables_of_a_session_are_cleared(spark):
+    import os
+
+    from siltstone.llm import common
+
+    kept = common.table(spark.range(5), "kept")
+    dropped = common.table(spark.range(5), "dropped")
+    path = kept._siltstone_path.removeprefix("file:")
+    common.drop(dropped)
+    assert os.path.exists(path) and not os.path.exists(dropped._siltstone_path.removeprefix("file:"))
+    common.clear(spark)
+    assert not os.path.exists(path)
