@@ -192,6 +192,6 @@ def arms(runs: DataFrame, metrics: tuple[str, ...], contrasts=CONTRASTS) -> Data
         spans = rows.select("arm", "rest").distinct().groupBy("rest").agg(F.count("*").alias("n")).agg((F.min("n") == 2).alias("crossed"))  # one row
         values = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics]))
         long = rows.select("finder_id", "arm", values).groupBy("finder_id", "metric").agg(F.avg(F.when(F.col("arm") == 1, F.col("v"))).alias("t"), F.avg(F.when(F.col("arm") == 0, F.col("v"))).alias("c")).where("t IS NOT NULL AND c IS NOT NULL")
-        part = long.join(F.broadcast(spans)).select(F.lit(name).alias("contrast"), "metric", "finder_id", F.round(F.col("t") - F.col("c"), 6).alias("d"), "crossed")
+        part = long.join(F.broadcast(spans)).select(F.lit(name).alias("contrast"), "metric", "finder_id", F.round(F.col("t") - F.col("c") + 1e-10, 6).alias("d"), "crossed")  # a nudge, so that halves don't hang on the order of sums
         out = part if out is None else out.unionByName(part)
     return out

@@ -83,7 +83,7 @@ g2 AS (SELECT finder_id, chunk_id, {share('ew', 'cw')} AS word, CASE WHEN len(en
 runs AS (SELECT finder_id, level, mode, enhance, alpha, router, round_even(max(word), 4) AS word_recall, coalesce(round(1.0 / min(CASE WHEN greatest(word, num) >= 0.5 THEN rank + 1 END), 6), 0.0)::DOUBLE AS soft_mrr,
          max(CASE WHEN greatest(word, num) >= 0.5 AND rank < 3 THEN 1 ELSE 0 END)::DOUBLE AS soft_recall3 FROM res JOIN g2 USING (finder_id, chunk_id) GROUP BY finder_id, level, mode, enhance, alpha, router)"""
 SQL = {
-    "x20_grid": _RUNS + f", cells AS ({_CELLS}), arms AS ({_ARMS}) SELECT contrast, metric, count(*) AS questions, round(avg(round(t - c, 6)) + 1e-10, 6) AS effect, true AS crossed FROM arms WHERE t IS NOT NULL AND c IS NOT NULL GROUP BY contrast, metric",
+    "x20_grid": _RUNS + f", cells AS ({_CELLS}), arms AS ({_ARMS}) SELECT contrast, metric, count(*) AS questions, round(avg(round(t - c + 1e-10, 6)) + 1e-10, 6) AS effect, true AS crossed FROM arms WHERE t IS NOT NULL AND c IS NOT NULL GROUP BY contrast, metric",
     "g01_lists": _BASE + " SELECT finder_id, enhance, level, source, router, chunk_id, rank FROM lst WHERE rank < 5",
     "g01_results": _RESULTS + " SELECT finder_id, 'L' || level || '_' || upper(mode) || '_' || CASE WHEN enhance = 1 THEN 'ENH' ELSE 'PLAIN' END || '_A' || alpha || CASE WHEN router = '' THEN '' ELSE '_' || upper(router) END AS config_key, level, mode, enhance, alpha, router, chunk_id, rank FROM res",
     "o07_keep_sets": _RESULTS + """, l AS (SELECT finder_id, mode, enhance, alpha, router, level, list(chunk_id ORDER BY rank) AS ids FROM res GROUP BY ALL)

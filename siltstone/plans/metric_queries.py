@@ -320,5 +320,5 @@ SQL = {
  v AS (SELECT arm, finder_id, avg(word_recall) AS v FROM runs JOIN a USING (config_key) GROUP BY ALL), d AS (SELECT arm, round(v - b.word_recall, 6) AS d FROM v JOIN runs b ON b.finder_id = v.finder_id AND b.config_key = '{judge.BASELINE}')
  SELECT arm, count(*) AS questions, round(avg(d) + 1e-10, 6) AS mean_delta, count(*) FILTER (d > 0) AS better, count(*) FILTER (d < 0) AS worse FROM d GROUP BY arm""",
     "x18_tie_agreement": table_queries.PREFIX + f" SELECT {_KIND.format(c='relevance')} AS relevance, {_KIND.format(c='completeness')} AS completeness, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM verdicts WHERE relevance NOT IN ('is_baseline', 'no_baseline', 'same_as_baseline') GROUP BY 1, 2",
-    "x20_all_contrasts": upto("runs") + f", cells AS ({_CELLS}), arms AS ({_ARMS}) SELECT contrast, metric, count(*) AS questions, round(avg(round(t - c, 6)) + 1e-10, 6) AS effect, true AS crossed FROM arms WHERE t IS NOT NULL AND c IS NOT NULL GROUP BY contrast, metric",
+    "x20_all_contrasts": upto("runs") + f", cells AS ({_CELLS}), arms AS ({_ARMS}) SELECT contrast, metric, count(*) AS questions, round(avg(round(t - c + 1e-10, 6)) + 1e-10, 6) AS effect, true AS crossed FROM arms WHERE t IS NOT NULL AND c IS NOT NULL GROUP BY contrast, metric",
 }
