@@ -110,12 +110,51 @@ def test_candidates_that_overlap_base_spans(spark):
     rng = random.Random(9)
     span = lambda: (lambda a: (a, a + rng.randint(1, 9)))(rng.randint(0, 60))
     rows = [(i, sorted((a, 0, b) for a, b in (span() for _ in range(rng.randint(0, 8)))), [(a, "number", b, "c", False) for a, b in (span() for _ in range(rng.randint(0, 90)))]) for i in range(200)]
-    df = spark.createDataFrame(rows, "i int, base array<struct<start:bigint,kind:int,end:bigint>>, p array<struct<start:bigint,kind:string,end:bigint,cell:string,cue:boolean>>")
+    df = spark.createDataFrame(rows, "i int, base array<struct<start:bigint,kind:int,end:bigint>>, p array<struct<start:bigint,kind:string,end:bigint,cell:string,open:boolean>>")
     for r in df.select("base", "p", pii.flagged(F.col("base"), F.col("p")).alias("f")).collect():
         want = sorted((s.start, s.end, any(b.start < s.end and s.start < b.end for b in r["base"])) for s in r["p"])
         assert sorted((s.start, s.end, s.hit) for s in r["f"]) == want
 
 
+def test_scores_choose_what_is_added(spark, monkeypatch):
+    """Labelled spans of every kind: the trees find those without a base format, leave the rest, and nothing is added without them."""
+    rng = random.Random(11)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    h = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "7e"
+    cap = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
+    personal = [
+        ("number", lambda: f"({d(3)}) {d(3)}-{d(4)}", "they met "), ("number", lambda: f"{d(3)}-{d(2)}-{d(4)}", "SSN: "), ("number", lambda: d(10), "my phone "), ("secret", lambda: h(40), 'token = "'),
+        ("secret", lambda: h(18), "a password="), ("secret", lambda: "AKIA" + cap(16), "then "), ("contact", lambda: f"bob.b{d(1)} [at] host [dot] example", "write "),
+    ]
+    plain = [lambda: f"they met {d(10)} there", lambda: f"commit {h(40)} there", lambda: "he saw us [at] noon. Then", lambda: f"in {d(4)}-{d(2)}-{d(2)} 10 there", lambda: f"see chapter-{d(2)}-of-the-long-story there"]
+    texts, want = [], []
+    for _ in range(25):
+        for kind, span, before in personal:
+            s = span()
+            texts.append(f"{before}{s} there")
+            want.append(f"{kind}:{len(before)}:{len(before) + len(s)}")
+        for one in plain:
+            texts.append(one())
+            want.append("")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = lambda: {r["doc_id"]: r["spans"] for r in pii.report(df).collect()}
+    got = spans()
+    hits, false = sum(got[i] == w for i, w in enumerate(want) if w), sum(got[i] != "" for i, w in enumerate(want) if not w)
+    assert hits >= 0.95 * sum(map(bool, want)) and false == 0, (hits, false, [(texts[i], got[i], w) for i, w in enumerate(want) if got[i] != w][:9])
+    monkeypatch.setattr(pii, "accepted_cells", lambda *a: [])
+    assert set(spans().values()) == {""}
+
+
+def test_labels_of_one_class(spark):
+    """Plain and spelled-out addresses alone: the examples made by rule give the other class; without any, nothing is added."""
+    texts = [f"mail anna.{k}@mail.example now" for k in range(50)] + [f"write bob.{k} [at] host [dot] example" for k in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert all(got[k] == "mail [EMAIL] now" for k in range(50)) and all(got[k] == "write [CONTACT]" for k in range(50, 100))
+    bare = {r["doc_id"]: r["text"] for r in pii.redact(df, labelled=pii.examples(spark).where("false")).collect()}
+    assert all(bare[k] == "mail [EMAIL] now" for k in range(50)) and all(bare[k] == texts[k] for k in range(50, 100))
+
+
 # --- quality
 
 
