@@ -148,9 +148,14 @@ def effective_alpha(section_alpha: Column, route_alpha: Column, categories: Colu
     return F.when((route_alpha > 0) & (F.size(categories) > 0), section_alpha * route_alpha).otherwise(0.0)
 
 
+def two_digits(p: Column) -> Column:
+    """A share with two digits: 100 times the double, halves to the even digit, as DuckDB's round_even has it."""
+    return F.format_number(F.rint(p * 100) / 100, 2)
+
+
 def agent_message(query: Column, band: Column, hard: Column, pair: Column, candidates: Column) -> Column:
     """What the agent is asked: the question, the band, and a line for each candidate (array of struct<class, p, terms>)."""
-    line = lambda c: F.concat(F.lit('- "'), c["class"], F.lit('" p='), F.format_number(c["p"], 2), F.when(F.size(c["terms"]) > 0, F.concat(F.lit(" because of "), F.array_join(c["terms"], ", "))).otherwise(""))
+    line = lambda c: F.concat(F.lit('- "'), c["class"], F.lit('" p='), two_digits(c["p"]), F.when(F.size(c["terms"]) > 0, F.concat(F.lit(" because of "), F.array_join(c["terms"], ", "))).otherwise(""))
     return F.concat(F.lit("Question: "), query, F.lit("\nBand: "), band, F.lit(" (alone from "), F.format_number(hard, 2), F.lit(", in pairs from "), F.format_number(pair, 2), F.lit(")\n"), F.array_join(F.transform(candidates, line), "\n"))
 
 
