@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -20,6 +21,14 @@ IMPLIED = {
     "li": (("li", "p"), ("ul", "ol")), "tr": (("tr", "td", "th", "p"), ("table",)), "td": (("td", "th", "p"), ("tr", "table")), "th": (("td", "th", "p"), ("tr", "table")),
 }
 VOID = frozenset("br hr img input meta link col area base embed source track wbr".split())
+HEADS = {f"h{n}": "#" * n + " " for n in range(1, 7)}
+OUTSIDE = frozenset("tr table tbody thead td th".split())
+WHITES = re.compile(r"[ \t\r\n\f\v\xa0]+")
+#: What stands in plain pages, one after the other: text, comments, scripts and styles, ends, starts with quoted attributes.  Any reader of HTML takes these alike.
+PLAIN = re.compile(
+    r"""([^<]+)|<!--[^<>-]+-->|<(script|style)>(?:[^<]|<(?!/\s*\2))*</\2>|</([a-zA-Z][a-zA-Z0-9]*)>|<(?!(?:script|style|textarea|title|xmp|iframe|noembed|noframes|plaintext|noscript)\b)([a-zA-Z][a-zA-Z0-9]*)((?:\ [a-zA-Z][a-zA-Z0-9-]*="[^"<>]*")*)>|<(title|noscript)>[^<&]*</\6>""", re.IGNORECASE,
+)
+QUOTED = re.compile(r' ([^=]+)="([^"]*)"')
 
 
 class Markdown(HTMLParser):
@@ -47,14 +56,16 @@ class Markdown(HTMLParser):
 
     def flush(self) -> None:
         """Close the open line: white space collapsed, marks that are open closed and opened again behind."""
-        text = re.sub(r"[ \t\r\n\f\v ]+", " ", "".join(self.line)).strip(" ")
+        if not self.line and not self.marks:
+            return
+        text = WHITES.sub(" ", "".join(self.line)).strip(" ")
         self.line = []
         open_ = "".join(m for m, _ in self.marks)
         if open_ and text.strip("* "):
             text += open_[::-1]
         if text.strip("* "):
             self.out.append(self.prefix + text)
-            self.prefix = re.sub(r"\S", " ", self.prefix)  # further lines of an item stand under it
+            self.prefix = " " * len(self.prefix)  # further lines of an item stand under it
         self.marks = [(m, 0) for m, _ in self.marks]
         self.line = [open_] if open_ else []
 
@@ -76,8 +87,11 @@ class Markdown(HTMLParser):
             return
         if tag in IMPLIED:
             ended, within = IMPLIED[tag]
-            while (at := next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k] in ended or self.stack[k] in within), None)) is not None and self.stack[at] in ended:
-                self.shut(at)
+            at = len(self.stack) - 1
+            while at >= 0 and self.stack[at] not in within:
+                if self.stack[at] in ended:
+                    self.shut(at)
+                at -= 1
         if tag not in VOID:
             self.stack.append(tag)
         if self.skipped:
@@ -87,10 +101,10 @@ class Markdown(HTMLParser):
                 self.cell.append(" ")
             else:
                 self.flush()
-        elif re.fullmatch("h[1-6]", tag):
+        elif tag in HEADS:
             self.part()
             if self.cell is None:
-                self.prefix = "#" * int(tag[1]) + " "
+                self.prefix = HEADS[tag]
         elif tag in MARKS:
             self.mark(MARKS[tag])
         elif tag in ("ul", "ol"):
@@ -128,7 +142,7 @@ class Markdown(HTMLParser):
             if self.stack[at] == tag:
                 self.shut(at)
                 return
-            if self.stack[at] in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "td", "th"):
+            if self.stack[at] in ("td", "th", "table") and tag not in OUTSIDE:
                 return  # an end that belongs outside of the open cell
 
     def shut(self, at: int) -> None:
@@ -155,16 +169,16 @@ class Markdown(HTMLParser):
             self.flush()
             self.prefix = ""
         elif tag in ("td", "th") and self.tables == 1 and self.cell is not None:
-            text = re.sub(r"[ \t\r\n\f\v ]+", " ", "".join(self.cell)).strip(" ")
+            text = WHITES.sub(" ", "".join(self.cell)).strip(" ")
             self.rows[-1] += [text.replace("|", "\\|"), *[""] * (self.span - 1)]
             self.cell = None
         elif tag == "table":
             self.tables -= 1
             if self.tables == 0:
                 self.table()
-        elif re.fullmatch("h[1-6]", tag) or (tag in BLOCKS and not (tag == "p" and self.lists)):
+        elif tag in HEADS or (tag in BLOCKS and not (tag == "p" and self.lists)):
             self.part()
-            if re.fullmatch("h[1-6]", tag):
+            if tag in HEADS:
                 self.prefix = ""
 
     def mark(self, sign: str) -> None:
@@ -203,6 +217,29 @@ class Markdown(HTMLParser):
         if not self.skipped:
             (self.cell if self.cell is not None else self.line).append(data)
 
+    def plain(self, html: str) -> bool:
+        """Read a page that consists of ``PLAIN`` parts; else False, and what was read is void."""
+        at, begin, end = 0, self.handle_starttag, self.handle_endtag
+        for m in PLAIN.finditer(html):
+            if m.start() != at:
+                return False
+            at, kind = m.end(), m.lastindex
+            if kind == 1:
+                if not self.skipped:
+                    text = m[1]
+                    (self.line if self.cell is None else self.cell).append(unescape(text) if "&" in text else text)
+            elif kind == 3:
+                end(m[3].lower())
+            elif kind == 5:
+                begin(m[4].lower(), [(k.lower(), unescape(v)) for k, v in QUOTED.findall(m[5])] if m[5] else ())
+            elif kind is not None:
+                tag = m[kind].lower()
+                begin(tag, ())
+                if kind == 6 and not self.skipped:
+                    self.handle_data(m[0][len(tag) + 2 : -len(tag) - 3])
+                end(tag)
+        return at == len(html)
+
     def result(self) -> str:
         self.goahead(True)  # what looked like the start of an element to the end is text
         self.shut(0)
@@ -211,9 +248,11 @@ class Markdown(HTMLParser):
 
 
 def to_markdown(html: str | None) -> str:
-    """Markdown of a page; null and empty pages give an empty text."""
+    """Markdown of a page; null and empty pages give an empty text.  Plain pages are cut by one pattern, all others by the tolerant parser."""
     page = Markdown()
-    page.feed(html or "")
+    if not page.plain(html or ""):
+        page = Markdown()
+        page.feed(html)
     return page.result()
 
 

@@ -1,12 +1,29 @@
 """What larger tables brought up."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
-from siltstone.operators import routing
+from siltstone.operators import markup, routing
 
 
 def test_shares_in_messages_round_halves_as_the_sql_does(spark):
     told = dict(duckdb.connect().execute("SELECT k, printf('%.2f', round_even(k / 10000.0::DOUBLE, 2)) FROM range(0, 10001) t(k)").fetchall())
     rows = spark.range(0, 10001).select("id", routing.two_digits(F.round(F.col("id") / 10000.0, 4)).alias("p")).collect()
     assert {r["id"]: r["p"] for r in rows} == told
+
+
+def test_plain_pages_read_like_the_tolerant_parser_has_them():
+    """Pages of plain parts don't go through the parser; whatever else is in them, both ways give the same text."""
+    rng = random.Random(3)
+    names = [*"p b li ul ol table tr td h1 div script nav i tbody title style noscript TD textarea plaintext br/".split(), 'td colspan="2"', 'p class="a&amp;b" id="x"', "script "]
+    parts = [f"<{s}{t}>" for t in names for s in ("", "/")] + ["word", " ", "&amp;", "&", "<", ">", "|", "\n", "&lt", "&#65;", "<!-- c -->", "<!---->", "<script>if (a<b) x='</p>'</script>", "<title>a&amp;b</title>", "<style>p{}</STYLE>", "\xa0"]
+    short = 0
+    for k in range(6000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14 if k % 2 else 6)))
+        whole = markup.Markdown()
+        whole.feed(page)
+        assert markup.to_markdown(page) == whole.result()
+        short += markup.Markdown().plain(page)
+    assert short > 1000
