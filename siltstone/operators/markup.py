@@ -282,12 +282,17 @@ BOLD_BELOW, TITLE_ABOVE, TITLE_BELOW, CAPITALS = 100, 3, 80, 0.6
 WHITE = " \t\n\x0b\f\r"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def floating_title(line: Column, before: Column, after: Column) -> Column:
     """A line between blank ones that reads like a title: capital first, no full stop, most of its purely alphabetic words with a capital."""
     words = F.filter(F.split(line, r"\s+"), lambda w: w.rlike(r"^\p{L}+$"))
-    capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+    capital = lambda w: F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}")))
     long = F.length(line)
-    return before & after & (long > TITLE_ABOVE) & (long < TITLE_BELOW) & line.rlike(r"^\p{Lu}") & ~line.endswith(".") & (F.size(words) > 0) & (capital / F.size(words) > CAPITALS)
+    return before & after & (long > TITLE_ABOVE) & (long < TITLE_BELOW) & line.rlike(r"^\p{Lu}") & ~line.endswith(".") & let(words, lambda w: (F.size(w) > 0) & (capital(w) / F.size(w) > CAPITALS))
 
 
 def heading_lines(line: Column, before: Column, after: Column) -> Column:
@@ -296,7 +301,10 @@ def heading_lines(line: Column, before: Column, after: Column) -> Column:
     The first rule that fits: headings stay; parts and items in a table row; on a line of their own; bold italic; bold of less
     than 100 characters; a bold head that runs into its text, which becomes a heading of level 4, a blank line and the text; a floating title.
     """
-    plain = F.btrim(line, F.lit(WHITE))
+    return let(F.btrim(line, F.lit(WHITE)), lambda plain: _heading(line, plain, before, after))
+
+
+def _heading(line: Column, plain: Column, before: Column, after: Column) -> Column:
     group = lambda pattern, k: F.regexp_extract(plain, f"(?d){pattern}", k)
     fits = lambda pattern: plain.rlike(f"(?d){pattern}")
     named = lambda mark, pattern: F.array(F.concat(F.lit(mark), F.upper(group(pattern, 1)), F.lit(" "), F.btrim(group(pattern, 2), F.lit(WHITE))))
@@ -315,19 +323,27 @@ def enriched(md: Column) -> Column:
     Lines end in \\n, \\r\\n or \\r; white space is ASCII's.  What stands up to a line "contents" or "table of contents", and
     the blank lines behind it, stays as it is.  At most one blank line is left between others.
     """
-    blank = lambda x: F.btrim(x, F.lit(WHITE)) == ""
     text = F.regexp_replace(F.coalesce(md, F.lit("")), r"\r\n?", "\n")
     text = F.regexp_replace(text, r"\n\z", "")
-    rows = F.split(text, "\n")
+    rows = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("x"), F.btrim(x, F.lit(WHITE)).alias("t")))
+    return let(rows, _enriched)
+
+
+def _enriched(rows: Column) -> Column:
     # Place of the contents line (0: none), and of the first line that isn't blank behind it.
-    places = F.transform(rows, lambda x, i: F.struct((i + 1).alias("i"), F.lower(F.btrim(x, F.lit(WHITE))).alias("t")))
-    contents = F.coalesce(F.try_element_at(F.filter(places, lambda s: s["t"].isin(*CONTENTS)), F.lit(1))["i"], F.lit(0))
-    first = F.coalesce(F.try_element_at(F.filter(places, lambda s: (s["i"] > contents) & (s["t"] != "")), F.lit(1))["i"], F.size(rows) + 1)
-    start = F.when(contents > 0, first).otherwise(1)
-    body = F.slice(rows, start, F.size(rows))
-    # Each line with its neighbours; there is no line, so a blank one, beyond the ends.
-    ahead, behind = F.concat(F.array(F.lit("")), body), F.concat(F.slice(body, F.lit(2), F.size(rows)), F.array(F.lit("")))
-    around = F.arrays_zip(body.alias("line"), F.slice(ahead, F.lit(1), F.size(body)).alias("before"), F.slice(behind, F.lit(1), F.size(body)).alias("after"))
-    made = F.flatten(F.transform(around, lambda s: heading_lines(s["line"], blank(s["before"]), blank(s["after"]))))
-    made = F.when(F.size(body) > 0, made).otherwise(F.array().cast("array<string>"))
-    return F.regexp_replace(F.array_join(F.concat(F.slice(rows, F.lit(1), start - 1), made), "\n"), r"\n{3,}", "\n\n")
+    contents = F.array_position(F.transform(rows, lambda s: F.lower(s["t"]).isin(*CONTENTS)), True)
+    first = lambda c: F.array_position(F.transform(rows, lambda s, i: (i >= c) & (s["t"] != "")), True)
+    start = let(contents, lambda c: F.when(c == 0, 1).otherwise(let(first(c), lambda f: F.when(f == 0, F.size(rows) + 1).otherwise(f)))).cast("int")
+    return let(start, lambda at: _from(rows, at))
+
+
+def _from(rows: Column, start: Column) -> Column:
+    """The text of ``rows``, those from ``start`` on as headings where they are."""
+
+    def made(body):
+        # There is no line, so a blank one, beyond the ends.
+        blank = lambda i: F.coalesce(F.get(body, i)["t"] == "", F.lit(True))
+        return F.flatten(F.transform(body, lambda s, i: heading_lines(s["x"], blank(i - 1), blank(i + 1))))
+
+    kept = F.transform(F.slice(rows, F.lit(1), start - 1), lambda s: s["x"])
+    return F.regexp_replace(F.array_join(F.concat(kept, let(F.slice(rows, start, F.size(rows)), made)), "\n"), r"\n{3,}", "\n\n")

@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from siltstone.operators import markup, routing
+from siltstone.plans import markup_queries
 
 
 def test_shares_in_messages_round_halves_as_the_sql_does(spark):
@@ -27,3 +28,10 @@ def test_plain_pages_read_like_the_tolerant_parser_has_them():
         assert markup.to_markdown(page) == whole.result()
         short += markup.Markdown().plain(page)
     assert short > 1000
+
+
+def test_heading_lines_go_to_many_tasks_and_name_their_lines_once(spark):
+    df = markup_queries.headed(spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= 4
+    plan = spark.range(1).select(markup.enriched(F.lit("a").cast("string"))).columns[0]
+    assert plan.count("regexp_replace(coalesce") <= 1
