@@ -31,7 +31,7 @@ def tfidf(texts: DataFrame, corpus: DataFrame | None = None, terms=word_terms, m
     """id, term, weight of ``texts`` (id, text): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), rows of length 1.
 
     Document frequencies are those of ``corpus`` (by default the texts themselves); terms of fewer than ``min_df`` of its
-    rows don't count.  Terms are joined by their text; no vocabulary comes to the driver.
+    rows don't count.  Terms are joined by their text, always by a shuffle: no vocabulary comes to the driver, not even to be broadcast.
     """
     counted = lambda df: df.select("id", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     own = counted(texts)
@@ -39,7 +39,7 @@ def tfidf(texts: DataFrame, corpus: DataFrame | None = None, terms=word_terms, m
     n = (texts if corpus is None else corpus).agg(F.count("*").alias("n"))  # one row
     df = known.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     idf = df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    rows = own.join(idf, "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    rows = own.join(idf.hint("merge"), "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))
     return rows.select("id", "term", (F.col("w") / length).alias("weight"))
 
@@ -50,7 +50,7 @@ def vectors(texts: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     slots = parts.groupBy("id", F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.sum("weight").alias("w"))
     rows = slots.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "w"))).alias("v"))
     sparse = F.udf(lambda v: Vectors.sparse(SLOTS, [x["slot"] for x in v or []], [x["w"] for x in v or []]), VectorUDT())
-    return texts.join(rows, "id", "left").withColumn("features", sparse("v")).drop("v")
+    return texts.join(rows.hint("merge"), "id", "left").withColumn("features", sparse("v")).drop("v")
 
 
 def fit(rows: DataFrame, c: float = 5.0, iterations: int = 40) -> LogisticRegressionModel:
@@ -86,7 +86,7 @@ def out_of_fold(rows: DataFrame, label: str, names: list[str], folds: int = 5) -
 
 def held_out(rows: DataFrame, evaluated: DataFrame, key: str, group: str) -> DataFrame:
     """Rows for training: neither an evaluated key nor a group (ticker) of an evaluated row."""
-    return rows.join(evaluated.select(key).distinct(), key, "left_anti").join(evaluated.select(group).where(F.col(group).isNotNull()).distinct(), group, "left_anti")
+    return rows.join(evaluated.select(key).distinct().hint("merge"), key, "left_anti").join(evaluated.select(group).where(F.col(group).isNotNull()).distinct(), group, "left_anti")
 
 
 def evidence(model: LogisticRegressionModel, texts: DataFrame, corpus: DataFrame, names: list[str], k: int = 4) -> DataFrame:

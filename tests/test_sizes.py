@@ -5,7 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from siltstone.operators import markup, routing
+from siltstone.operators import markup, router, routing
 from siltstone.plans import markup_queries
 
 
@@ -35,3 +35,12 @@ def test_heading_lines_go_to_many_tasks_and_name_their_lines_once(spark):
     assert df.rdd.getNumPartitions() >= 4
     plan = spark.range(1).select(markup.enriched(F.lit("a").cast("string"))).columns[0]
     assert plan.count("regexp_replace(coalesce") <= 1
+
+
+def test_vocabularies_are_never_broadcast(spark):
+    texts = spark.createDataFrame([(i, f"word{i % 3} and word{i % 5} again") for i in range(40)], "id long, text string")
+    for df in (router.vectors(texts), router.held_out(texts, texts.where("id < 5"), "id", "text")):
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin" in plan
+        assert plan.count("BroadcastHashJoin") == (df.columns == ["text", "id"])  # the second join of held_out: groups are few
