@@ -49,7 +49,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for level in (1, 2, 3):
         own = rows.where(F.col("level") == level)
-        best = R.bm25_top(asked, R.postings(own, ("cell",)), R.corpus_stats(own), DEPTH, ("cell",), "cell")
+        best = R.bm25_texts(asked, own, DEPTH, ("cell",), "cell")
         out.append(best.select("query_id", F.lit(level).alias("level"), "chunk_id", "score"))
     sparse = out[0].unionByName(out[1]).unionByName(out[2]).join(asked, "query_id").join(texts, "text").join(cells, "cell")
     sparse = sparse.select(*KEYS, F.lit("sparse").alias("source"), "section", "year", "chunk_id", "score")

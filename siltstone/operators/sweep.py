@@ -19,8 +19,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus of two levels.  Level 1: documents; level 2: their non-blank lines, children of the document.
+def chunks(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Corpus of two levels.  Level 1: documents; level 2: their non-blank lines, children of the document.  ``only``: of these documents (chunk_id).
 
     ticker is the source, section the language, fiscal_year_end the last day of a year that follows from the id.
     """
@@ -29,6 +29,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("source", F.lit("")).alias("ticker"), F.coalesce("lang", F.lit("")).alias("section"),
         F.make_date(F.lit(ANCHOR_YEAR - 4) + (F.col("doc_id") % 5).cast("int"), F.lit(12), F.lit(31)).alias("fiscal_year_end"), F.coalesce("text", F.lit("")).alias("text"),
     )
+    docs = docs if only is None else docs.join(only, "chunk_id", "left_semi")
     lines = docs.select("*", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
     lines = lines.select(F.concat("chunk_id", F.format_string("/%06d", "pos")).alias("chunk_id"), F.lit(2).alias("level"), "doc_id", F.col("chunk_id").alias("parent_id"), "ticker", "section", "fiscal_year_end", F.col("line").alias("text"))
     return docs.unionByName(lines)
@@ -67,7 +68,7 @@ def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for level in (1, 2):
         own = corpus.where(F.col("level") == level)
-        best = R.bm25_top(asked, R.postings(own, ("section",)), R.corpus_stats(own), 3 * TOP_K, ("section",), "section")
+        best = R.bm25_texts(asked, own, 3 * TOP_K, ("section",), "section")
         out.append(best.select("query_id", F.lit(level).alias("level"), F.lit("sparse").alias("source"), "chunk_id", "section", "score"))
     sparse = out[0].unionByName(out[1])
     # A question's vector is the one with its id; a chunk has its document's.
@@ -101,7 +102,8 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final ranked lists of every (finder_id, config_key): mode, section blend, parent collapse, top 5."""
     t = tracks(spark, sf_dir)
     keys = ("finder_id", "enhance", "level")
-    corpus = chunks(spark, sf_dir).select("chunk_id", "parent_id")
+    found_in = t.select(F.substring_index("chunk_id", "/", 1).alias("chunk_id")).distinct()  # only these are split into lines again
+    corpus = chunks(spark, sf_dir, found_in).select("chunk_id", "parent_id")
     by = lambda track, source: t.where((F.col("track") == track) & (F.col("source") == source))
     out = []
     for mode in ("dense", "sparse", "hybrid"):
@@ -169,7 +171,7 @@ def sparse_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = chunks(spark, sf_dir).where("level = 1")
     q = questions(spark, sf_dir)
     asked = q.select(F.col("finder_id").alias("query_id"), F.col("query").alias("text"))
-    found = R.bm25_top(asked, R.postings(corpus), R.corpus_stats(corpus), TOP_K)
+    found = R.bm25_texts(asked, corpus, TOP_K)
     rows = found.withColumnRenamed("query_id", "finder_id").join(q.select("finder_id", "truth"), "finder_id").join(corpus.select("chunk_id", "text"), "chunk_id")
     rows = rows.select("finder_id", "chunk_id", "rank", (F.greatest(X.word_recall("truth", "text"), X.num_recall("truth", "text")) >= 0.5).alias("good"))
     return rows.groupBy("finder_id").agg(

@@ -52,3 +52,30 @@ def test_common_words_make_no_candidates(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "the of and w1 w2 w3")], "query_id long, text string")
     assert R.bm25_top(asked, R.postings(rows), R.corpus_stats(rows), 5).count() == 5
     assert kept["candidates"].count() <= 24 and kept["weighted-postings"].count() > 2400
+
+
+@pytest.mark.parametrize("size,k,texts", [(16384, 10, 2048), (16, 10, 4), (8, 1, 2048), (1, 3, 7)])
+def test_best_chunks_from_the_texts_are_those_of_all_scores(spark, monkeypatch, size, k, texts):
+    monkeypatch.setattr(R, "ROW_BLOCK", size)
+    monkeypatch.setattr(R, "TEXT_BLOCK", texts)
+    chunks, asked = corpus(size + k)
+    chunks += [("e1", None, "a"), ("e2", "THE É-W7 ß9\tİx Σ.w8 w9", "b"), ("e3", "", None), ("e4", "w3 w3 w3", None)]
+    rows = spark.createDataFrame(chunks, "chunk_id string, text string, section string").repartition(3)
+    queries = spark.createDataFrame([*asked, (96, "the É ß9 İX", None), (97, "the of and", "a")], "query_id long, text string, section string")
+    every = R.bm25(queries, R.postings(rows, ("section",)), R.corpus_stats(rows), keep=("section",)).join(queries.select("query_id", F.col("section").alias("only")), "query_id")
+    full = R.top(every.where("only IS NULL OR only = section").drop("only"), k)
+    want = {(r["query_id"], r["rank"]): (r["chunk_id"], r["section"], round(r["score"], 5)) for r in full.collect()}
+    got = R.bm25_texts(queries, rows, k, ("section",), "section").collect()
+    assert {(r["query_id"], r["rank"]): (r["chunk_id"], r["section"], round(r["score"], 5)) for r in got} == want and len(got) == len(want)
+
+
+def test_no_posting_is_a_row(spark, monkeypatch):
+    """A chunk is one row, however many words of questions it holds, and what tasks yield are at most k rows of a query."""
+    from siltstone.plans import store
+
+    kept, write = {}, store.written
+    monkeypatch.setattr(store, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    rows = spark.createDataFrame([(f"c{k}", "the of and net " * (1 + k % 3) + f"w{k % 100}") for k in range(800)], "chunk_id string, text string").repartition(4)
+    asked = spark.createDataFrame([(q, "the of and net w1 w2 w3") for q in range(6)], "query_id long, text string")
+    assert R.bm25_texts(asked, rows, 5).count() == 30
+    assert kept["words-held"].count() == 800 and kept["candidates"].count() <= 4 * 5 * 6 and "postings" not in kept
