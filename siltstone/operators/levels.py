@@ -5,7 +5,10 @@ Rows of one document meet in one window or array; a document is one row of text
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,6 +84,72 @@ def sections(lines: DataFrame, key: str) -> DataFrame:
     return whole.select(key, F.col("run").cast("int").alias("ord"), *LEVELS, "text")
 
 
+#: The patterns above in Python: line ends that a dot doesn't match and that may stand behind the end, ASCII white space and case.
+_EOL = "\n\r\u0085\u2028\u2029"
+_TITLED = re.compile(rf"(#{{1,4}})[ \t\n\x0b\f\r]+([^{_EOL}]*)(?=[{_EOL}]?\Z)")
+_HEADER, _RUNNING = re.compile(rf"(#{{1,4}}) [^{_EOL}]"), re.compile(RUNNING.replace("$", r"\Z"), re.ASCII)
+
+
+def _cut(md: str) -> list[tuple]:
+    """(section, subsection, item, subitem, text) of a document: its lines without running headers, neighbouring headers joined, what stands below each."""
+    parts: list[tuple[int, list[str]]] = [(0, [])]  # a header's level and titles, or (0, lines)
+    for line in md.split("\n"):
+        if line[:1] == "#":
+            if found := _TITLED.match(line):
+                titles = [t for t in (t.strip(" ") for t in found[2].split("|")) if not _RUNNING.match(t)]
+                if not titles:
+                    continue
+                line = f"{found[1]} {' | '.join(titles)}"
+            if found := _HEADER.match(line):
+                level = len(found[1])
+                if parts[-1][0] == level:
+                    parts[-1][1].append(line[level + 1 :])
+                else:
+                    parts.append((level, [line[level + 1 :]]))
+                continue
+        if parts[-1][0]:
+            if not line.strip(" "):
+                continue  # blank lines behind a header
+            parts.append((0, []))
+        parts[-1][1].append(line)
+    above: list = [None] * len(LEVELS)
+    given, out = [None] * len(LEVELS), []
+    for k, (level, lines) in enumerate(parts):
+        if level:
+            above = [*above[: level - 1], " | ".join(lines), *[None] * (len(LEVELS) - level)]
+            if k + 1 < len(parts) and not parts[k + 1][0]:
+                continue
+            text = ONLY
+        else:
+            text = "\n".join(lines).rstrip("\n")
+        bare = text.replace("\n", "").strip(" ")
+        if bare:
+            given = [a if v is None or a == v else v if a is None else f"{a} | {v}" for a, v in zip(given, above, strict=True)]
+            if bare != ONLY:
+                out.append((*given, text + "\n"))
+                given = [None] * len(LEVELS)
+    return out
+
+
+def sections_of(docs: DataFrame, key: str, md: str) -> DataFrame:
+    """``sections`` of the joined lines of ``docs`` without running headers, cut document by document in the tasks: no line is a row, nothing is shuffled."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            at, ords, rows = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if text is not None:
+                    found = _cut(text)
+                    at.extend([i] * len(found))
+                    ords.extend(range(len(found)))
+                    rows.extend(found)
+            columns = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * (len(LEVELS) + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(ords, pa.int32()), *columns], names=[key, "ord", *LEVELS, "text"])
+
+    return docs.select(key, md).mapInArrow(run, f"`{key}` {kind}, ord int, " + ", ".join(f"{c} string" for c in (*LEVELS, "text")))
+
+
 def paragraphs(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"\A\n+|\n+\z", ""), r"\n{2,}"), lambda p: F.trim(F.regexp_replace(p, "\n", "")) != "")
 
@@ -191,7 +260,7 @@ def hierarchy(docs: DataFrame, budget: int = 200, overlap: int = 40, count=words
     """
     empty = [F.lit(None).cast("string").alias(c) for c in (*LEVELS, "run_header")]
     zero = docs.select(chunk_id("doc_id", F.lit("0")).alias("id"), F.lit(0).alias("level"), "doc_id", F.lit(None).cast("string").alias("parent_id"), *empty, F.col("md").alias("text"))
-    cut = sections(join_headers(docs.select("doc_id", strip_running(F.col("md")).alias("md")), "doc_id", "md"), "doc_id")
+    cut = sections_of(docs, "doc_id", "md")
     one = cut.select(chunk_id("doc_id", F.lit("1"), "ord").alias("id"), F.lit(1).alias("level"), "doc_id", chunk_id("doc_id", F.lit("0")).alias("parent_id"), *LEVELS, F.lit(None).cast("string").alias("run_header"), "text")
     one = store.written(one, "sections")  # every level below reads it
     kids = packed(one.select(F.col("id").alias("parent_id"), "text"), ["parent_id"], budget, overlap, count)
