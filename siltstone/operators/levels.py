@@ -86,32 +86,53 @@ def sections(lines: DataFrame, key: str) -> DataFrame:
 
 #: The patterns above in Python: line ends that a dot doesn't match and that may stand behind the end, ASCII white space and case.
 _EOL = "\n\r\u0085\u2028\u2029"
-_TITLED = re.compile(rf"(#{{1,4}})[ \t\n\x0b\f\r]+([^{_EOL}]*)(?=[{_EOL}]?\Z)")
-_HEADER, _RUNNING = re.compile(rf"(#{{1,4}}) [^{_EOL}]"), re.compile(RUNNING.replace("$", r"\Z"), re.ASCII)
-
-
-def _cut(md: str) -> list[tuple]:
-    """(section, subsection, item, subitem, text) of a document: its lines without running headers, neighbouring headers joined, what stands below each."""
-    parts: list[tuple[int, list[str]]] = [(0, [])]  # a header's level and titles, or (0, lines)
-    for line in md.split("\n"):
-        if line[:1] == "#":
-            if found := _TITLED.match(line):
-                titles = [t for t in (t.strip(" ") for t in found[2].split("|")) if not _RUNNING.match(t)]
-                if not titles:
-                    continue
-                line = f"{found[1]} {' | '.join(titles)}"
-            if found := _HEADER.match(line):
-                level = len(found[1])
+_END = rf"(?=(?:\r\n|[{_EOL}])?\Z)"
+_TITLED = re.compile(rf"(#{{1,4}})[ \t\n\x0b\f\r]+([^{_EOL}]*){_END}")
+_HEADER, _RUNNING = re.compile(rf"(#{{1,4}}) [^{_EOL}]"), re.compile(RUNNING.replace("$", _END), re.ASCII)
+_BLANKS = re.compile(r"(?: *\n)*")
+
+
+def _title(line: str) -> tuple[int, str | None]:
+    """Level and title of a line that begins with #, without running headers; level 0 and the line for text, or None where nothing stays of it."""
+    if found := _TITLED.match(line):
+        titles = [t for t in (t.strip(" ") for t in found[2].split("|")) if not _RUNNING.match(t)]
+        if not titles:
+            return 0, None
+        line = f"{found[1]} {' | '.join(titles)}"
+    found = _HEADER.match(line)
+    return (len(found[1]), line[len(found[1]) + 1 :]) if found else (0, line)
+
+
+def _cut(md: str, titles: dict[str, tuple]) -> list[tuple]:
+    """(section, subsection, item, subitem, text) of a document: its lines without running headers, neighbouring headers joined, what stands below each.  ``titles``: lines that ``_title`` has read."""
+    parts: list[tuple[int, list[str]]] = [(0, [])]  # a header's level and titles, or (0, runs of lines)
+    for k, piece in enumerate(("\n" + md).split("\n#")):
+        level, more = 0, piece[1:] if piece else None
+        if k:
+            head, ended, more = ("#" + piece).partition("\n")
+            if not ended:
+                more = None
+            if (known := titles.get(head)) is None:
+                if len(titles) > 10_000:
+                    titles.clear()
+                known = titles[head] = _title(head)
+            level, title = known
+            if level:
                 if parts[-1][0] == level:
-                    parts[-1][1].append(line[level + 1 :])
+                    parts[-1][1].append(title)
                 else:
-                    parts.append((level, [line[level + 1 :]]))
-                continue
-        if parts[-1][0]:
-            if not line.strip(" "):
-                continue  # blank lines behind a header
-            parts.append((0, []))
-        parts[-1][1].append(line)
+                    parts.append((level, [title]))
+            elif title is not None:
+                if parts[-1][0]:
+                    parts.append((0, []))
+                parts[-1][1].append(title)
+        if more is not None:
+            if parts[-1][0]:  # blank lines behind a header go
+                more = more[_BLANKS.match(more).end() :]
+                if not more.strip(" "):
+                    continue
+                parts.append((0, []))
+            parts[-1][1].append(more)
     above: list = [None] * len(LEVELS)
     given, out = [None] * len(LEVELS), []
     for k, (level, lines) in enumerate(parts):
@@ -136,11 +157,12 @@ def sections_of(docs: DataFrame, key: str, md: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        titles: dict[str, tuple] = {}
         for batch in batches:
             at, ords, rows = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if text is not None:
-                    found = _cut(text)
+                    found = _cut(text, titles)
                     at.extend([i] * len(found))
                     ords.extend(range(len(found)))
                     rows.extend(found)
@@ -179,36 +201,109 @@ def windows(text: Column, budget: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - overlap), F.lit(budget - overlap)), lambda s: F.array_join(F.slice(w, s, budget), " "))
 
 
+def _place(kinds, sizes, captioned, most: int) -> list[tuple[int, bool]]:
+    """Chunk number and whether its caption goes with it, for each segment (run headers: -1)."""
+    at, used, found = -1, None, []  # used: tokens of the open chunk, None where the next segment opens one
+    for kind, n, c in zip(kinds, sizes, captioned, strict=True):
+        if kind == "run_header":
+            used = None
+            found.append((-1, False))
+        elif n > most or kind == "part":
+            at, used = at + 1, None
+            found.append((at, kind == "table" and c > n))
+        elif used is not None and used + n <= most:
+            used += n
+            found.append((at, False))
+        else:
+            at += 1
+            with_caption = kind == "table" and n < c <= most
+            used = c if with_caption else n
+            found.append((at, with_caption))
+    return found
+
+
 def _places(kinds: pd.Series, sizes: pd.Series, captioned: pd.Series, budget: pd.Series) -> pd.Series:
-    """Chunk number and whether its caption goes with it, for each segment of each row (run headers: -1)."""
-    out = []
-    for ks, ns, cs, most in zip(kinds, sizes, captioned, budget, strict=True):
-        at, used, found = -1, None, []  # used: tokens of the open chunk, None where the next segment opens one
-        for kind, n, c in zip(ks, ns, cs, strict=True):
-            if kind == "run_header":
-                used = None
-                found.append({"chunk": -1, "captioned": False})
-            elif n > most or kind == "part":
-                at, used = at + 1, None
-                found.append({"chunk": at, "captioned": kind == "table" and c > n})
-            elif used is not None and used + n <= most:
-                used += n
-                found.append({"chunk": at, "captioned": False})
-            else:
-                at += 1
-                with_caption = kind == "table" and n < c <= most
-                used = c if with_caption else n
-                found.append({"chunk": at, "captioned": with_caption})
-        out.append(found)
-    return pd.Series(out)
+    """``_place`` for each row."""
+    return pd.Series([[{"chunk": at, "captioned": c} for at, c in _place(*row)] for row in zip(kinds, sizes, captioned, budget, strict=True)])
+
+
+#: The patterns of tables and run headers in Python, as above.
+_TABLE, _PARAGRAPHS, _SPACE = re.compile(TABLE.replace(".", f"[^{_EOL}]")), re.compile(r"\n{2,}"), re.compile(r"[ \t\n\x0b\f\r]+")
+_RUN_HEADER, _STARS, _NO_LABEL = re.compile(RUN_HEADER.replace("$", _END)), re.compile(rf"\A\*|\*{_END}"), re.compile(rf"\A[0-9]|\.{_END}")
+
+
+def _words(text: str) -> int:
+    """``words`` of one text."""
+    return len(text.encode().split())
+
+
+def _segments(text: str) -> list[tuple[str, str, str]]:
+    """``segments`` of one text: (kind, text, caption)."""
+    out, tables = [], _TABLE.findall(text)
+    for k, prose in enumerate(_TABLE.split(text)):
+        for p in _PARAGRAPHS.split(prose.strip("\n")):
+            if not p.replace("\n", "").strip(" "):
+                continue
+            line = p.strip(" ")
+            label = _STARS.sub("", line).strip(" ") if _RUN_HEADER.match(line) else ""
+            run_header = label and not _NO_LABEL.search(label) and not _RUNNING.match(label)
+            out.append(("run_header", label, "") if run_header else ("prose", p, ""))
+        if k < len(tables):
+            out.append(("table", tables[k].rstrip("\n"), next((x.strip(" ") for x in reversed(prose.split("\n")) if x.strip(" ")), "")))
+    return out
+
+
+def _packed(text: str, budget: int, overlap: int) -> list[tuple]:
+    """(child, run_header, text) of one chunk above the budget."""
+    segs = []
+    for kind, t, caption in _segments(text):
+        if kind == "prose" and _words(t) > budget:
+            w = _SPACE.split(t.strip(" "))
+            segs += [("part", " ".join(w[i : i + budget]), "") for i in range(0, max(1, len(w) - overlap), budget - overlap)]
+        else:
+            segs.append((kind, t, caption))
+    whole = [f"{caption}\n{t}" if caption else t for _, t, caption in segs]
+    sizes = [_words(t) for _, t, _ in segs]
+    out, label, last = [], None, -1
+    for (kind, t, _), full, (at, captioned) in zip(segs, whole, _place([s[0] for s in segs], sizes, [_words(t) if s[2] else n for t, s, n in zip(whole, segs, sizes, strict=True)], budget), strict=True):
+        if kind == "run_header":
+            label = t
+        elif at != last:
+            out.append((at, label, [full if captioned else t]))
+            last = at
+        else:
+            out[-1][2].append(full if captioned else t)
+    return [(at, header, "\n\n".join(texts)) for at, header, texts in out]
+
+
+def _packed_in_tasks(chunks: DataFrame, keys: list[str], budget: int, overlap: int) -> DataFrame:
+    """``packed`` by ``words``, chunk by chunk: no segment is a row, nothing is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
+                if text is not None:
+                    found = [(0, None, text)] if _words(text) <= budget else _packed(text, budget, overlap)
+                    at.extend([i] * len(found))
+                    rows.extend(found)
+            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            own = [batch.column(k).take(pa.array(at, pa.int32())) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string()), strict=True))], names=[*keys, "child", "run_header", "text"])
+
+    kinds = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
+    return chunks.select(*keys, "text").mapInArrow(run, f"{kinds}, child int, run_header string, text string")
 
 
 def packed(chunks: DataFrame, keys: list[str], budget: int = 200, overlap: int = 40, count=words) -> DataFrame:
     """keys, child, run_header, text: a chunk's segments in chunks of up to ``budget`` tokens.
 
     A chunk within the budget stays whole.  A run header opens a chunk and labels what follows it.  A table is never cut
-    and takes its caption where it opens a chunk; longer prose is cut into windows, each a chunk.  ``count``: token counter.
+    and takes its caption where it opens a chunk; longer prose is cut into windows, each a chunk.  ``count``: token counter;
+    by another than ``words`` the segments of a chunk are rows that meet again.
     """
+    if count is words:
+        return _packed_in_tasks(chunks, keys, budget, overlap)
     places = F.pandas_udf(_places, "array<struct<chunk:int,captioned:boolean>>")
     seg = F.flatten(F.transform(segments(F.col("text")), lambda s: F.when(
         (s["kind"] == "prose") & (count(s["text"]) > budget), F.transform(windows(s["text"], budget, overlap), lambda t: F.struct(F.lit("part").alias("kind"), t.alias("text"), F.lit("").alias("caption")))
@@ -263,8 +358,7 @@ def hierarchy(docs: DataFrame, budget: int = 200, overlap: int = 40, count=words
     cut = sections_of(docs, "doc_id", "md")
     one = cut.select(chunk_id("doc_id", F.lit("1"), "ord").alias("id"), F.lit(1).alias("level"), "doc_id", chunk_id("doc_id", F.lit("0")).alias("parent_id"), *LEVELS, F.lit(None).cast("string").alias("run_header"), "text")
     one = store.written(one, "sections")  # every level below reads it
-    kids = packed(one.select(F.col("id").alias("parent_id"), "text"), ["parent_id"], budget, overlap, count)
-    two = kids.join(one.select(F.col("id").alias("parent_id"), "doc_id", *LEVELS), "parent_id", "left")
+    two = packed(one.select(F.col("id").alias("parent_id"), "doc_id", *LEVELS, "text"), ["parent_id", "doc_id", *LEVELS], budget, overlap, count)
     sure = F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("a child without document"))).otherwise(F.col("doc_id"))
     two = two.select(chunk_id("parent_id", F.lit("2"), "child").alias("id"), F.lit(2).alias("level"), sure.alias("doc_id"), "parent_id", *LEVELS, "run_header", "text")
     two = store.written(two, "children")
