@@ -128,27 +128,28 @@ def _cut(md: str, titles: dict[str, tuple]) -> list[tuple]:
                 parts[-1][1].append(title)
         if more is not None:
             if parts[-1][0]:  # blank lines behind a header go
-                more = more[_BLANKS.match(more).end() :]
-                if not more.strip(" "):
-                    continue
+                if more[:1] in " \n":
+                    more = more[_BLANKS.match(more).end() :]
+                    if not more.strip(" "):
+                        continue
                 parts.append((0, []))
             parts[-1][1].append(more)
     above: list = [None] * len(LEVELS)
-    given, out = [None] * len(LEVELS), []
+    given, out, last = None, [], len(parts) - 1
     for k, (level, lines) in enumerate(parts):
         if level:
-            above = [*above[: level - 1], " | ".join(lines), *[None] * (len(LEVELS) - level)]
-            if k + 1 < len(parts) and not parts[k + 1][0]:
+            above = above[: level - 1] + [" | ".join(lines)] + [None] * (len(LEVELS) - level)
+            if k < last and not parts[k + 1][0]:
                 continue
-            text = ONLY
+            bare = ONLY
         else:
             text = "\n".join(lines).rstrip("\n")
-        bare = text.replace("\n", "").strip(" ")
+            bare = text.replace("\n", "").strip(" ")
         if bare:
-            given = [a if v is None or a == v else v if a is None else f"{a} | {v}" for a, v in zip(given, above, strict=True)]
+            given = above if given is None else [a if v is None or a == v else v if a is None else f"{a} | {v}" for a, v in zip(given, above, strict=True)]
             if bare != ONLY:
                 out.append((*given, text + "\n"))
-                given = [None] * len(LEVELS)
+                given = None
     return out
 
 
@@ -239,40 +240,50 @@ def _words(text: str) -> int:
 
 def _segments(text: str) -> list[tuple[str, str, str]]:
     """``segments`` of one text: (kind, text, caption)."""
-    out, tables = [], _TABLE.findall(text)
-    for k, prose in enumerate(_TABLE.split(text)):
+    out, at, tables = [], 0, _TABLE.finditer(text) if "|" in text else ()
+    for table in (*tables, None):
+        prose = text[at : table.start()] if table else text[at:]
         for p in _PARAGRAPHS.split(prose.strip("\n")):
-            if not p.replace("\n", "").strip(" "):
-                continue
             line = p.strip(" ")
-            label = _STARS.sub("", line).strip(" ") if _RUN_HEADER.match(line) else ""
-            run_header = label and not _NO_LABEL.search(label) and not _RUNNING.match(label)
-            out.append(("run_header", label, "") if run_header else ("prose", p, ""))
-        if k < len(tables):
-            out.append(("table", tables[k].rstrip("\n"), next((x.strip(" ") for x in reversed(prose.split("\n")) if x.strip(" ")), "")))
+            if line[:1] == "*" and _RUN_HEADER.match(line):
+                label = _STARS.sub("", line).strip(" ")
+                run_header = label and not _NO_LABEL.search(label) and not _RUNNING.match(label)
+                out.append(("run_header", label, "") if run_header else ("prose", p, ""))
+            elif line and (line[0] != "\n" or p.replace("\n", "").strip(" ")):
+                out.append(("prose", p, ""))
+        if table:
+            at = table.end()
+            out.append(("table", table[0].rstrip("\n"), next((x.strip(" ") for x in reversed(prose.split("\n")) if x.strip(" ")), "")))
     return out
 
 
 def _packed(text: str, budget: int, overlap: int) -> list[tuple]:
     """(child, run_header, text) of one chunk above the budget."""
-    segs = []
+    segs, sizes, captioned = [], [], []
     for kind, t, caption in _segments(text):
-        if kind == "prose" and _words(t) > budget:
+        n = _words(t)
+        if kind == "prose" and n > budget:
             w = _SPACE.split(t.strip(" "))
-            segs += [("part", " ".join(w[i : i + budget]), "") for i in range(0, max(1, len(w) - overlap), budget - overlap)]
+            cut = [" ".join(w[i : i + budget]) for i in range(0, max(1, len(w) - overlap), budget - overlap)]
+            segs += [("part", x, "") for x in cut]
+            counts = [_words(x) for x in cut]
+            sizes += counts
+            captioned += counts
         else:
             segs.append((kind, t, caption))
-    whole = [f"{caption}\n{t}" if caption else t for _, t, caption in segs]
-    sizes = [_words(t) for _, t, _ in segs]
+            sizes.append(n)
+            captioned.append(n + _words(caption) if caption else n)
     out, label, last = [], None, -1
-    for (kind, t, _), full, (at, captioned) in zip(segs, whole, _place([s[0] for s in segs], sizes, [_words(t) if s[2] else n for t, s, n in zip(whole, segs, sizes, strict=True)], budget), strict=True):
+    for (kind, t, caption), (at, with_caption) in zip(segs, _place([x[0] for x in segs], sizes, captioned, budget), strict=True):
         if kind == "run_header":
             label = t
-        elif at != last:
-            out.append((at, label, [full if captioned else t]))
+            continue
+        shown = f"{caption}\n{t}" if with_caption and caption else t
+        if at != last:
+            out.append((at, label, [shown]))
             last = at
         else:
-            out[-1][2].append(full if captioned else t)
+            out[-1][2].append(shown)
     return [(at, header, "\n\n".join(texts)) for at, header, texts in out]
 
 
