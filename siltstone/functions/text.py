@@ -60,6 +60,11 @@ def normal(text) -> Column:
     return F.lower(F.trim(F.regexp_replace(_c(text), r"\s+", " ")))
 
 
+def opening(text, length: int) -> Column:
+    """The first ``length`` characters of the normal form, from the words that hold as many characters alone (a whole last word: how a letter is lowered can depend on the rest of its word)."""
+    return F.substring(normal(F.regexp_extract(_c(text), rf"\A(?:\s*+\S){{0,{length}}}+\S*+", 0)), 1, length)
+
+
 def tokens(text) -> Column:
     """Lower-case runs of letters and digits (all beyond ASCII counts as a letter)."""
     return F.filter(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")

@@ -17,10 +17,11 @@ def by_prefix(passages: DataFrame, corpus: DataFrame) -> DataFrame:
     """finder_id, chunk_id: the first chunk whose normal form begins as the passage does, by the longest prefix that has one.
 
     The corpus side is reduced to one row for each prefix before the join, so that a common opening is no hot key.
+    Of a text only the opening is brought to normal form.
     """
     def prefixes(rows, key, column):
         pairs = F.array(*[F.struct(F.lit(k).alias("length"), F.substring("normal", 1, k).alias("prefix")) for k in PREFIXES])
-        return rows.select(key, X.normal(column).alias("normal")).where("normal <> ''").select(key, F.inline(pairs))
+        return rows.select(key, X.opening(column, max(PREFIXES)).alias("normal")).where("normal <> ''").select(key, F.inline(pairs))
 
     index = prefixes(corpus, "chunk_id", "text").groupBy("length", "prefix").agg(F.min("chunk_id").alias("chunk_id"))
     found = prefixes(passages, "finder_id", "truth").join(index, ["length", "prefix"])
@@ -109,7 +110,7 @@ def calibration(scored: DataFrame, pool: str, thresholds=THRESHOLDS) -> DataFram
 
 def fingerprints(corpus: DataFrame, length: int = 200) -> DataFrame:
     """prefix, chunk_id: the first chunk of each distinct opening of ``length`` normal characters."""
-    rows = corpus.select("chunk_id", F.substring(X.normal("text"), 1, length).alias("prefix")).where("prefix <> ''")
+    rows = corpus.select("chunk_id", X.opening("text", length).alias("prefix")).where("prefix <> ''")
     return rows.groupBy("prefix").agg(F.min("chunk_id").alias("chunk_id"))
 
 

@@ -65,3 +65,22 @@ def test_lookup_by_opening_and_numbers(spark):
     asked = spark.createDataFrame([(1, opening.upper() + " and back  again " * 20), (2, "was 11.5, 22.5, 33.5, 44.5 and 7"), (3, ""), (4, None)], "finder_id int, truth string")
     assert {(r.finder_id, r.chunk_id) for r in truth.truth_chunks(asked, corpus).collect()} == {(1, "c2"), (2, "c3")}
     assert truth.truth_chunks(asked.where("false"), corpus).count() == 0
+
+
+def test_openings_are_those_of_the_normal_form(spark):
+    from siltstone.functions import text as X
+
+    nasty = ["", " ", "\n\t", None, "a", " \u00a0 B  c\td\r\n ", "ΑΣ" + "'" * 30 + "Α ΑΣ", "İİİ İstanbul " * 9, "x" * 700, "\U0001f600 " * 300, "word\x0b\x0c two " * 40, ("ab " * 3 + "\n" * 500) * 9, " " * 900 + "Late words " * 30]
+    df = spark.createDataFrame([(t,) for t in nasty], "t string")
+    for k in (1, 3, 50, 200):
+        for r in df.select(X.opening("t", k).alias("a"), F.substring(X.normal("t"), 1, k).alias("b"), "t").collect():
+            assert r.a == r.b, (k, r.t)
+
+
+def test_only_openings_are_brought_to_normal_form(spark):
+    """What lies behind the opening of a long text isn't gone through for its prefixes."""
+    corpus = spark.createDataFrame([("c1", "Word  of " * 500), ("c2", "Words of " * 500)], "chunk_id string, text string")
+    found = truth.by_prefix(corpus.limit(1).select(F.lit(1).alias("finder_id"), F.col("text").alias("truth")), corpus)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == plan.count("regexp_replace(regexp_extract(") > 0
+    assert [(r.finder_id, r.chunk_id) for r in found.collect()] == [(1, "c1")]
