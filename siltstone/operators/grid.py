@@ -47,9 +47,8 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = q.select("finder_id", F.lit(0).alias("enhance"), F.col("query").alias("text")).unionByName(q.select("finder_id", F.lit(1).alias("enhance"), F.col("enhanced").alias("text")))
     asked = texts.select("text").distinct().crossJoin(F.broadcast(cells.select("cell"))).select(F.xxhash64("text", "cell").alias("query_id"), "text", "cell")  # sections times years
     out = []
-    for level in (1, 2, 3):
-        own = rows.where(F.col("level") == level)
-        best = R.bm25_texts(asked, own, DEPTH, ("cell",), "cell")
+    found = (*R.bm25_texts_and_lines(asked, rows.where("level = 1"), DEPTH, ("cell",), "cell"), R.bm25_texts(asked, rows.where("level = 3"), DEPTH, ("cell",), "cell"))
+    for level, best in enumerate(found, 1):
         out.append(best.select("query_id", F.lit(level).alias("level"), "chunk_id", "score"))
     sparse = out[0].unionByName(out[1]).unionByName(out[2]).join(asked, "query_id").join(texts, "text").join(cells, "cell")
     sparse = sparse.select(*KEYS, F.lit("sparse").alias("source"), "section", "year", "chunk_id", "score")

@@ -66,9 +66,7 @@ def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     free = texts.select("text", F.lit(None).cast("string").alias("section")).distinct()
     asked = free.unionByName(texts.select("text", F.col("route").alias("section")).where("section IS NOT NULL").distinct()).select(F.xxhash64("text", "section").alias("query_id"), "text", "section")
     out = []
-    for level in (1, 2):
-        own = corpus.where(F.col("level") == level)
-        best = R.bm25_texts(asked, own, 3 * TOP_K, ("section",), "section")
+    for level, best in enumerate(R.bm25_texts_and_lines(asked, corpus.where("level = 1"), 3 * TOP_K, ("section",), "section"), 1):
         out.append(best.select("query_id", F.lit(level).alias("level"), F.lit("sparse").alias("source"), "chunk_id", "section", "score"))
     sparse = out[0].unionByName(out[1])
     # A question's vector is the one with its id; a chunk has its document's.

@@ -79,3 +79,40 @@ def test_no_posting_is_a_row(spark, monkeypatch):
     asked = spark.createDataFrame([(q, "the of and net w1 w2 w3") for q in range(6)], "query_id long, text string")
     assert R.bm25_texts(asked, rows, 5).count() == 30
     assert kept["words-held"].count() == 800 and kept["candidates"].count() <= 4 * 5 * 6 and "postings" not in kept
+
+
+@pytest.mark.parametrize("size,k,texts", [(16384, 10, 2048), (8, 1, 5)])
+def test_texts_and_their_lines_from_one_pass(spark, monkeypatch, size, k, texts):
+    """Lines of a text are scored as chunks of their own, from the same rows of counts as the texts."""
+    from siltstone.plans import store
+
+    kept, write = [], store.written
+    monkeypatch.setattr(store, "written", lambda df, name: kept.append(name) or write(df, name))
+    monkeypatch.setattr(R, "TEXT_ROWS", 7)
+    monkeypatch.setattr(R, "ROW_BLOCK", size)
+    monkeypatch.setattr(R, "TEXT_BLOCK", texts)
+    chunks, asked = corpus(size + k)
+    docs = [(f"d{k:08d}", "\n".join(c[1] for c in chunks[k : k + k % 9]), "abc"[k % 3]) for k in range(0, len(chunks), 9)]
+    docs += [("e1", None, "a"), ("e2", "", "b"), ("e3", "\n the É-W7\n\n  \n\t\n..\nw8 ΑΣ\nΑΣ' w9\n", "b"), ("e4", "w3\rw3\x0bof\n", None), ("e5", "the of\r\nİx w7", "a")]
+    rows = spark.createDataFrame(docs, "chunk_id string, text string, section string").repartition(3)
+    queries = spark.createDataFrame([*asked, (96, "the É ας İX", None)], "query_id long, text string, section string")
+    lines = rows.select("chunk_id", "section", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "text")).where(F.trim("text") != "")
+    lines = lines.withColumn("chunk_id", F.concat("chunk_id", F.format_string("/%06d", "pos")))
+    got = R.bm25_texts_and_lines(queries, rows, k, ("section",), "section")
+    assert kept.count("words-held") == (1 if texts == 2048 else max(kept.count("candidates") // 2, 2))
+    for own, found in zip((rows, lines), got, strict=True):
+        every = R.bm25(queries, R.postings(own, ("section",)), R.corpus_stats(own), keep=("section",)).join(queries.select("query_id", F.col("section").alias("only")), "query_id")
+        full = R.top(every.where("only IS NULL OR only = section").drop("only"), k)
+        want = {(r["query_id"], r["rank"]): (r["chunk_id"], r["section"], round(r["score"], 5)) for r in full.collect()}
+        assert {(r["query_id"], r["rank"]): (r["chunk_id"], r["section"], round(r["score"], 5)) for r in found.collect()} == want
+
+
+def test_the_sweep_cuts_texts_into_words_once(spark, monkeypatch):
+    """Documents and lines are scored from one table of counts."""
+    from siltstone.operators import sweep
+    from siltstone.plans import store
+
+    kept, write = [], store.written
+    monkeypatch.setattr(store, "written", lambda df, name: kept.append(name) or write(df, name))
+    sweep._tracks(spark, "/root/testdata/sf0.001")
+    assert kept.count("words-held") == 1
