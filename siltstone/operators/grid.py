@@ -119,7 +119,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """finder_id, config_key, axes and three metrics of every run of the grid."""
     found = results(spark, sf_dir)
-    text = sweep.chunks(spark, sf_dir).where("level = 1").select("chunk_id", "text")
+    text = sweep.chunks(spark, sf_dir, found.select("chunk_id").distinct()).where("level = 1").select("chunk_id", "text")
     pairs = found.select("finder_id", "chunk_id").distinct().join(sweep.questions(spark, sf_dir).select("finder_id", "truth"), "finder_id").join(text, "chunk_id")
     rel = pairs.select("finder_id", "chunk_id", X.word_recall("truth", "text").alias("word"), X.num_recall("truth", "text").alias("num"))
     rows = found.join(rel, ["finder_id", "chunk_id"]).withColumn("good", F.greatest("word", "num") >= 0.5)

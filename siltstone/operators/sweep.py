@@ -130,7 +130,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and numbers of a question's passage in each chunk that some config found for it: relevance is the larger recall."""
     pairs = results(spark, sf_dir).select("finder_id", "chunk_id").distinct()
-    text = chunks(spark, sf_dir).where("level = 1").select("chunk_id", "ticker", "section", "fiscal_year_end", "text")
+    text = chunks(spark, sf_dir, pairs.select("chunk_id").distinct()).where("level = 1").select("chunk_id", "ticker", "section", "fiscal_year_end", "text")  # only texts that were found are shuffled
     rows = pairs.join(questions(spark, sf_dir).select("finder_id", "truth"), "finder_id").join(text, "chunk_id")
     return rows.select("finder_id", "chunk_id", "ticker", "section", "fiscal_year_end", X.word_recall("truth", "text").alias("word"), X.num_recall("truth", "text").alias("num"), "text")
 

@@ -116,3 +116,13 @@ def test_the_sweep_cuts_texts_into_words_once(spark, monkeypatch):
     monkeypatch.setattr(store, "written", lambda df, name: kept.append(name) or write(df, name))
     sweep._tracks(spark, "/root/testdata/sf0.001")
     assert kept.count("words-held") == 1
+
+
+def test_only_texts_that_were_found_are_shuffled(spark, monkeypatch):
+    from siltstone.operators import sweep
+
+    found = spark.createDataFrame([(0, "d00000001"), (0, "d00000002"), (1, "d00000001"), (2, "d00000003/000000")], "finder_id long, chunk_id string")
+    monkeypatch.setattr(sweep, "results", lambda *_: found)
+    rows = sweep._relevance(spark, "/root/testdata/sf0.001")
+    assert "LeftSemi" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.finder_id, r.chunk_id) for r in rows.collect()} == {(0, "d00000001"), (0, "d00000002"), (1, "d00000001")}
