@@ -55,7 +55,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A question's vector is the one with its id; a chunk has its document's, so the lines of a document are equal.
     vectors = sweep.read(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     questions = q.join(vectors, q.finder_id == vectors.doc_id).select(F.col("finder_id").alias("query_id"), F.col("vector").alias("query_vector"))
-    lined = F.exists(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lined")
+    lined = F.col("text").rlike("[^ \n]").alias("lined")  # some line isn't blank
     docs = rows.where("level = 1").select("chunk_id", "doc_id", "section", "year", lined).join(vectors, "doc_id").select("chunk_id", "section", "year", "lined", "vector")
     near = R.dense(questions, docs, DEPTH, ("section", "year", "lined"))
     # Of a document's lines, which are equal here, the first are enough.

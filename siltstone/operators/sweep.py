@@ -73,7 +73,7 @@ def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     asked = q.join(vectors, q.finder_id == vectors.doc_id).select(F.col("finder_id").alias("query_id"), F.col("vector").alias("query_vector"))
     # Lines have their document's score, so documents compete for both levels: the best of those that have lines, and of the rest.
-    lined = F.exists(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lined")
+    lined = F.col("text").rlike("[^ \n]").alias("lined")  # some line isn't blank
     docs = corpus.where("level = 1").select("chunk_id", "doc_id", "section", lined).join(vectors, "doc_id").select("chunk_id", "section", "lined", "vector")
     near = stage(spark, sf_dir, "dense-best", lambda *_: R.dense(asked, docs, 3 * TOP_K, ("section", "lined")))
     few = F.slice(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: F.trim(x["line"]) != ""), 1, 3 * TOP_K)
