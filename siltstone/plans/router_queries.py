@@ -8,13 +8,17 @@ from siltstone.functions import text as X
 from siltstone.operators import router as M
 from siltstone.operators import routing as T
 from siltstone.operators import sweep
-from siltstone.plans import routing_queries
+from siltstone.plans import routing_queries, store
 from siltstone.plans.store import stage
 from siltstone.plans.sweep_sql import upto
 
 
 def openings(spark, sf_dir):
-    """id, text, label, ticker: the first twelve words of each document, and its language."""
+    """id, text, label, ticker: the first twelve words of each document, and its language; a table, so that the texts are scanned once."""
+    return stage(spark, sf_dir, "router-openings", _openings)
+
+
+def _openings(spark, sf_dir):
     return sweep.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.first_words(F.coalesce("text", F.lit("")), 12).alias("text"), F.col("lang").alias("label"), F.col("source").alias("ticker"))
 
 
@@ -24,34 +28,45 @@ def evaluated(spark, sf_dir):
 
 
 def training(spark, sf_dir):
-    return M.held_out(openings(spark, sf_dir), evaluated(spark, sf_dir), "id", "ticker").select("id", "text", "label")
+    """id, text, label, fold."""
+    return M.dealt(M.held_out(openings(spark, sf_dir), evaluated(spark, sf_dir), "id", "ticker").select("id", "text", "label"), "label")
+
+
+def terms(spark, sf_dir):
+    return stage(spark, sf_dir, "router-terms", lambda s, d: M.vocabulary(stage(s, d, "router-texts", training)))
+
+
+def featured(spark, sf_dir):
+    """Training rows with their features."""
+    return stage(spark, sf_dir, "router-rows", lambda s, d: M.vectors(stage(s, d, "router-texts", training), known=terms(s, d)))
 
 
 def trained(spark, sf_dir):
-    """(model, class names, training rows): the rows with their features are a stage table."""
-    rows = stage(spark, sf_dir, "router-rows", lambda s, d: M.vectors(training(s, d)))
+    """(model, class names)."""
+    rows = featured(spark, sf_dir)
     names = M.classes(rows, "label")
-    return M.fit(M.numbered(rows, "label", names)), names, rows
+    return M.fit(M.numbered(rows, "label", names)), names
 
 
 def out_of_fold(spark, sf_dir):
-    _, names, rows = trained(spark, sf_dir)
-    p = M.out_of_fold(rows, "label", names).withColumnRenamed("id", "finder_id")
+    rows = featured(spark, sf_dir)
+    p = M.out_of_fold(rows, "label", M.classes(rows, "label")).withColumnRenamed("id", "finder_id")
     two = T.top_two(p).join(rows.select(F.col("id").alias("finder_id"), "label"), "finder_id")
     return T.accuracy(two, "label", "c1")
 
 
 def held_out(spark, sf_dir):
-    model, names, rows = trained(spark, sf_dir)
-    mine = openings(spark, sf_dir).join(evaluated(spark, sf_dir).select("id"), "id", "left_semi").where("label IS NOT NULL")
-    p = M.probabilities(model, M.vectors(mine.select("id", "text", "label"), rows.select("id", "text")), names).withColumnRenamed("id", "finder_id")
+    model, names = trained(spark, sf_dir)
+    mine = openings(spark, sf_dir).join(evaluated(spark, sf_dir).select("id"), "id", "left_semi").where("label IS NOT NULL").select("id", "text", "label")
+    mine = store.written(M.vectors(mine, known=terms(spark, sf_dir)), "router-held-out")
+    p = M.probabilities(model, mine, names).withColumnRenamed("id", "finder_id")
     return T.accuracy(T.top_two(p).join(mine.select(F.col("id").alias("finder_id"), "label"), "finder_id"), "label", "c1")
 
 
 def evidence(spark, sf_dir):
-    model, names, rows = trained(spark, sf_dir)
+    model, names = trained(spark, sf_dir)
     asked = sweep.questions(spark, sf_dir).select(F.col("finder_id").alias("id"), F.col("query").alias("text"))
-    return M.evidence(model, asked, rows.select("id", "text"), names).select("id", "class", F.array_join("terms", "|").alias("terms"))
+    return M.evidence(model, asked, None, names, known=terms(spark, sf_dir)).select("id", "class", F.array_join("terms", "|").alias("terms"))
 
 
 def messages(spark, sf_dir):

@@ -1,5 +1,6 @@
 """What larger tables brought up."""
 
+import hashlib
 import random
 
 import duckdb
@@ -63,3 +64,22 @@ def test_bm25_makes_no_row_for_a_query_and_a_chunk(spark, monkeypatch):
     best = R.top(R.bm25(asked, index, stats), 3)
     assert sorted(map(tuple, got.select("query_id", "rank", "chunk_id").collect())) == sorted(map(tuple, best.select("query_id", "rank", "chunk_id").collect()))
     assert kept["candidates"].count() <= 3 * 30 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def test_vectors_make_no_row_for_a_text_and_a_term(spark):
+    """The features are those of the definition by rows (tfidf), whatever the text, and no class's rows meet in one window to be dealt to folds."""
+    odd = ["", None, "a", "Éa éA  x1_y\tZz", " wide space\x0bend", "# # ##", "İstanbul ΣΑΣ", "same words, same words", "it's a_b\n\nit's", "\U0001f600 ok ok"]
+    texts = spark.createDataFrame([(i, odd[i % 10] if i < 20 else f"word{i % 3} and {odd[i % 10]} again{i % 5}", "ab"[i % 2]) for i in range(60)], "id long, text string, label string")
+    df = router.vectors(texts)
+    parts = router.tfidf(texts).unionByName(router.tfidf(texts, terms=router.char_terms).withColumn("term", F.concat(F.lit("#"), "term")))
+    want = {}
+    for r in parts.select("id", F.pmod(F.xxhash64("term"), F.lit(router.SLOTS)).alias("slot"), "weight").collect():
+        want[r["id"], r["slot"]] = want.get((r["id"], r["slot"]), 0) + r["weight"]
+    rows = df.collect()
+    got = {(r["id"], int(i)): v for r in rows for i, v in zip(r["features"].indices, r["features"].values, strict=True)}
+    assert len(rows) == 60 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+    folds = router.dealt(texts, "label")
+    assert "windowspecdefinition(label" not in folds._jdf.queryExecution().analyzed().toString()
+    order = {c: sorted((r["id"] for r in texts.collect() if r["label"] == c), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for c in "ab"}
+    assert {r["id"]: r["fold"] for r in folds.collect()} == {i: k % 5 for ids in order.values() for k, i in enumerate(ids)}
