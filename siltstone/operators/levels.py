@@ -358,6 +358,26 @@ def chunk_id(*parts) -> Column:
     return F.sha1(F.concat_ws("/", *[p if isinstance(p, Column) else F.col(p) for p in parts]))
 
 
+def _level_one(docs: DataFrame) -> DataFrame:
+    cut = sections_of(docs, "doc_id", "md")
+    return cut.select(chunk_id("doc_id", F.lit("1"), "ord").alias("id"), F.lit(1).alias("level"), "doc_id", chunk_id("doc_id", F.lit("0")).alias("parent_id"), *LEVELS, F.lit(None).cast("string").alias("run_header"), "text")
+
+
+def _level_two(one: DataFrame, budget: int, overlap: int, count) -> DataFrame:
+    two = packed(one.select(F.col("id").alias("parent_id"), "doc_id", *LEVELS, "text"), ["parent_id", "doc_id", *LEVELS], budget, overlap, count)
+    sure = F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("a child without document"))).otherwise(F.col("doc_id"))
+    return two.select(chunk_id("parent_id", F.lit("2"), "child").alias("id"), F.lit(2).alias("level"), sure.alias("doc_id"), "parent_id", *LEVELS, "run_header", "text")
+
+
+def _level_three(two: DataFrame, model, count) -> DataFrame:
+    return two.withColumn("level", F.lit(3)).withColumn("id", chunk_id("id", F.lit("3"))).withColumn("description", description(F.col("text"), model, count))
+
+
+def described(docs: DataFrame, model, budget: int = 200, overlap: int = 40, count=words) -> DataFrame:
+    """Level 3 of ``hierarchy`` alone, which is made in one pass over ``docs``: no level is written."""
+    return _level_three(_level_two(_level_one(docs), budget, overlap, count), model, count)
+
+
 def hierarchy(docs: DataFrame, budget: int = 200, overlap: int = 40, count=words, model=None) -> DataFrame:
     """id, level, doc_id, parent_id, section, subsection, item, subitem, run_header, description, text of all levels of ``docs`` (doc_id, md).
 
@@ -366,18 +386,10 @@ def hierarchy(docs: DataFrame, budget: int = 200, overlap: int = 40, count=words
     """
     empty = [F.lit(None).cast("string").alias(c) for c in (*LEVELS, "run_header")]
     zero = docs.select(chunk_id("doc_id", F.lit("0")).alias("id"), F.lit(0).alias("level"), "doc_id", F.lit(None).cast("string").alias("parent_id"), *empty, F.col("md").alias("text"))
-    cut = sections_of(docs, "doc_id", "md")
-    one = cut.select(chunk_id("doc_id", F.lit("1"), "ord").alias("id"), F.lit(1).alias("level"), "doc_id", chunk_id("doc_id", F.lit("0")).alias("parent_id"), *LEVELS, F.lit(None).cast("string").alias("run_header"), "text")
-    one = store.written(one, "sections")  # every level below reads it
-    two = packed(one.select(F.col("id").alias("parent_id"), "doc_id", *LEVELS, "text"), ["parent_id", "doc_id", *LEVELS], budget, overlap, count)
-    sure = F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("a child without document"))).otherwise(F.col("doc_id"))
-    two = two.select(chunk_id("parent_id", F.lit("2"), "child").alias("id"), F.lit(2).alias("level"), sure.alias("doc_id"), "parent_id", *LEVELS, "run_header", "text")
-    two = store.written(two, "children")
+    one = store.written(_level_one(docs), "sections")  # every level below reads it
+    two = store.written(_level_two(one, budget, overlap, count), "children")
     out = zero.unionByName(one).unionByName(two).withColumn("description", F.lit(None).cast("string"))
-    if model is not None:
-        three = two.withColumn("level", F.lit(3)).withColumn("id", chunk_id("id", F.lit("3"))).withColumn("description", description(F.col("text"), model, count))
-        out = out.unionByName(three)
-    return out
+    return out if model is None else out.unionByName(_level_three(two, model, count))
 
 
 def description(text: Column, model, count=words) -> Column:

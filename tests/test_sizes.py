@@ -4,11 +4,13 @@ import hashlib
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from siltstone.operators import levels as L
 from siltstone.operators import markup, router, routing
 from siltstone.operators import retrieval as R
-from siltstone.plans import markup_queries, store
+from siltstone.plans import level_queries, markup_queries, store
 
 
 def test_shares_in_messages_round_halves_as_the_sql_does(spark):
@@ -83,3 +85,15 @@ def test_vectors_make_no_row_for_a_text_and_a_term(spark):
     assert "windowspecdefinition(label" not in folds._jdf.queryExecution().analyzed().toString()
     order = {c: sorted((r["id"] for r in texts.collect() if r["label"] == c), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()) for c in "ab"}
     assert {r["id"]: r["fold"] for r in folds.collect()} == {i: k % 5 for ids in order.values() for k, i in enumerate(ids)}
+
+
+def test_descriptions_are_the_third_level_and_nothing_is_written_for_them(spark, monkeypatch):
+    docs = level_queries.filings(spark, "/root/testdata/sf0.001")
+    full = sorted(map(tuple, L.hierarchy(docs, 30, 10, model=level_queries.model).where("level = 3").collect()), key=str)
+    before = len(store._built)
+    monkeypatch.setattr(store, "written", None)
+    own = L.described(docs, level_queries.model, 30, 10)
+    assert sorted(map(tuple, own.select("id", "level", "doc_id", "parent_id", *L.LEVELS, "run_header", "text", "description").collect()), key=str) == full and full
+    assert level_queries.QUERIES["c19_descriptions"](spark, "/root/testdata/sf0.001").collect() and len(store._built) == before
+    with pytest.raises(Exception, match="without document"):
+        L.described(spark.createDataFrame([(None, "# A\ntext")], "doc_id string, md string"), level_queries.model).collect()
